@@ -26,9 +26,13 @@ def lookup_join(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
     """
     if not _binary(rows, key) or not _binary(table, key):
         return rows.join(table, key, "left")
-    guard = F.xxhash64(F.col(key)).alias("_guard")
-    left = rows.select("*", guard)
-    return left.join(table.select("*", guard), [key, "_guard"], "left").drop("_guard")
+    guard = F.xxhash64(F.col(key))
+    spread = guard
+    if "seq" in rows.columns:  # rows without a key find nothing, wherever they go
+        spread = F.when(F.col(key).isNull(), F.xxhash64("seq")).otherwise(guard)
+    left = rows.select("*", spread.alias("_guard"))
+    right = table.select("*", guard.alias("_guard"))
+    return left.join(right, [key, "_guard"], "left").drop("_guard")
 
 
 def only_asked(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
@@ -58,9 +62,14 @@ def with_existence(rows: DataFrame, key: str, table: DataFrame, table_key: str,
     return lookup_join(rows, held, key).withColumn(flag, F.col("_held").isNotNull()).drop("_held")
 
 
-def unseen(rows: DataFrame, key: str, table: DataFrame, table_key: str) -> DataFrame:
-    """The rows whose key is not in ``table``; ``rows`` hold each key once."""
-    held = only_asked(table.select(F.col(table_key).alias(key)), rows, key)
+def unseen(
+    rows: DataFrame, key: str, table: DataFrame, table_key: str, asked: DataFrame | None = None
+) -> DataFrame:
+    """The rows whose key is not in ``table``; ``rows`` hold each key once.
+
+    ``asked`` may name a cheaper source of the keys than ``rows``, and may hold more of them.
+    """
+    held = only_asked(table.select(F.col(table_key).alias(key)), rows if asked is None else asked, key)
     return rows.join(held, key, "left_anti")
 
 

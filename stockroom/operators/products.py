@@ -52,6 +52,6 @@ def create_products_new(tables: Tables, requests: DataFrame, form: bool = True)
     """Products the batch creates, with the request that created each."""
     checked = _checked(requests, form)
     created = checked.join(_creating(tables, checked), "seq", "left_semi")
-    return assign_ids(created, "seq", tables.producto, "id_producto", "id_producto").select(
-        "seq", "id_producto", *_TEXTS, "id_dron", "stock_minimo"
+    return assign_ids(
+        created.select("seq", *_TEXTS, "id_dron", "stock_minimo"), "seq", tables.producto, "id_producto"
     )

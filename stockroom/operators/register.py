@@ -21,8 +21,7 @@ from pyspark.sql import functions as F
 from stockroom import messages as M
 from stockroom.functions import text
 from stockroom.operators.ids import assign_ids
-from stockroom.operators.joins import decide, lookup_join
-from stockroom.operators.lookup import new_serials
+from stockroom.operators.joins import decide, lookup_join, unseen
 from stockroom.schemas import TABLES
 from stockroom.sources.tables import Tables
 
@@ -48,35 +47,37 @@ def register_form(requests: DataFrame) -> DataFrame:
 
 def _supplier_codes(tables: Tables, requests: DataFrame) -> DataFrame:
     """Per supplier code of the batch: the product that has it, or the request that creates it."""
-    proposal = F.struct("seq", "nombre_producto", "descripcion_producto", "id_dron")
     named = text.given(F.col("nombre_producto"))
-    asked = requests.groupBy("codigo_original").agg(F.min(F.when(named, proposal)).alias("_proposal"))
+    asked = requests.groupBy("codigo_original").agg(F.min(F.when(named, F.col("seq"))).alias("_named"))
     known = tables.producto.groupBy("codigo_original").agg(F.min("id_producto").alias("_known"))
-    return asked.join(known, "codigo_original", "left").withColumn(
-        "_creator", F.when(F.col("_known").isNull(), F.col("_proposal.seq"))
+    creator = F.when(F.col("_known").isNull(), F.col("_named"))
+    return asked.join(known, "codigo_original", "left").select(
+        "codigo_original", "_known", creator.alias("_creator")
     )
 
 
 def _screened(tables: Tables, requests: DataFrame) -> DataFrame:
     """Requests with a flag: is there a product for the piece?"""
-    codes = _supplier_codes(tables, requests).select("codigo_original", "_known", "_creator")
+    codes = _supplier_codes(tables, requests)
     has_product = F.col("_known").isNotNull() | (F.col("seq") >= F.col("_creator"))
-    return lookup_join(requests, codes, "codigo_original").withColumn(
-        "_has_product", F.coalesce(has_product, F.lit(False))
-    )
+    rows = lookup_join(requests.select("seq", "codigo_original", "numero_serie"), codes, "codigo_original")
+    return rows.select("seq", "numero_serie", F.coalesce(has_product, F.lit(False)).alias("_has_product"))
 
 
-def _inserting(tables: Tables, screened: DataFrame) -> DataFrame:
-    """``seq`` of the requests that insert a piece: first with a serial nobody has."""
-    return new_serials(tables, screened.where("_has_product").select("seq", "numero_serie")).select(
-        "seq", F.lit(True).alias("_inserts")
+def _inserting(tables: Tables, requests: DataFrame) -> DataFrame:
+    """``seq`` of the requests that insert a piece: the first for a serial that nobody has."""
+    first = (
+        _screened(tables, requests)
+        .where("_has_product")
+        .groupBy("numero_serie")
+        .agg(F.min("seq").alias("seq"))
     )
+    return unseen(first, "numero_serie", tables.pieza, "numero_serie", asked=requests).select("seq")
 
 
 def register_decisions(tables: Tables, requests: DataFrame) -> DataFrame:
-    screened = _screened(tables, requests).select("seq", "numero_serie", "_has_product")
-    inserting = _inserting(tables, screened)
-    return screened.join(inserting, "seq", "left").select(
+    inserting = _inserting(tables, requests).withColumn("_inserts", F.lit(True))
+    return _screened(tables, requests).select("seq", "_has_product").join(inserting, "seq", "left").select(
         "seq",
         *decide(
             (~F.col("_has_product"), 400, M.NAME_REQUIRED),
@@ -87,31 +88,29 @@ def register_decisions(tables: Tables, requests: DataFrame) -> DataFrame:
 
 def register_new_products(tables: Tables, requests: DataFrame) -> DataFrame:
     """Products the batch creates, with the request that created each."""
-    created = _supplier_codes(tables, requests).where(F.col("_creator").isNotNull())
-    created = created.select("codigo_original", F.col("_creator").alias("seq"), "_proposal")
-    return assign_ids(created, "seq", tables.producto, "id_producto", "id_producto").select(
+    creators = _supplier_codes(tables, requests).where(F.col("_creator").isNotNull())
+    created = requests.join(creators.select(F.col("_creator").alias("seq")), "seq", "left_semi").select(
         "seq",
-        "id_producto",
         "codigo_original",
-        F.col("_proposal.nombre_producto").alias("nombre"),
-        F.col("_proposal.descripcion_producto").alias("descripcion"),
-        F.col("_proposal.id_dron").alias("id_dron"),
+        F.col("nombre_producto").alias("nombre"),
+        F.col("descripcion_producto").alias("descripcion"),
+        "id_dron",
         F.lit(None).cast("int").alias("stock_minimo"),
     )
+    return assign_ids(created, "seq", tables.producto, "id_producto")
 
 
 def register_new_pieces(tables: Tables, requests: DataFrame, prefix: str = "INV") -> DataFrame:
     """Pieces the batch inserts, with the request that inserted each."""
-    screened = _screened(tables, requests)
-    accepted = screened.join(_inserting(tables, screened), "seq", "left_semi")
-    numbered = assign_ids(accepted, "seq", tables.pieza, "id_pieza", "id_pieza")
-    created = register_new_products(tables, requests).select(
-        "codigo_original", F.col("id_producto").alias("_new")
+    accepted = requests.join(_inserting(tables, requests), "seq", "left_semi")
+    created = register_new_products(tables, requests).select("codigo_original", F.col("id_producto").alias("_new"))
+    codes = _supplier_codes(tables, requests).select("codigo_original", "_known")
+    products = codes.join(created, "codigo_original", "left").select(
+        "codigo_original", F.coalesce("_known", "_new").alias("id_producto")
     )
-    return lookup_join(numbered, created, "codigo_original").select(
+    pieces = lookup_join(accepted, products, "codigo_original").select(
         "seq",
-        "id_pieza",
-        F.coalesce("_known", "_new").alias("id_producto"),
+        "id_producto",
         "numero_serie",
         text.piece_code(F.col("numero_serie"), prefix).alias("codigo_barras"),
         F.lit(M.STATE_REGISTERED).alias("estado"),
@@ -119,6 +118,7 @@ def register_new_pieces(tables: Tables, requests: DataFrame, prefix: str = "INV"
         "caja",
         F.col("ts").alias("fecha_registro"),
     )
+    return assign_ids(pieces, "seq", tables.pieza, "id_pieza")
 
 
 def register_movements(new_pieces: DataFrame) -> DataFrame:

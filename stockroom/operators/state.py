@@ -17,9 +17,9 @@ def _settable():
     return F.coalesce(F.col("nuevo_estado").isin(M.STATES_SETTABLE), F.lit(False))
 
 
-def _current(tables: Tables, rows: DataFrame) -> DataFrame:
+def _current(tables: Tables, rows: DataFrame, requests: DataFrame) -> DataFrame:
     """Rows with the state of their piece in the snapshot."""
-    known = only_asked(tables.pieza, rows, "id_pieza").select(
+    known = only_asked(tables.pieza, requests, "id_pieza").select(
         "id_pieza", F.col("estado").alias("_estado"), F.lit(True).alias("_known")
     )
     return lookup_join(rows, known, "id_pieza")
@@ -27,7 +27,7 @@ def _current(tables: Tables, rows: DataFrame) -> DataFrame:
 
 def status_decisions(tables: Tables, requests: DataFrame) -> DataFrame:
     """An unknown state is refused before the piece is looked up; any valid change is accepted."""
-    rows = _current(tables, requests.select("seq", "id_pieza", "nuevo_estado"))
+    rows = _current(tables, requests.select("seq", "id_pieza", "nuevo_estado"), requests)
     return rows.select(
         "seq",
         *decide((~_settable(), 400, M.BAD_STATE), (F.col("_known").isNull(), 404, M.NO_PIECE)),
@@ -45,7 +45,7 @@ def status_movements(tables: Tables, requests: DataFrame, span: int = SPAN) -> D
     changes = previous_value(changes, "id_pieza", "seq", F.col("nuevo_estado"), "_previous", span)
     before = F.coalesce("_previous", "_estado")
     return (
-        _current(tables, changes)
+        _current(tables, changes, requests)
         .where(F.col("_known"))
         .select(
             "seq",

@@ -105,10 +105,8 @@ def create_users_decisions(tables: Tables, requests: DataFrame) -> DataFrame:
 
 def create_users_new(tables: Tables, requests: DataFrame) -> DataFrame:
     """Users the batch creates, with the request that created each."""
-    created = requests.join(_accepted_users(tables, requests), "seq", "left_semi")
-    return assign_ids(created, "seq", tables.usuario, "id_usuario", "id_usuario").select(
+    created = requests.join(_accepted_users(tables, requests), "seq", "left_semi").select(
         "seq",
-        "id_usuario",
         "nombre_usuario",
         "nombre_completo",
         "email",
@@ -116,6 +114,7 @@ def create_users_new(tables: Tables, requests: DataFrame) -> DataFrame:
         F.lit(True).alias("activo"),
         F.lit(None).cast("timestamp_ntz").alias("ultimo_login"),
     )
+    return assign_ids(created, "seq", tables.usuario, "id_usuario")
 
 
 # --- edits ------------------------------------------------------------------

@@ -18,7 +18,7 @@ def activity_sessions(events: DataFrame) -> DataFrame:
     most one row per slot of the time line, however active the user is.
     """
     gap = F.expr(f"interval {GAP_MINUTES} minutes")
-    slot = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / F.lit(GAP_MINUTES * 60))
+    slot = F.window("ts", f"{GAP_MINUTES} minutes").start
     slots = events.groupBy("user_id", slot.alias("_slot")).agg(
         F.min("ts").alias("_from"), F.max("ts").alias("_to"), F.count(F.lit(1)).alias("_events")
     )
