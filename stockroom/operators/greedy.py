@@ -32,7 +32,7 @@ from stockroom.session import ensure_checkpoint_dir
 
 log = logging.getLogger(__name__)
 
-TAIL_ROUNDS = 8
+TAIL_ROUNDS = 2
 TAIL_ROWS = 100_000
 _UNION_EVERY = 16
 
@@ -83,6 +83,7 @@ def _round(open_rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     winners = (
         earliest.groupBy(*columns).agg(F.count(F.lit(1)).alias("_first_under")).where(F.col("_first_under") == claimed)
     )
+    winners = winners.checkpoint()
     rows, foreign = open_rows, F.lit(False)
     for key in keys:
         owned = winners.where(F.col(key).isNotNull()).select(key, F.col("owner").alias(f"_by_{key}"))

@@ -128,7 +128,8 @@ def piece_by(tables: Tables, asked: DataFrame, column: str) -> DataFrame:
 
 def exists(asked: DataFrame, key: str, table: DataFrame, table_key: str) -> DataFrame:
     """``seq``, the key and a flag: is it known?"""
-    return with_existence(asked.select("seq", key), key, table, table_key, "existe")
+    held = only_asked(table.select(F.col(table_key).alias(key)), asked, key)
+    return with_existence(asked.select("seq", key), key, held, key, "existe")
 
 
 def new_serials(tables: Tables, asked: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from stockroom.operators.joins import decide, first_match, lookup_join, with_exi
 from stockroom.operators.ordered import SPAN, running_count
 from stockroom.operators.snapshot import merge_changes
 from stockroom.schemas import TABLES
+from stockroom.session import ensure_checkpoint_dir
 from stockroom.sources.tables import Tables
 
 _COLUMNS = TABLES["usuario"].fieldNames()
@@ -183,9 +184,11 @@ def _decided_edits(tables: Tables, requests: DataFrame) -> DataFrame:
     """Edits with ``_lost``: was a claimed value taken by an earlier edit of another user?
 
     Edits of one user that claim the same values stand or fall together, so
-    each such group contends once, at its first ``seq``.
+    each such group contends once, at its first ``seq``. The rows are needed for
+    the contest and for the decisions, so they are computed once.
     """
-    rows = _screened_edits(tables, requests)
+    ensure_checkpoint_dir(requests.sparkSession)
+    rows = _screened_edits(tables, requests).checkpoint()
     groups = rows.where(F.col("_claims").isNotNull()).groupBy("_claims").agg(F.min("seq").alias("seq"))
     won = first_come(groups.select("seq", "_claims.*"), _CLAIMS)
     winners = groups.join(won, "seq", "left_semi").select("_claims", F.lit(True).alias("_won"))
