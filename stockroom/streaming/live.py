@@ -14,7 +14,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from stockroom.operators.alerts import low_stock_alerts
 from stockroom.operators.lookup import lookup_table, resolve_stream
@@ -37,7 +37,7 @@ def _write(frame: DataFrame, root: str, name: str, batch: int) -> None:
 
 def _earlier(spark: SparkSession, root: str, name: str, schema: StructType, batch: int) -> DataFrame:
     """Rows of earlier batches, with ``batch_id``."""
-    full = StructType(schema.fields).add("batch_id", "bigint")
+    full = StructType([*schema.fields, StructField("batch_id", LongType())])
     try:
         frame = spark.read.schema(full).parquet(f"{root}/{name}")
     except AnalysisException:
@@ -47,7 +47,7 @@ def _earlier(spark: SparkSession, root: str, name: str, schema: StructType, batc
 
 def written(spark: SparkSession, root: str, name: str, schema: StructType) -> DataFrame:
     """All rows the batches have written."""
-    return spark.read.schema(StructType(schema.fields)).parquet(f"{root}/{name}")
+    return spark.read.schema(schema).parquet(f"{root}/{name}").select(*schema.fieldNames())
 
 
 def _start(stream: DataFrame, root: str, name: str, handle: Callable[[DataFrame, int], None], **trigger):

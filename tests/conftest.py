@@ -16,7 +16,7 @@ def spark():
     session = build_session(
         "tests",
         "local[8]",
-        spark__sql__shuffle__partitions=8,
+        spark__sql__shuffle__partitions=2,
         spark__driver__memory="4g",
         spark__ui__showConsoleProgress="false",
     )
