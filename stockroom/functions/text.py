@@ -2,28 +2,28 @@
 
 from __future__ import annotations
 
+from string import Formatter
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from stockroom import messages as M
 
-# White space as the server trims it, and as the entry forms trim it.
-_SERVER_SPACE = r"[\t-\r\x1C- \x85\p{Z}]+"
-_FORM_SPACE = r"[\t-\r\x{FEFF}\p{Z}]+"
-
-
-def _strip(value: Column, space: str) -> Column:
-    return F.regexp_replace(value, f"^{space}|{space}$", "")
+# White space as the server trims it, and as the entry forms trim it.
+_SPACE_SEPARATORS = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+_LINE_SEPARATORS = "\t\n\x0b\f\r\u2028\u2029"
+_SERVER_SPACE = _SPACE_SEPARATORS + _LINE_SEPARATORS + "\x1c\x1d\x1e\x1f\x85"
+_FORM_SPACE = _SPACE_SEPARATORS + _LINE_SEPARATORS + "\ufeff"
 
 
 def strip(value: Column) -> Column:
-    """Drop white space of every kind from both ends (``trim`` drops blanks only)."""
-    return _strip(value, _SERVER_SPACE)
+    """Drop white space of every kind from both ends (plain ``trim`` drops blanks only)."""
+    return F.btrim(value, F.lit(_SERVER_SPACE))
 
 
 def form_trim(value: Column) -> Column:
     """Like ``strip``, with the white space an entry form drops."""
-    return _strip(value, _FORM_SPACE)
+    return F.btrim(value, F.lit(_FORM_SPACE))
 
 
 def blank(value: Column) -> Column:
@@ -73,6 +73,17 @@ def state_note(before: Column, after: Column, remark: Column) -> Column:
     )
 
 
+def filled(template: str) -> Column:
+    """A text whose ``{column}`` fields are filled from the row."""
+    parts = []
+    for literal, column, _, _ in Formatter().parse(template):
+        if literal:
+            parts.append(F.lit(literal))
+        if column:
+            parts.append(F.coalesce(F.col(column).cast("string"), F.lit("None")))
+    return F.concat(*parts)
+
+
 def parse_timestamp(value: Column, pattern: str = "yyyy-MM-dd HH:mm:ss") -> Column:
     """Text to timestamp; text that is none gives NULL."""
     return F.try_to_timestamp(value, F.lit(pattern)).cast("timestamp_ntz")

@@ -47,10 +47,17 @@ FORM_EMAIL_REQUIRED = "El correo electrónico es obligatorio"
 FORM_OWN_ROLE = "No puedes cambiar tu propio rol"
 FORM_UNCHANGED = "No se realizaron modificaciones."
 
-# Texts of success and display.
+# Texts of success; a field in braces stands for the column of that name.
 REGISTERED = "Pieza registrada exitosamente"
-REGISTERED_NOTE = "Pieza registrada e ingresada al sistema"
+STATE_SET = "Estado de la pieza {id_pieza} actualizado a {nuevo_estado}"
 LEFT = "Salida registrada exitosamente"
+USER_CREATED = "Usuario '{nombre_completo}' creado exitosamente con rol 'Operario' (ID {id_usuario})"
+PRODUCT_CREATED = "Producto '{nombre}' creado exitosamente"
+USER_EDITED = "Usuario ID {id_usuario} actualizado exitosamente"
+USER_SWITCHED = "Usuario ID {id_usuario} {estado_texto} exitosamente"
+
+# Texts of journal and display.
+REGISTERED_NOTE = "Pieza registrada e ingresada al sistema"
 DELETED_USER = "Usuario eliminado"
 NOT_AVAILABLE = "N/A"
 NO_NAME = "Sin nombre"

@@ -63,6 +63,7 @@ def checkout_decisions(
             (~F.col("_stored") | gone, 400, M.NOT_STORED),
             (F.col("_user").isNull(), 404, M.NO_USER),
             (~F.col("_allowed"), 403, M.CHECKOUT_DENIED),
+            done=M.LEFT,
         ),
     )
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from stockroom.functions import text
+
 
 def _binary(frame: DataFrame, key: str) -> bool:
     kind = frame.schema[key].dataType
@@ -72,17 +74,23 @@ def unseen(
     return rows.join(held, key, "left_anti")
 
 
-def decide(*checks: tuple[Column, int, str]) -> list[Column]:
-    """``accepted``, ``status`` and ``reason`` from checks in order; the first that fires rejects."""
+def decide(*checks: tuple[Column, int, str], done: str | None = None) -> list[Column]:
+    """``accepted``, ``status`` and ``reason`` from checks in order; the first that fires rejects.
+
+    With ``done``, a text with fields to fill from the row, also ``mensaje`` for accepted rows.
+    """
     status, reason = F, F
-    for fires, code, text in checks:
+    for fires, code, why in checks:
         status = status.when(fires, F.lit(code))
-        reason = reason.when(fires, F.lit(text))
+        reason = reason.when(fires, F.lit(why))
     rejected = F.lit(False)
     for fires, _, _ in checks:
         rejected = rejected | F.coalesce(fires, F.lit(False))
-    return [
+    columns = [
         (~rejected).alias("accepted"),
         status.otherwise(F.lit(200)).alias("status"),
         reason.otherwise(F.lit(None).cast("string")).alias("reason"),
     ]
+    if done is not None:
+        columns.append(F.when(~rejected, text.filled(done)).alias("mensaje"))
+    return columns

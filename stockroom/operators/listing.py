@@ -87,18 +87,18 @@ def inventory_display(listing: DataFrame, rol: str | None = None) -> DataFrame:
 def distinct_products(tables: Tables) -> DataFrame:
     """Product names of the listing, once each, in the order they first appear in it.
 
-    Pieces are reduced to one row per product before the names are joined.
+    Pieces are reduced to one row per product before the names are joined. The
+    listing does not say which of two pieces of the same moment comes first;
+    here the names decide.
     """
-    newest = F.max(F.struct("fecha_registro", "id_pieza"))
-    per_product = tables.pieza.groupBy("id_producto").agg(newest.alias("_newest"))
     names = tables.producto.select("id_producto", F.col("nombre").alias("nombre_producto"))
     return (
-        per_product.join(names, "id_producto", "left")
+        tables.pieza.groupBy("id_producto")
+        .agg(F.max("fecha_registro").alias("_newest"))
+        .join(names, "id_producto", "left")
         .groupBy("nombre_producto")
-        .agg(F.max("_newest").alias("_newest"))
-        .select("nombre_producto", F.col("_newest.fecha_registro").alias("ultima_fecha"), "_newest")
-        .orderBy(F.desc("ultima_fecha"), F.desc("_newest.id_pieza"))
-        .drop("_newest")
+        .agg(F.max("_newest").alias("ultima_fecha"))
+        .orderBy(F.desc("ultima_fecha"), "nombre_producto")
     )
 
 

@@ -44,6 +44,7 @@ def create_products_decisions(tables: Tables, requests: DataFrame, form: bool =
             (F.col("_incomplete"), 400, M.FORM_INCOMPLETE),
             (F.col("_negative"), 400, M.FORM_NEGATIVE),
             (F.col("_creates").isNull(), 400, M.PRODUCT_CLASH),
+            done=M.PRODUCT_CREATED,
         ),
     )
 

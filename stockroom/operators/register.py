@@ -82,6 +82,7 @@ def register_decisions(tables: Tables, requests: DataFrame) -> DataFrame:
         *decide(
             (~F.col("_has_product"), 400, M.NAME_REQUIRED),
             (F.col("_inserts").isNull(), 400, M.SERIAL_KNOWN),
+            done=M.REGISTERED,
         ),
     )
 

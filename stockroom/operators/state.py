@@ -30,7 +30,11 @@ def status_decisions(tables: Tables, requests: DataFrame) -> DataFrame:
     rows = _current(tables, requests.select("seq", "id_pieza", "nuevo_estado"), requests)
     return rows.select(
         "seq",
-        *decide((~_settable(), 400, M.BAD_STATE), (F.col("_known").isNull(), 404, M.NO_PIECE)),
+        *decide(
+            (~_settable(), 400, M.BAD_STATE),
+            (F.col("_known").isNull(), 404, M.NO_PIECE),
+            done=M.STATE_SET,
+        ),
     )
 
 

@@ -115,7 +115,8 @@ def create_users_new(tables: Tables, requests: DataFrame) -> DataFrame:
         F.lit(True).alias("activo"),
         F.lit(None).cast("timestamp_ntz").alias("ultimo_login"),
     )
-    return assign_ids(created, "seq", tables.usuario, "id_usuario")
+    numbered = assign_ids(created, "seq", tables.usuario, "id_usuario")
+    return numbered.withColumn("mensaje", text.filled(M.USER_CREATED))
 
 
 # --- edits ------------------------------------------------------------------
@@ -203,6 +204,7 @@ def _edit_checks():
         (F.col("_bad_role"), 400, M.BAD_ROLE),
         (F.col("_held") | F.col("_lost"), 400, M.EDIT_CLASH),
         (F.col("_empty"), 400, M.EDIT_EMPTY),
+        done=M.USER_EDITED,
     )
 
 
@@ -243,11 +245,9 @@ def toggle_users(tables: Tables, requests: DataFrame, span: int = SPAN) -> DataF
     return (
         counted.join(users, "id_usuario", "left")
         .withColumn("activo", after)
+        .withColumn("estado_texto", text.switched(F.col("activo")))
         .select(
-            "seq",
-            *decide((F.col("_found").isNull(), 404, M.NO_USER)),
-            "activo",
-            F.when(F.col("_found"), text.switched(F.col("activo"))).alias("estado_texto"),
+            "seq", *decide((F.col("_found").isNull(), 404, M.NO_USER), done=M.USER_SWITCHED), "activo"
         )
     )
 

@@ -25,14 +25,17 @@ def _inputs() -> dict[str, str]:
     return views
 
 
-def _verdict(*checks: tuple[str, int, str]) -> str:
-    status = " ".join(f"when {test} then {code}" for test, code, _ in checks)
-    reason = " ".join(f"when {test} then {_text(why)}" for test, _, why in checks)
-    return (
-        f"(case {status} else 200 end) = 200 as accepted, "
-        f"cast(case {status} else 200 end as integer) as status, "
-        f"case {reason} end as reason"
-    )
+def _verdict(*checks: tuple[str, int, str], done: str | None = None) -> str:
+    status = "case " + " ".join(f"when {test} then {code}" for test, code, _ in checks) + " else 200 end"
+    reason = "case " + " ".join(f"when {test} then {_text(why)}" for test, _, why in checks) + " end"
+    columns = [
+        f"({status}) = 200 as accepted",
+        f"cast({status} as integer) as status",
+        f"{reason} as reason",
+    ]
+    if done:
+        columns.append(f"case when ({status}) = 200 then {done} end as mensaje")
+    return ", ".join(columns)
 
 
 _SPACE = r"[\t-\r\x{1C}- \x{85}\p{Z}]+"
@@ -248,6 +251,7 @@ _EDIT_VERDICT = _verdict(
     ("mal_rol", 400, M.BAD_ROLE),
     ("ocupado or perdida", 400, M.EDIT_CLASH),
     ("vacia", 400, M.EDIT_EMPTY),
+    done="concat('Usuario ID ', cast(e.id_usuario as varchar), ' actualizado exitosamente')",
 )
 
 _NEW_USERS_SEQ = "(select seq from rondas where suerte = 'gana')"
@@ -333,7 +337,8 @@ _FINAL: dict[str, str] = {
             (_BLANK.format(_strip("codigo_original", _FORM_SPACE)), 400, M.FORM_NO_SUPPLIER_CODE))}
         from register_requests""",
     "register_decisions": f"""
-        select seq, {_verdict(("not pasa", 400, M.NAME_REQUIRED), ("not alta", 400, M.SERIAL_KNOWN))}
+        select seq, {_verdict(("not pasa", 400, M.NAME_REQUIRED), ("not alta", 400, M.SERIAL_KNOWN),
+                             done="'Pieza registrada exitosamente'")}
         from altas""",
     "register_new_products": "select * from productos_nuevos",
     "register_new_pieces": "select * from piezas_nuevas",
@@ -344,7 +349,9 @@ _FINAL: dict[str, str] = {
                strftime(fecha_registro, '%-d/%-m/%Y') as fecha_impresion
         from piezas_nuevas""",
     "status_decisions": f"""
-        select seq, {_verdict(("not valido", 400, M.BAD_STATE), ("not conocida", 404, M.NO_PIECE))}
+        select seq, {_verdict(
+            ("not valido", 400, M.BAD_STATE), ("not conocida", 404, M.NO_PIECE),
+            done="concat('Estado de la pieza ', cast(id_pieza as varchar), ' actualizado a ', nuevo_estado)")}
         from cambios""",
     "status_movements": "select * from mov_estados",
     "status_snapshot": """
@@ -366,7 +373,8 @@ _FINAL: dict[str, str] = {
             ("not pieza_conocida", 404, M.NO_PIECE),
             ("coalesce(estado <> 'almacenado', true) or primera < seq", 400, M.NOT_STORED),
             ("not usuario_conocido", 404, M.NO_USER),
-            ("not permitido", 403, M.CHECKOUT_DENIED))}
+            ("not permitido", 403, M.CHECKOUT_DENIED),
+            done="'Salida registrada exitosamente'")}
         from salidas""",
     "checkout_movements": "select * from mov_salidas",
     "checkout_snapshot": """
@@ -378,7 +386,8 @@ _FINAL: dict[str, str] = {
         select seq, {_verdict(
             ("incompleto", 400, M.FORM_INCOMPLETE),
             ("stock_minimo < 0", 400, M.FORM_NEGATIVE),
-            ("existe or turno > 1", 400, M.PRODUCT_CLASH))}
+            ("existe or turno > 1", 400, M.PRODUCT_CLASH),
+            done="concat('Producto ''', nombre, ''' creado exitosamente')")}
         from productos_turno""",
     "create_products_new": """
         select seq, (select max(id_producto) from producto) + row_number() over (order by seq) as id_producto,
@@ -397,10 +406,12 @@ _FINAL: dict[str, str] = {
             (f"seq not in {_NEW_USERS_SEQ}", 400, M.USER_CLASH))}
         from create_user_requests""",
     "create_users_new": f"""
-        select seq, (select max(id_usuario) from usuario) + row_number() over (order by seq) as id_usuario,
-               nombre_usuario, nombre_completo, email, 'Operario' as rol, true as activo,
-               cast(null as timestamp) as ultimo_login
-        from create_user_requests where seq in {_NEW_USERS_SEQ}""",
+        select *, concat('Usuario ''', nombre_completo, ''' creado exitosamente con rol ''Operario'' (ID ',
+                         cast(id_usuario as varchar), ')') as mensaje
+        from (select seq, (select max(id_usuario) from usuario) + row_number() over (order by seq) as id_usuario,
+                     nombre_usuario, nombre_completo, email, 'Operario' as rol, true as activo,
+                     cast(null as timestamp) as ultimo_login
+              from create_user_requests where seq in {_NEW_USERS_SEQ})""",
     "edit_form": f"""
         select seq, id_usuario,
                {", ".join(f"case when {_changed(c)} then {c} end as {c}" for c in _EDIT_FORM_FIELDS)},
@@ -416,18 +427,19 @@ _FINAL: dict[str, str] = {
                      {", ".join(_strip(f"r.{c}", _FORM_SPACE) + f" as {c}" for c in _EDIT_FORM_FIELDS[:3])},
                      {", ".join(f"u.{c} as u_{c}" for c in _EDIT_FORM_FIELDS)}
               from edit_user_requests r left join usuario u on r.id_usuario = u.id_usuario)""",
-    "edit_users_decisions": f"select seq, {_EDIT_VERDICT} from edicion_decidida",
+    "edit_users_decisions": f"select seq, {_EDIT_VERDICT} from edicion_decidida e",
     "edit_users_snapshot": f"""
         select u.* replace ({", ".join(f"coalesce(e.{c}, u.{c}) as {c}" for c in _EDIT_FORM_FIELDS)})
         from usuario u left join (
             select id_usuario, {", ".join(f"arg_max({c}, seq) filter (where {c} is not null) as {c}"
                                           for c in _EDIT_FORM_FIELDS)}
-            from (select *, {_EDIT_VERDICT} from edicion_decidida) where accepted group by id_usuario
+            from (select *, {_EDIT_VERDICT} from edicion_decidida e) where accepted group by id_usuario
         ) e on u.id_usuario = e.id_usuario""",
     "toggle_users": f"""
-        select seq, {_verdict(("not conocido", 404, M.NO_USER))},
-               activo, case when activo then 'activado' when not activo then 'desactivado' end as estado_texto
-        from (select r.seq, u.id_usuario is not null as conocido,
+        select seq, activo, {_verdict(("not conocido", 404, M.NO_USER), done=
+            "concat('Usuario ID ', cast(id_usuario as varchar), "
+            "case when activo then ' activado' else ' desactivado' end, ' exitosamente')")}
+        from (select r.seq, r.id_usuario, u.id_usuario is not null as conocido,
                      u.activo <> (row_number() over (partition by r.id_usuario order by r.seq) % 2 = 1) as activo
               from toggle_user_requests r left join usuario u on r.id_usuario = u.id_usuario)""",
     "toggle_snapshot": """

@@ -8,7 +8,8 @@ and a job that is retried writes the same folder again.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from collections.abc import Callable
+from functools import partial
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -21,21 +22,34 @@ _MANIFEST = "_manifest"
 _MANIFEST_SCHEMA = "tabla STRING, version BIGINT"
 
 
-@dataclass(frozen=True)
 class Tables:
-    """The tables an operator reads, all lazy."""
+    """The tables an operator reads: ``pieza``, ``producto``, ``dron``, ``usuario``.
 
-    pieza: DataFrame
-    producto: DataFrame
-    dron: DataFrame
-    usuario: DataFrame
+    Each is opened when an operator first asks for it.
+    """
+
+    NAMES = ("pieza", "producto", "dron", "usuario")
+
+    def __init__(self, **sources: DataFrame | Callable[[], DataFrame]):
+        missing = set(self.NAMES) - set(sources)
+        if missing:
+            raise ValueError(f"missing tables: {sorted(missing)}")
+        self._sources = dict(sources)
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in self.NAMES:
+            raise AttributeError(name)
+        source = self._sources[name]
+        if not isinstance(source, DataFrame):
+            source = self._sources[name] = source()
+        return source
 
     def with_(self, **changed: DataFrame) -> Tables:
-        return replace(self, **changed)
+        return Tables(**(self._sources | changed))
 
     def collated(self, collation: str) -> Tables:
         """Compare texts the way ``collation`` says, e.g. ``UTF8_LCASE`` (default: byte by byte)."""
-        return Tables(*(collate_texts(getattr(self, name), collation) for name in self.__dict__))
+        return Tables(**{name: collate_texts(getattr(self, name), collation) for name in self.NAMES})
 
 
 def collate_texts(frame: DataFrame, collation: str) -> DataFrame:
@@ -99,7 +113,7 @@ def read_jdbc_table(spark: SparkSession, url: str, name: str, **options) -> Data
 
 
 def load_tables(spark: SparkSession, root: str) -> Tables:
-    return Tables(**{name: read_parquet_table(spark, root, name) for name in Tables.__annotations__})
+    return Tables(**{name: partial(read_parquet_table, spark, root, name) for name in Tables.NAMES})
 
 
 def append_rows(frame: DataFrame, root: str, name: str) -> None:

@@ -7,6 +7,8 @@ its source table whole.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 
 from stockroom.schemas import REQUESTS, TABLES
@@ -227,7 +229,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tables(spark: SparkSession, sf_dir: str) -> Tables:
-    return Tables(**{name: table(spark, sf_dir, name) for name in Tables.__annotations__})
+    return Tables(**{name: partial(table, spark, sf_dir, name) for name in Tables.NAMES})
 
 
 def requests(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:

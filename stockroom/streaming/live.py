@@ -2,8 +2,12 @@
 
 Each micro-batch writes what it adds under ``batch_id=N`` and reads only the
 folders of earlier batches, so a batch that is retried sees the same tables and
-writes the same folder again. Tables are never rewritten: a batch costs what it
-adds, plus a read of the pieces it touches.
+writes the same folder again. Tables are not rewritten by the stream.
+
+What the batches have written grows, and every batch reads it. From time to
+time it is folded into the tables (``pieces_now``, ``tables_after`` and
+``write_version``); a stream started on those with ``since=N`` skips the folders
+of the batches before ``N``.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
 from stockroom.operators.alerts import low_stock_alerts
+from stockroom.operators.joins import only_asked
 from stockroom.operators.lookup import lookup_table, resolve_stream
 from stockroom.operators.register import (
     register_decisions,
@@ -35,14 +40,16 @@ def _write(frame: DataFrame, root: str, name: str, batch: int) -> None:
     frame.write.mode("overwrite").parquet(f"{root}/{name}/batch_id={batch}")
 
 
-def _earlier(spark: SparkSession, root: str, name: str, schema: StructType, batch: int) -> DataFrame:
-    """Rows of earlier batches, with ``batch_id``."""
+def _earlier(
+    spark: SparkSession, root: str, name: str, schema: StructType, batch: int, since: int = 0
+) -> DataFrame:
+    """Rows of earlier batches, with ``batch_id``; other folders are not opened."""
     full = StructType([*schema.fields, StructField("batch_id", LongType())])
     try:
         frame = spark.read.schema(full).parquet(f"{root}/{name}")
     except AnalysisException:
         return spark.createDataFrame([], full)
-    return frame.where(F.col("batch_id") < batch)
+    return frame.where((F.col("batch_id") >= since) & (F.col("batch_id") < batch))
 
 
 def written(spark: SparkSession, root: str, name: str, schema: StructType) -> DataFrame:
@@ -67,15 +74,20 @@ def pieces_now(pieces: DataFrame, journal: DataFrame) -> DataFrame:
     return merge_changes(pieces, last, "id_pieza")
 
 
-def live_status_stream(tables: Tables, changes: DataFrame, root: str, **trigger) -> StreamingQuery:
+def live_status_stream(
+    tables: Tables, changes: DataFrame, root: str, since: int = 0, **trigger
+) -> StreamingQuery:
     """State changes as they come; the journal is the state.
 
-    A batch starts from the snapshot and the journal of the earlier batches.
+    A batch starts from the snapshot and the journal of the earlier batches,
+    as far as they concern its pieces.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        journal = _earlier(batch.sparkSession, root, "movimiento", TABLES["movimiento"], batch_id)
-        now = tables.with_(pieza=pieces_now(tables.pieza, journal))
+        schema = TABLES["movimiento"]
+        journal = _earlier(batch.sparkSession, root, "movimiento", schema, batch_id, since)
+        pieces = only_asked(tables.pieza, batch, "id_pieza")
+        now = tables.with_(pieza=pieces_now(pieces, only_asked(journal, batch, "id_pieza")))
         _write(status_movements(now, batch), root, "movimiento", batch_id)
 
     return _start(changes, root, "live_status", handle, **trigger)
@@ -86,7 +98,7 @@ _NEW_PRODUCTS = StructType([TABLES["movimiento"]["seq"], *TABLES["producto"].fie
 
 
 def register_stream(
-    tables: Tables, registrations: DataFrame, root: str, prefix: str = "INV", **trigger
+    tables: Tables, registrations: DataFrame, root: str, prefix: str = "INV", since: int = 0, **trigger
 ) -> StreamingQuery:
     """Registrations as they come, and the low-stock alerts after each batch."""
 
@@ -94,8 +106,8 @@ def register_stream(
         spark = batch.sparkSession
         now = tables_after(
             tables,
-            _earlier(spark, root, "producto", _NEW_PRODUCTS, batch_id),
-            _earlier(spark, root, "pieza", _NEW_PIECES, batch_id),
+            _earlier(spark, root, "producto", _NEW_PRODUCTS, batch_id, since),
+            _earlier(spark, root, "pieza", _NEW_PIECES, batch_id, since),
         )
         _write(register_decisions(now, batch), root, "decisiones", batch_id)
         _write(register_new_products(now, batch), root, "producto", batch_id)
