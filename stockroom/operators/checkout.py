@@ -36,15 +36,18 @@ def _screened(
 def _takes(
     tables: Tables, requests: DataFrame, required_state: str, allowed_roles: Sequence[str]
 ) -> DataFrame:
-    """Per piece, the request that takes it out; both filters reach the scans."""
-    stored = tables.pieza.where(F.col("estado") == required_state)
-    allowed = tables.usuario.where(F.col("rol").isin(list(allowed_roles)))
+    """Per piece, the request that takes it out; both filters reach the scans.
+
+    Requests are reduced to one per piece before the pieces are joined.
+    """
+    stored = tables.pieza.where(F.col("estado") == required_state).select("id_pieza")
+    allowed = tables.usuario.where(F.col("rol").isin(list(allowed_roles))).select("id_usuario")
     return (
         requests.select("seq", "id_pieza", "id_usuario")
-        .join(allowed.select("id_usuario"), "id_usuario", "left_semi")
-        .join(only_asked(stored.select("id_pieza"), requests, "id_pieza"), "id_pieza", "left_semi")
+        .join(allowed, "id_usuario", "left_semi")
         .groupBy("id_pieza")
         .agg(F.min("seq").alias("_taken_at"))
+        .join(stored, "id_pieza")
     )
 
 

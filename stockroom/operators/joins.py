@@ -6,13 +6,15 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import DataType, StringType, StructType
 
 from stockroom.functions import text
 
 
-def _binary(frame: DataFrame, key: str) -> bool:
-    kind = frame.schema[key].dataType
+def _binary(kind: DataType) -> bool:
+    """Are values of the type equal only if their bytes are?"""
+    if isinstance(kind, StructType):
+        return all(_binary(f.dataType) for f in kind.fields)
     return not isinstance(kind, StringType) or kind.simpleString() == "string"
 
 
@@ -26,7 +28,7 @@ def lookup_join(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
     but asks for that shuffle of the (narrow) table; the frequent key is split
     at run time, whatever its share. Small tables are broadcast as always.
     """
-    if not _binary(rows, key) or not _binary(table, key):
+    if not _binary(rows.schema[key].dataType) or not _binary(table.schema[key].dataType):
         return rows.join(table, key, "left")
     guard = F.xxhash64(F.col(key))
     spread = guard

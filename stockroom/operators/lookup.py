@@ -82,7 +82,7 @@ def scan_lookup(tables: Tables, scans: DataFrame) -> DataFrame:
 
 
 def resolve_stream(scans: DataFrame, table: DataFrame) -> DataFrame:
-    """The same for a stream of scans and a static lookup table."""
+    """The same for a stream of scans and a static lookup table, joined anew with every batch."""
     return _shape(scans.select("seq", "codigo").join(table, "codigo", "left"))
 
 

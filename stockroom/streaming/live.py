@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from stockroom.operators.alerts import low_stock_alerts
 from stockroom.operators.joins import only_asked
-from stockroom.operators.lookup import lookup_table, resolve_stream
+from stockroom.operators.lookup import lookup_table, resolve, resolve_stream
 from stockroom.operators.register import (
     register_decisions,
     register_movements,
@@ -58,8 +59,16 @@ def written(spark: SparkSession, root: str, name: str, schema: StructType) -> Da
 
 
 def _start(stream: DataFrame, root: str, name: str, handle: Callable[[DataFrame, int], None], **trigger):
+    def once(batch: DataFrame, batch_id: int) -> None:
+        """The steps of a batch read its requests several times; keep them for that long."""
+        batch.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            handle(batch, batch_id)
+        finally:
+            batch.unpersist()
+
     return (
-        stream.writeStream.foreachBatch(handle)
+        stream.writeStream.foreachBatch(once)
         .option("checkpointLocation", f"{root}/_checkpoint/{name}")
         .trigger(**(trigger or {"availableNow": True}))
         .start()
@@ -87,7 +96,7 @@ def live_status_stream(
         schema = TABLES["movimiento"]
         journal = _earlier(batch.sparkSession, root, "movimiento", schema, batch_id, since)
         pieces = only_asked(tables.pieza, batch, "id_pieza")
-        now = tables.with_(pieza=pieces_now(pieces, only_asked(journal, batch, "id_pieza")))
+        now = tables.with_(pieza=pieces_now(pieces, journal))
         _write(status_movements(now, batch), root, "movimiento", batch_id)
 
     return _start(changes, root, "live_status", handle, **trigger)
@@ -120,6 +129,24 @@ def register_stream(
     return _start(registrations, root, "register", handle, **trigger)
 
 
-def scan_stream(tables: Tables, scans: DataFrame) -> DataFrame:
-    """Scans as they come, joined with the static lookup table."""
-    return resolve_stream(scans, lookup_table(tables))
+def write_lookup_table(tables: Tables, path: str) -> None:
+    """Build the lookup table once, so that a stream of scans need not build it for every batch."""
+    lookup_table(tables).write.mode("overwrite").parquet(path)
+
+
+def scan_stream(table: DataFrame, scans: DataFrame) -> DataFrame:
+    """Scans as they come, joined with a static lookup table of moderate size."""
+    return resolve_stream(scans, table)
+
+
+def scan_batch_stream(table: DataFrame, scans: DataFrame, root: str, **trigger) -> StreamingQuery:
+    """The same for a lookup table of any size.
+
+    The codes of a batch are few: they are sent to the table, which is scanned
+    but not shuffled.
+    """
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        _write(resolve(batch, only_asked(table, batch, "codigo")), root, "hallazgos", batch_id)
+
+    return _start(scans, root, "scans", handle, **trigger)

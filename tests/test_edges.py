@@ -222,6 +222,10 @@ def test_collation(tables, spark):
     batch = collate_texts(spark.createDataFrame(rows, REQUESTS["register"]), "UTF8_LCASE")
     decided = register.register_decisions(tables.collated("UTF8_LCASE"), batch)
     assert {r.seq: r.reason for r in decided.collect()} == {1: None, 2: M.SERIAL_KNOWN}
+    rows = [(1, 1, None, "Nuevo", None, None), (2, 2, None, "nuevo", None, None), (3, 3, None, "ANA", None, None)]
+    batch = collate_texts(spark.createDataFrame(rows, REQUESTS["edit_user"]), "UTF8_LCASE")
+    edited = users.edit_users_decisions(tables.collated("UTF8_LCASE"), batch)
+    assert {r.seq: r.accepted for r in edited.collect()} == {1: True, 2: False, 3: False}
 
 
 def test_text_functions(spark):

@@ -24,6 +24,16 @@ def large(spark):
         spark.conf.unset(n) if v is None else spark.conf.set(n, v)
 
 
+_CACHE = {}
+
+
+def large_plan(spark, sf_dir, name):
+    """The plan of a query over large tables; building one may run jobs, so it is kept."""
+    if name not in _CACHE:
+        _CACHE[name] = plan(QUERIES[name](spark, sf_dir))
+    return _CACHE[name]
+
+
 def plan(frame, run=False):
     if run:
         frame.collect()
@@ -32,7 +42,7 @@ def plan(frame, run=False):
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_pairwise_joins_and_no_python(large, small, name):
-    text = plan(QUERIES[name](large, small))
+    text = large_plan(large, small, name)
     for bad in ("NestedLoop", "CartesianProduct", "ArrowEvalPython", "BatchEvalPython", "FlatMapGroups"):
         assert bad not in text, name
 
@@ -40,7 +50,7 @@ def test_no_pairwise_joins_and_no_python(large, small, name):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_global_windows_only_over_counts(large, small, name):
     """A window without a key may only run over one row per chunk."""
-    lines = plan(QUERIES[name](large, small)).splitlines()
+    lines = large_plan(large, small, name).splitlines()
     for i, line in enumerate(lines):
         if "Exchange SinglePartition" in line:
             above = "".join(lines[max(0, i - 3): i])
@@ -113,3 +123,11 @@ def test_rows_without_a_key_are_kept(spark):
 
 def test_session_defaults(spark):
     assert build_session().conf.get("spark.sql.adaptive.forceOptimizeSkewedJoin") == "true"
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_windows_are_bounded(large, small, name):
+    """Windows run inside a chunk of the order, or over one row per chunk or time slot."""
+    for line in large_plan(large, small, name).splitlines():
+        if "Window [" in line or "Window(" in line:
+            assert "_chunk" in line or "_slot" in line, line

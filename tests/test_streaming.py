@@ -117,8 +117,10 @@ def test_scans(spark, small, tmp_path):
     tables = testdata.tables(spark, small)
     scans = testdata.requests(spark, small, "scan")
     drop_files(scans, str(tmp_path / "in"), "seq")
+    live.write_lookup_table(tables, str(tmp_path / "lookup"))
+    table = spark.read.parquet(str(tmp_path / "lookup"))
     query = (
-        live.scan_stream(tables, stream(spark, "scan", str(tmp_path / "in")))
+        live.scan_stream(table, stream(spark, "scan", str(tmp_path / "in")))
         .writeStream.format("parquet")
         .option("checkpointLocation", str(tmp_path / "ck"))
         .trigger(availableNow=True)
@@ -127,7 +129,13 @@ def test_scans(spark, small, tmp_path):
     query.awaitTermination()
     assert query.exception() is None
     batch = lookup.scan_lookup(tables, scans)
-    assert rows(spark.read.parquet(str(tmp_path / "out")), *batch.columns) == rows(batch, *batch.columns)
+    expected = rows(batch, *batch.columns)
+    assert rows(spark.read.parquet(str(tmp_path / "out")), *batch.columns) == expected
+    query = live.scan_batch_stream(table, stream(spark, "scan", str(tmp_path / "in")), str(tmp_path / "root"))
+    query.awaitTermination()
+    assert query.exception() is None
+    found = spark.read.parquet(str(tmp_path / "root" / "hallazgos"))
+    assert rows(found, *batch.columns) == expected
 
 
 def test_requests_have_a_schema():
