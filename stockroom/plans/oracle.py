@@ -52,32 +52,31 @@ _BLANK = "coalesce({0} = '', true)"
 
 _STEPS: dict[str, str] = {
     "listado": f"""
-        select p.id_pieza, p.codigo_barras, p.numero_serie, p.estado, p.caja, p.fecha_registro,
-               pr.nombre as nombre_producto, d.nombre as nombre_dron,
-               coalesce(u.nombre_usuario, {_text(M.DELETED_USER)}) as nombre_usuario
-        from pieza p left join producto pr on p.id_producto = pr.id_producto
-             left join dron d on pr.id_dron = d.id
-             left join usuario u on p.id_usuario = u.id_usuario""",
+        select id_pieza, codigo_barras, numero_serie, estado, caja, fecha_registro,
+               producto.nombre as nombre_producto, dron.nombre as nombre_dron,
+               ifnull(nombre_usuario, {_text(M.DELETED_USER)}) as nombre_usuario
+        from pieza left join producto using (id_producto) left join dron on id = id_dron
+             left join usuario using (id_usuario)""",
     "alertas": """
-        select p.id_producto, p.nombre, p.stock_minimo, count(pi.id_pieza) as stock_actual
-        from producto p
-             left join pieza pi on p.id_producto = pi.id_producto and pi.estado = 'disponible'
-        where p.stock_minimo > 0
-        group by p.id_producto, p.nombre, p.stock_minimo
-        having count(pi.id_pieza) < p.stock_minimo""",
+        select id_producto, nombre, stock_minimo, ifnull(n, 0) as stock_actual
+        from producto left join (select id_producto, count(*) as n from pieza
+                                 where estado = 'disponible' group by all) using (id_producto)
+        where ifnull(n, 0) < stock_minimo and stock_minimo > 0""",
+    "con_nombre": """
+        select pieza.*, nombre as nombre_producto from pieza join producto using (id_producto)""",
     "claves": """
-        select p.codigo_barras as codigo, 1 as prioridad, p.id_pieza as id, p.id_pieza, p.numero_serie,
-               p.estado, p.caja, pr.nombre as nombre_producto, cast(null as bigint) as id_producto,
-               cast(null as varchar) as codigo_original, cast(null as varchar) as nombre,
-               cast(null as varchar) as descripcion, cast(null as bigint) as id_dron
-        from pieza p join producto pr on p.id_producto = pr.id_producto
-        union all
-        select p.numero_serie, 2, p.id_pieza, p.id_pieza, p.numero_serie, p.estado, p.caja, pr.nombre,
-               null, null, null, null, null
-        from pieza p join producto pr on p.id_producto = pr.id_producto
-        union all
-        select codigo_original, 3, id_producto, null, null, null, null, null,
-               id_producto, codigo_original, nombre, descripcion, id_dron
+        select codigo_barras as codigo, 1 as prioridad, id_pieza as id, id_pieza, numero_serie, estado, caja,
+               nombre_producto, cast(null as bigint) as id_producto, cast(null as varchar) as codigo_original,
+               cast(null as varchar) as nombre, cast(null as varchar) as descripcion,
+               cast(null as bigint) as id_dron
+        from con_nombre
+        union all by name
+        select numero_serie as codigo, 2 as prioridad, id_pieza as id, id_pieza, numero_serie, estado, caja,
+               nombre_producto
+        from con_nombre
+        union all by name
+        select codigo_original as codigo, 3 as prioridad, id_producto as id, id_producto, codigo_original,
+               nombre, descripcion, id_dron
         from producto""",
     "hallazgos": f"""
         select s.seq, s.codigo,
@@ -233,15 +232,14 @@ _STEPS: dict[str, str] = {
         select id_usuario, max(ts) as ultimo_login from ingresos where activo and password_ok
         group by id_usuario""",
     "exportado": """
-        select cast(p.id_pieza as varchar) as "ID Pieza", coalesce(pr.nombre, '') as "Producto",
-               coalesce(d.nombre, '') as "Dron", coalesce(p.codigo_barras, '') as "Código de Barras",
-               coalesce(p.numero_serie, '') as "Número de Serie", coalesce(p.estado, '') as "Estado",
-               coalesce(strftime(p.fecha_registro, '%d/%m/%Y %H:%M'), '') as "Fecha de Registro",
-               coalesce(u.nombre_usuario, '') as "Registrado por", coalesce(p.caja, '') as "Caja"
-        from pieza p left join producto pr on p.id_producto = pr.id_producto
-             left join dron d on pr.id_dron = d.id
-             left join usuario u on p.id_usuario = u.id_usuario
-        where p.estado = 'disponible'""",
+        select cast(id_pieza as varchar) as "ID Pieza", ifnull(producto.nombre, '') as "Producto",
+               ifnull(dron.nombre, '') as "Dron", ifnull(codigo_barras, '') as "Código de Barras",
+               ifnull(numero_serie, '') as "Número de Serie", estado as "Estado",
+               ifnull(strftime(fecha_registro, '%d/%m/%Y %H:%M'), '') as "Fecha de Registro",
+               ifnull(nombre_usuario, '') as "Registrado por", ifnull(caja, '') as "Caja"
+        from pieza left join producto using (id_producto) left join dron on id = id_dron
+             left join usuario using (id_usuario)
+        where estado = 'disponible'""",
 }
 
 _RECURSIVE = {"rondas", "reclamos_rondas"}

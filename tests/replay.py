@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 
+# Fixed values.
 STATES = ["disponible", "en_venta", "en_garantia", "en_reparacion"]
 EMAIL = re.compile(r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$")
 
