@@ -111,5 +111,5 @@ def _one_by_one(open_rows: DataFrame, keys: Sequence[str]) -> DataFrame:
                     kept.append(row["seq"])
             yield pd.DataFrame({"seq": pd.Series(kept, dtype="int64")})
 
-    one_task = open_rows.coalesce(1).sortWithinPartitions("seq")
+    one_task = open_rows.repartition(1).sortWithinPartitions("seq")
     return one_task.mapInPandas(decide, "seq bigint")
