@@ -84,13 +84,34 @@ def filled(template: str) -> Column:
     return F.concat(*parts)
 
 
-def parse_timestamp(value: Column, pattern: str = "yyyy-MM-dd HH:mm:ss") -> Column:
+def parse_timestamp(value: Column) -> Column:
     """Text to timestamp; text that is none gives NULL."""
-    return F.try_to_timestamp(value, F.lit(pattern)).cast("timestamp_ntz")
+    return value.try_cast("timestamp_ntz")
+
+
+def _clock(value: Column) -> Column:
+    """``yyyy-MM-dd HH:mm:ss`` as the clock on the wall showed it.
+
+    ``date_format`` would pass through the session time zone, and move times
+    that a change of daylight saving time leaves out there.
+    """
+    return F.substring(value.cast("timestamp_ntz").cast("string"), 1, 19)
 
 
 def export_date(value: Column) -> Column:
-    return F.coalesce(F.date_format(value, "dd/MM/yyyy HH:mm"), F.lit(""))
+    """``dd/MM/yyyy HH:mm``, or an empty text."""
+    clock = _clock(value)
+    day, month, year = F.substring(clock, 9, 2), F.substring(clock, 6, 2), F.substring(clock, 1, 4)
+    date = F.concat(day, F.lit("/"), month, F.lit("/"), year)
+    return F.coalesce(F.concat(date, F.lit(" "), F.substring(clock, 12, 5)), F.lit(""))
+
+
+def label_date(value: Column) -> Column:
+    """``d/M/yyyy``"""
+    date = value.cast("date")
+    return F.concat(
+        F.day(date).cast("string"), F.lit("/"), F.month(date).cast("string"), F.lit("/"), F.year(date).cast("string")
+    )
 
 
 def export_text(value: Column) -> Column:
@@ -103,7 +124,7 @@ def whole_number(value: Column) -> Column:
 
 
 def last_login_text(value: Column) -> Column:
-    return F.coalesce(F.date_format(value, "yyyy-MM-dd HH:mm:ss"), F.lit(M.NEVER))
+    return F.coalesce(_clock(value), F.lit(M.NEVER))
 
 
 def yes_no(flag: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stockroom import messages as M
 from stockroom.functions import text
 from stockroom.operators.ids import assign_ids
-from stockroom.operators.joins import decide, unseen
+from stockroom.operators.joins import decide
 from stockroom.sources.tables import Tables
 
 _TEXTS = ["codigo_original", "nombre", "descripcion"]
@@ -31,7 +31,8 @@ def _creating(tables: Tables, checked: DataFrame) -> DataFrame:
         .groupBy("nombre")
         .agg(F.min("seq").alias("seq"))
     )
-    return unseen(first, "nombre", tables.producto, "nombre").select("seq", F.lit(True).alias("_creates"))
+    names = tables.producto.select("nombre")
+    return first.join(names, "nombre", "left_anti").select("seq", F.lit(True).alias("_creates"))
 
 
 def create_products_decisions(tables: Tables, requests: DataFrame, form: bool = True) -> DataFrame:

@@ -146,7 +146,7 @@ def label_manifest(new_pieces: DataFrame, base_url: str) -> DataFrame:
         "codigo_barras",
         path.alias("ruta"),
         F.concat(base, F.lit("/"), path).alias("ruta_etiqueta"),
-        F.date_format("fecha_registro", "d/M/yyyy").alias("fecha_impresion"),
+        text.label_date(F.col("fecha_registro")).alias("fecha_impresion"),
     )
 
 

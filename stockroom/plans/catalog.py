@@ -345,7 +345,7 @@ def scalar_functions(t: Tables, r):
         text.yes_no(F.col("id_usuario") > 60).alias("f6_si_no"),
         text.parse_timestamp(
             F.when(F.col("seq") % 3 == 0, F.lit("nada")).otherwise(
-                F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+                F.substring(F.col("ts").cast("string"), 1, 19)
             )
         ).alias("f7_fecha"),
         text.export_date(F.when(F.col("seq") % 5 != 0, F.col("ts"))).alias("f8_fecha"),

@@ -43,6 +43,8 @@ def stream_activity_sessions(events: DataFrame, late: str = "10 minutes") -> Dat
     ``withWatermark`` wants a timestamp with a time zone; the session time zone
     must be UTC. Events later than ``late`` are dropped.
     """
+    if events.sparkSession.conf.get("spark.sql.session.timeZone") not in ("UTC", "Etc/UTC", "GMT", "Z"):
+        raise ValueError("set spark.sql.session.timeZone to UTC")
     session = F.session_window("_at", f"{GAP_MINUTES} minutes")
     return (
         events.withColumn("_at", F.col("ts").cast("timestamp"))

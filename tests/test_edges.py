@@ -11,6 +11,7 @@ from stockroom.operators import alerts, export, listing, lookup, register, users
 from stockroom.operators.listing import InventoryFilter
 from stockroom.schemas import REQUESTS, TABLES
 from stockroom.sources.tables import Tables, collate_texts
+from stockroom.streaming.sessions import activity_sessions, stream_activity_sessions
 
 AT = datetime(2024, 3, 5, 7, 8, 9)
 
@@ -228,6 +229,30 @@ def test_collation(tables, spark):
     assert {r.seq: r.accepted for r in edited.collect()} == {1: True, 2: False, 3: False}
 
 
+def test_times_do_not_depend_on_the_time_zone(spark):
+    """In this zone the clock skips 02:30 on that day."""
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        at = spark.sql("select timestamp_ntz'2024-03-10 02:30:05.25' as at")
+        row = at.select(
+            text.export_date(F.col("at")),
+            text.last_login_text(F.col("at")),
+            text.label_date(F.col("at")),
+            text.parse_timestamp(F.lit("2024-03-10 02:30:05")).cast("string"),
+        ).first()
+        assert tuple(row) == ("10/03/2024 02:30", "2024-03-10 02:30:05", "10/3/2024", "2024-03-10 02:30:05")
+        gap = spark.sql(
+            "select 1L as user_id, 'click' as event_type, explode(array("
+            "timestamp_ntz'2024-03-10 01:55:00', timestamp_ntz'2024-03-10 02:04:00', "
+            "timestamp_ntz'2024-03-10 03:00:00')) as ts"
+        )
+        assert sorted(r.eventos for r in activity_sessions(gap).collect()) == [1, 2]
+        with pytest.raises(ValueError):
+            stream_activity_sessions(gap)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_text_functions(spark):
     values = ["  a b \t\n", " x ", "﻿y", "", None]
     frame = spark.createDataFrame([(v,) for v in values], "v string")
