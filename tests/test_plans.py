@@ -6,8 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from stockroom.operators import lookup, state, users
 from stockroom.operators.joins import lookup_join
 from stockroom.session import build_session
+from stockroom.sources import testdata
 
 QUERIES = entry.queries()
 
@@ -91,8 +93,9 @@ def test_alerts_count_before_the_shuffle(large, small):
     assert shuffle < partial  # deeper in the plan means earlier
 
 
-def test_hot_key_is_split(large):
-    """A third of the rows share a key and the other side is an aggregate."""
+@pytest.fixture
+def low_thresholds(large):
+    """Let small partitions count as large, so that a split shows on little data."""
     settings = {
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100KB",
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64KB",
@@ -101,17 +104,48 @@ def test_hot_key_is_split(large):
     before = {n: large.conf.get(n) for n in settings}
     for n, v in settings.items():
         large.conf.set(n, v)
-    try:
-        key = F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), (F.col("id") % 5000).cast("string")))
-        rows = large.range(0, 300_000, 1, 16).select(F.col("id").alias("seq"), key.alias("k"))
-        table = rows.groupBy("k").agg(F.min("seq").alias("low"))
-        joined = lookup_join(rows, table, "k").agg(F.sum("seq"), F.sum("low"), F.count("low"))
-        text = plan(joined, run=True)
-        assert "skew=true" in text
-        assert joined.first()[2] == 300_000
-    finally:
-        for n, v in before.items():
-            large.conf.set(n, v)
+    yield large
+    for n, v in before.items():
+        large.conf.set(n, v)
+
+
+def crowd(spark, prefix):
+    """Rows of which a third share a key."""
+    key = F.when(F.col("id") % 3 == 0, "hot").otherwise(
+        F.concat(F.lit(prefix), F.lpad((F.col("id") % 5000).cast("string"), 9, "0"))
+    )
+    return spark.range(0, 300_000, 1, 16).select(F.col("id").alias("seq"), key.alias("k"))
+
+
+def test_hot_key_is_split(low_thresholds):
+    """The other side is an aggregate by the same key."""
+    rows = crowd(low_thresholds, "k")
+    table = rows.groupBy("k").agg(F.min("seq").alias("low"))
+    joined = lookup_join(rows, table, "k").agg(F.sum("seq"), F.sum("low"), F.count("low"))
+    assert "skew=true" in plan(joined, run=True)
+    assert joined.first()[2] == 300_000
+
+
+def test_operators_split_a_hot_key(low_thresholds, small):
+    spark = low_thresholds
+    tables = testdata.tables(spark, small)
+    attempts = crowd(spark, "Supplier#").select(
+        "seq", F.lit(None).cast("timestamp_ntz").alias("ts"), F.col("k").alias("nombre_usuario"),
+        F.lit(True).alias("password_ok"),
+    )
+    scans = crowd(spark, "SN").select("seq", F.col("k").alias("codigo"))
+    changes = crowd(spark, "x").select(
+        "seq", F.when(F.col("k") == "hot", 7).otherwise(F.col("seq") % 1500).cast("bigint").alias("id_pieza"),
+        F.lit("en_venta").alias("nuevo_estado"),
+    )
+    for frame in (
+        users.login_audit(tables, attempts),
+        lookup.scan_lookup(tables, scans),
+        state.status_decisions(tables, changes),
+    ):
+        counted = frame.agg(F.count("*"), F.max(F.struct("*")))
+        assert "skew=true" in plan(counted, run=True)
+        assert counted.first()[0] == 300_000
 
 
 def test_rows_without_a_key_are_kept(spark):
