@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from stockroom.operators import lookup, state, users
+from stockroom.operators import checkout, lookup, register, state, users
 from stockroom.operators.joins import lookup_join
 from stockroom.session import build_session
 from stockroom.sources import testdata
@@ -138,7 +138,14 @@ def test_operators_split_a_hot_key(low_thresholds, small):
         "seq", F.when(F.col("k") == "hot", 7).otherwise(F.col("seq") % 1500).cast("bigint").alias("id_pieza"),
         F.lit("en_venta").alias("nuevo_estado"),
     )
+    registrations = crowd(spark, "C").select(
+        "seq", F.lit(None).cast("timestamp_ntz").alias("ts"), F.col("k").alias("codigo_original"),
+        F.concat(F.lit("T"), "seq").alias("numero_serie"), F.lit("N").alias("nombre_producto"),
+    )
+    checkouts = changes.select("seq", "id_pieza", (F.col("seq") % 9).alias("id_usuario"))
     for frame in (
+        register.register_decisions(tables, registrations),
+        checkout.checkout_decisions(tables, checkouts),
         users.login_audit(tables, attempts),
         lookup.scan_lookup(tables, scans),
         state.status_decisions(tables, changes),
