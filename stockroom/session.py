@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 #: Settings that hold for local runs and clusters alike; anything the caller
@@ -34,18 +32,18 @@ def build_session(app: str = "stockroom", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Make ``DataFrame.checkpoint`` usable.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables and checkpoints.
 
-    A cluster names its shared folder in ``spark.checkpoint.dir``. Only a local
-    session that names none gets a temporary folder.
+    It is the one that ``spark.checkpoint.dir`` names; a session that names
+    none keeps them below its warehouse, which driver and executors share too.
     """
-    context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="stockroom-checkpoint-")
-    context.setCheckpointDir(folder)
+    return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Make ``DataFrame.checkpoint`` usable, in the shared folder."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_folder(spark))
