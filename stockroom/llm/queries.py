@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockroom.llm import quality_classifier
+from stockroom.llm import pii_spans, quality_classifier, quality_rules, secret_scan
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,13 +18,31 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
-    labels = _read(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
-    return quality_classifier.classify(docs, labels)
+    return quality_classifier.classify(docs, quality_labels(spark, sf_dir))
+
+
+def quality_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model = quality_rules.fit(docs, quality_labels(spark, sf_dir))
+    return quality_rules.judge(docs, model)
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(_read(spark, sf_dir, "documents"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return pii_spans.find(docs, pii_spans.fit(docs))
 
 
 def queries() -> dict[str, Query]:
     """``name -> fn(spark, sf_dir)``."""
-    return {f.__name__: f for f in (op1_quality_classifier,)}
+    return {f.__name__: f for f in (op1_quality_classifier, op7_quality_rules, op8_secret_scan, op9_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
