@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockroom.llm import pii_spans, quality_classifier, quality_rules, secret_scan
+from stockroom.llm import chat_format, pii_spans, quality_classifier, quality_rules, secret_scan, token_files
+from stockroom.session import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +27,57 @@ def quality_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
+    token_files.write(_read(spark, sf_dir, "documents"), path)
+    return token_files.digests(token_files.read(spark, path))
+
+
+#: A conversation whose texts consist of control strings.
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    control = spark.range(2).select(
+        F.lit(-1).cast("bigint").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, F.lit("user")).otherwise(F.lit("assistant")).alias("role"),
+        F.lit(CONTROL_TEXT).alias("text"),
+    )
+    rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(control)
+    content = rows.withColumn("content", chat_format.text_part(F.coalesce(F.col("text"), F.lit(""))))
+    back = chat_format.read_back(chat_format.format_conversations(content))
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    trained = F.array_join("loss_texts", "")
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("bigint").alias("n_turns"),
+        F.sha2(told, 256).alias("turns_sha256"),
+        F.length(trained).cast("bigint").alias("loss_chars"),
+        F.sha2(trained, 256).alias("loss_sha256"),
+        F.length("formatted").cast("bigint").alias("formatted_chars"),
+    )
+
+
+OP6_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), escaped AS (
+  SELECT *, replace(replace(replace(role, '\', '\\'), '[', '\b'), '<', '\l') AS safe_role,
+    replace(replace(replace(text, '\', '\\'), '[', '\b'), '<', '\l') AS safe_text
+  FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  (7 + sum(length(safe_role) + length(safe_text) + 19))::BIGINT AS formatted_chars
+FROM escaped GROUP BY conv_id
+"""
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     model = quality_rules.fit(docs, quality_labels(spark, sf_dir))
@@ -42,9 +95,9 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """``name -> fn(spark, sf_dir)``."""
-    return {f.__name__: f for f in (op1_quality_classifier, op7_quality_rules, op8_secret_scan, op9_pii)}
+    return {f.__name__: f for f in (op1_quality_classifier, op3_token_files, op6_chat_format, op7_quality_rules, op8_secret_scan, op9_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
     """``name -> SQL`` for DuckDB on the same tables."""
-    return {}
+    return {"op6_chat_format": OP6_SQL}
