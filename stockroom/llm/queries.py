@@ -8,7 +8,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockroom.llm import chat_format, pii_spans, quality_classifier, quality_rules, secret_scan, token_files
+from stockroom.llm import (
+    chat_format,
+    decontamination,
+    mixing,
+    pii_spans,
+    quality_classifier,
+    quality_rules,
+    secret_scan,
+    token_files,
+)
 from stockroom.session import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +36,43 @@ def quality_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+OP2_SQL = r"""
+WITH doc AS (
+  SELECT doc_id, rowid_, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM (SELECT *, row_number() OVER () AS rowid_ FROM documents)
+), item AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM benchmark
+), test AS (
+  SELECT DISTINCT item_id, least(len(words), 10) AS length,
+    words[i : i + least(len(words), 10) - 1] AS gram
+  FROM item, unnest(range(1, len(words) - least(len(words), 10) + 2)) AS r(i)
+  WHERE len(words) > 0
+), grams AS (SELECT DISTINCT length, gram FROM test), lengths AS (SELECT DISTINCT length FROM grams),
+windows AS (
+  SELECT rowid_, length, i, words[i : i + length - 1] AS gram
+  FROM doc, lengths, unnest(range(1, len(words) - length + 2)) AS r(i)
+), found AS (SELECT w.* FROM windows AS w JOIN grams USING (length, gram)),
+hit AS (
+  SELECT rowid_, count(DISTINCT p) AS n_hit
+  FROM found, unnest(range(i, i + length)) AS r(p) GROUP BY rowid_
+), listed AS (
+  SELECT rowid_, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT rowid_, item_id::VARCHAR AS item FROM found JOIN test USING (length, gram)) GROUP BY rowid_
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+  coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN hit USING (rowid_) LEFT JOIN listed USING (rowid_)
+"""
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
     token_files.write(_read(spark, sf_dir, "documents"), path)
@@ -37,6 +83,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(_read(spark, sf_dir, "documents"))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     control = spark.range(2).select(
         F.lit(-1).cast("bigint").alias("conv_id"),
@@ -95,9 +145,9 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """``name -> fn(spark, sf_dir)``."""
-    return {f.__name__: f for f in (op1_quality_classifier, op3_token_files, op6_chat_format, op7_quality_rules, op8_secret_scan, op9_pii)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_decontamination, op3_token_files, op5_mixing, op6_chat_format, op7_quality_rules, op8_secret_scan, op9_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
     """``name -> SQL`` for DuckDB on the same tables."""
-    return {"op6_chat_format": OP6_SQL}
+    return {"op2_decontamination": OP2_SQL, "op6_chat_format": OP6_SQL}
