@@ -6,13 +6,15 @@ stops there and the others share the rest. Every document of a source is then
 wanted ``target / size`` times: the whole part as full copies, the rest as a
 fractional copy.
 
-Fractional copies are rounded in pairs. Two documents exchange words at random,
-without bias, until one of them is taken whole or not at all; the words of the
-pair stay the same. The other goes on to the next pair. Documents of a source
-are dealt into buckets of ``BUCKET`` neighbours in size; each bucket leaves at
-most one fraction, and the fractions are again dealt into buckets, up a tree,
-until one is left, which is rounded by itself. So the words taken from a source
-differ from its target by less than its one last document.
+Fractional copies are rounded in pairs: a document, and the rest of its bucket
+taken together. The two exchange words at random, without bias, until the
+document is taken whole or not at all, or the rest is; the words of the pair
+stay the same, and the rest shares its gain or loss evenly. Documents go from
+the largest to the smallest, so what is open in the end is a small one. Buckets
+hold about ``BUCKET`` documents of all sizes; each leaves at most one fraction,
+and the fractions are again dealt into buckets, up a tree, until one is left,
+which is rounded by itself. So the words taken from a source differ from its
+target by less than one document, as a rule one of the smallest.
 
 Everything is DataFrame functions; randomness is a hash of the position and the
 seed, so reruns agree. No task holds more than a bucket.
@@ -42,12 +44,14 @@ def size_of(text: Column) -> Column:
 
 
 def targets(rows: DataFrame) -> DataFrame:
-    """``source, source_size, first, target`` of every source of ``rows(source, size, _at)``.
+    """``source, source_size, first, rows, target`` of every source of ``rows(source, size, _at)``.
 
     Rows are aggregated by source before they are shuffled. What remains is one
     row per source, and the two windows without a key run over those only.
     """
-    sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.min("_at").alias("first"))
+    sums = rows.groupBy("source").agg(
+        F.sum("size").alias("source_size"), F.min("_at").alias("first"), F.count(F.lit(1)).alias("rows")
+    )
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     weighed = sums.withColumn("weight", ((F.row_number().over(by_name) - 1) % WEIGHTS + 1).cast("double"))
     # The sources that reach their limit are those with the lowest limit per weight. A source stops
@@ -63,7 +67,7 @@ def targets(rows: DataFrame) -> DataFrame:
     stays = F.when(F.col("rate") * F.col("weight") <= F.col("limit"), F.struct(F.col("limit") / F.col("weight"), "rate"))
     rate = F.min(stays).over(whole)["rate"]
     target = F.least(F.coalesce(rate * F.col("weight"), F.col("limit")), F.col("limit")).cast("double")
-    return shared.select("source", "source_size", "first", target.alias("target"))
+    return shared.select("source", "source_size", "first", "rows", target.alias("target"))
 
 
 def _uniform(*what: Column) -> Column:
@@ -71,56 +75,77 @@ def _uniform(*what: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*what), 11) / F.lit(float(1 << 53))
 
 
-#: A document in a bucket: its place, words, and the words that are still wanted of it.
-_DOC = "struct<place: bigint, size: bigint, wanted: double, random: double>"
-_STATE = f"struct<open: {_DOC}, decided: array<struct<place: bigint, extra: int>>>"
+#: A document in a bucket: its words, its place, the words that are still wanted of it, and its random number.
+_DOC = "struct<size: bigint, place: bigint, wanted: double, random: double>"
+_DECISIONS = "array<struct<place: bigint, extra: int>>"
+#: What is left of a bucket: the words of the documents to come, and those wanted of them. Their share
+#: is scale * (share at first) + shift, for every one of them alike.
+_STATE = f"struct<size: bigint, wanted: double, scale: double, shift: double, open: {_DOC}, decided: {_DECISIONS}>"
 
 
-def _decision(doc: Column, extra: Column) -> Column:
-    return F.struct(doc["place"].alias("place"), extra.cast("int").alias("extra"))
+def _document(size: Column, place: Column, wanted: Column, random: Column) -> Column:
+    named = (size.alias("size"), place.alias("place"), wanted.alias("wanted"), random.alias("random"))
+    return F.struct(*named).cast(_DOC)
 
 
 def _pair(state: Column, doc: Column) -> Column:
-    """Let the open document of the state exchange words with the next one."""
-    a, b = state["open"], doc
-    give = F.least(a["wanted"], b["size"] - b["wanted"])  # words that a can lose to b
-    take = F.least(b["wanted"], a["size"] - a["wanted"])  # words that a can gain from b
-    gains = b["random"] * (give + take) < give  # without bias: gain `take` as often as its size asks for
-    a_after = F.when(gains, a["wanted"] + take).otherwise(a["wanted"] - give)
-    b_after = F.when(gains, b["wanted"] - take).otherwise(b["wanted"] + give)
-    # whose bound was the smaller one is integral now
-    a_done = F.when(gains, take == a["size"] - a["wanted"]).otherwise(give == a["wanted"])
-    a_extra, b_extra = gains.cast("int"), F.when(gains, 0).otherwise(1)
-    moved = lambda d, wanted: F.struct(
-        d["place"].alias("place"), d["size"].alias("size"), wanted.alias("wanted"), d["random"].alias("random")
-    )
-    b_done = F.when(gains, take == b["wanted"]).otherwise(give == b["size"] - b["wanted"])
-    decided = F.when(
-        a_done & b_done, F.array(_decision(a, a_extra), _decision(b, b_extra))
-    ).when(a_done, F.array(_decision(a, a_extra))).otherwise(F.array(_decision(b, b_extra)))
-    rest = F.when(a_done & b_done, F.lit(None).cast(_DOC)).when(a_done, moved(b, b_after)).otherwise(moved(a, a_after))
-    paired = F.struct(rest.cast(_DOC).alias("open"), F.concat(state["decided"], decided).alias("decided")).cast(_STATE)
-    first = F.struct(doc.cast(_DOC).alias("open"), state["decided"].alias("decided")).cast(_STATE)
-    return F.when(a.isNull(), first).otherwise(paired)
+    """Let a document exchange words with the rest of its bucket."""
+    size = doc["size"]
+    share = state["scale"] * (doc["wanted"] / size) + state["shift"]
+    wanted = F.when(share <= 0, 0.0).when(share >= 1, size).otherwise(share * size).cast("double")
+    rest_size = state["size"] - size
+    rest = F.least(F.greatest(state["wanted"] - wanted, F.lit(0.0)), rest_size.cast("double"))
+    room = rest_size - rest
+    settled = (wanted <= 0) | (wanted >= size)
+    alone = ~settled & ((rest <= 0) | (room <= 0))  # the last one, or all the others are settled
+    give, take = F.least(wanted, room), F.least(rest, size - wanted)
+    gains = ~settled & ~alone & (doc["random"] * (give + take) < give)
+    loses = ~settled & ~alone & ~gains
+    whole = F.when(settled, wanted >= size).otherwise(gains & (take == size - wanted))
+    nothing = F.when(settled, wanted <= 0).otherwise(loses & (give == wanted))
+    after = F.when(gains, wanted + take).when(loses, wanted - give).otherwise(wanted)
+    # the rest has lost the part `lost` of its words, or won the part `won` of its room
+    lost = F.when(gains, F.when(take == rest, F.lit(1.0)).otherwise(take / rest)).otherwise(F.lit(0.0))
+    won = F.when(loses, F.when(give == room, F.lit(1.0)).otherwise(give / room)).otherwise(F.lit(0.0))
+    keep = (1 - lost) * (1 - won)
+    decision = F.array(F.struct(doc["place"].alias("place"), whole.cast("int").alias("extra"))).cast(_DECISIONS)
+    done = whole | nothing
+    return F.struct(
+        rest_size.alias("size"),
+        (rest * (1 - lost) + room * won).alias("wanted"),
+        (state["scale"] * keep).alias("scale"),
+        (state["shift"] * keep + won).alias("shift"),
+        F.when(done, state["open"]).otherwise(_document(size, doc["place"], after, doc["random"])).alias("open"),
+        F.when(done, F.concat(state["decided"], decision)).otherwise(state["decided"]).alias("decided"),
+    ).cast(_STATE)
 
 
 def _round(fractions: DataFrame) -> DataFrame:
-    """Round inside buckets of ``fractions(source_first, bucket, doc)``.
+    """Round inside the buckets of ``fractions(first, buckets, bucket, doc)``.
 
-    Returns ``source_first, bucket, open, decided``; a bucket holds ``BUCKET`` rows at most.
+    Returns ``first, buckets, bucket, open, decided``; a bucket holds ``BUCKET`` rows at most.
     """
+    total = lambda field, zero: F.aggregate("docs", zero, lambda s, d: s + d[field])
     start = F.struct(
+        total("size", F.lit(0).cast("bigint")).alias("size"),
+        total("wanted", F.lit(0.0)).alias("wanted"),
+        F.lit(1.0).alias("scale"),
+        F.lit(0.0).alias("shift"),
         F.lit(None).cast(_DOC).alias("open"),
-        F.array().cast("array<struct<place: bigint, extra: int>>").alias("decided"),
+        F.array().cast(_DECISIONS).alias("decided"),
     ).cast(_STATE)
     return (
-        fractions.groupBy("source_first", "bucket")
-        .agg(F.array_sort(F.collect_list("doc")).alias("docs"))
-        .select("source_first", "bucket", F.aggregate("docs", start, _pair).alias("s"))
-        .select("source_first", "bucket", "s.open", "s.decided")
+        fractions.groupBy("first", "buckets", "bucket")
+        .agg(F.reverse(F.array_sort(F.collect_list("doc"))).alias("docs"))
+        .select("first", "buckets", "bucket", F.aggregate("docs", start, _pair).alias("s"))
+        .select("first", "buckets", "bucket", "s.open", "s.decided")
     )
 
 
+def _buckets(rows: Column) -> Column:
+    return F.ceil(rows / BUCKET).cast("bigint")
+
+
 def copies(rows: DataFrame, seed: int = 7) -> DataFrame:
     """How often each row of ``rows(doc_id, source, size, ...)`` is taken.
 
@@ -138,14 +163,15 @@ def copies(rows: DataFrame, seed: int = 7) -> DataFrame:
     ).drop("_s").select("*", full.alias("_full"), F.coalesce(wanted - full, F.lit(0.0)).alias("_part"))
     rows_with = staged(joined, "wanted")
     open_rows = rows_with.where((F.col("_part") > 0) & (F.col("size") > 0)).select(
-        F.col("first").alias("source_first"),
-        F.floor((F.col("_at") - F.col("first")) / BUCKET).alias("bucket"),
-        F.struct(
-            F.col("_at").alias("place"),
+        "first",
+        _buckets(F.col("rows")).alias("buckets"),
+        ((F.col("_at") - F.col("first")) % _buckets(F.col("rows"))).alias("bucket"),
+        _document(
             F.col("size"),
-            (F.col("_part") * F.col("size")).alias("wanted"),
-            _uniform(F.lit(seed), F.lit(0), F.col("doc_id"), F.col("_at")).alias("random"),
-        ).cast(_DOC).alias("doc"),
+            F.col("_at"),
+            F.col("_part") * F.col("size"),
+            _uniform(F.lit(seed), F.lit(0), F.col("doc_id"), F.col("_at")),
+        ).alias("doc"),
     )
     decided, level = None, 0
     while True:
@@ -154,24 +180,25 @@ def copies(rows: DataFrame, seed: int = 7) -> DataFrame:
         some = result.select(F.explode("decided").alias("d")).select("d.place", "d.extra")
         decided = some if decided is None else decided.unionByName(some)
         left = result.where(F.col("open").isNotNull())
-        if left.agg(F.max("bucket")).collect()[0][0] in (None, 0):
+        if left.agg(F.max("buckets")).collect()[0][0] in (None, 1):
             # one fraction per source is left: it is rounded by itself
-            last = left.select("open.place", (F.col("open.random") * F.col("open.size") < F.col("open.wanted")).cast("int").alias("extra"))
-            decided = decided.unionByName(last)
+            whole = F.col("open.random") * F.col("open.size") < F.col("open.wanted")
+            decided = decided.unionByName(left.select("open.place", whole.cast("int").alias("extra")))
             break
         open_rows = left.select(
-            "source_first",
-            F.floor(F.col("bucket") / BUCKET).alias("bucket"),
-            F.struct(
-                "open.place",
-                "open.size",
-                "open.wanted",
-                _uniform(F.lit(seed), F.lit(level), F.col("open.place")).alias("random"),
-            ).cast(_DOC).alias("doc"),
+            "first",
+            _buckets(F.col("buckets")).alias("buckets"),
+            (F.col("bucket") % _buckets(F.col("buckets"))).alias("bucket"),
+            _document(
+                F.col("open.size"),
+                F.col("open.place"),
+                F.col("open.wanted"),
+                _uniform(F.lit(seed), F.lit(level), F.col("open.place")),
+            ).alias("doc"),
         )
     result = rows_with.join(decided.withColumnRenamed("place", "_place"), F.col("_at") == F.col("_place"), "left")
     return result.withColumn("copies", (F.col("_full") + F.coalesce("extra", F.lit(0))).cast("int")).drop(
-        "_at", "_place", "extra", "_full", "_part", "first"
+        "_at", "_place", "extra", "_full", "_part", "first", "rows"
     )
 
 
