@@ -16,6 +16,7 @@ from stockroom.llm import (
     quality_classifier,
     quality_rules,
     secret_scan,
+    sharding,
     token_files,
 )
 from stockroom.session import shared_folder
@@ -83,6 +84,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.report(_read(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(_read(spark, sf_dir, "documents"))
 
@@ -145,7 +150,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """``name -> fn(spark, sf_dir)``."""
-    return {f.__name__: f for f in (op1_quality_classifier, op2_decontamination, op3_token_files, op5_mixing, op6_chat_format, op7_quality_rules, op8_secret_scan, op9_pii)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_decontamination, op3_token_files, op4_sharding, op5_mixing, op6_chat_format, op7_quality_rules, op8_secret_scan, op9_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
