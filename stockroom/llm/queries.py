@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from stockroom.llm import (
     chat_format,
     decontamination,
+    jaccard_join,
     mixing,
     pii_spans,
     quality_classifier,
@@ -33,6 +34,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(docs, quality_labels(spark, sf_dir))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.report(_read(spark, sf_dir, "documents"))
+
+
 def quality_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
 
@@ -150,7 +155,19 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """``name -> fn(spark, sf_dir)``."""
-    return {f.__name__: f for f in (op1_quality_classifier, op2_decontamination, op3_token_files, op4_sharding, op5_mixing, op6_chat_format, op7_quality_rules, op8_secret_scan, op9_pii)}
+    every = (
+        op1_quality_classifier,
+        op2_decontamination,
+        op3_token_files,
+        op4_sharding,
+        op5_mixing,
+        op6_chat_format,
+        op7_quality_rules,
+        op8_secret_scan,
+        op9_pii,
+        op10_jaccard_join,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
