@@ -70,7 +70,7 @@ DEFAULT: Weights = {
     "email spelled": 1.0,
     "ip bias": -1.0, "ip parts": 3.0,
     "card bias": -2.0, "card luhn": 3.0,
-    "phone bias": -3.0, "phone plus": 3.0, "phone area": 3.0,
+    "phone bias": -3.0, "phone plus": 3.0, "phone area": 3.0, "phone bracket": 1.0,
 }
 
 

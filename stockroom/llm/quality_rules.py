@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -49,14 +50,14 @@ FEATURES = (
 def line_code(line: bytes, seen: bool) -> int:
     """The features of a line, as bits in the order of ``FEATURES``."""
     words = line.split()
-    n, distinct = len(words), len(set(words))
+    n, again = len(words), sum(map(eq, words, words[1:]))
     size = sum(map(len, words))
     count = lambda some: len(line) - len(line.translate(None, some))
     tests = (
         count(_SYMBOLS) * 10 >= size,
         count(b"!?") * 20 >= size,
         count(_UPPER) * 2 > size,
-        n >= 8 and distinct * 2 < n,
+        again * 4 >= n,
         n < 4,
         words[-1][-1] not in _ENDINGS,
         count(_DIGITS) * 5 >= size,
