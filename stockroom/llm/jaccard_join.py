@@ -316,7 +316,7 @@ def _verified(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
 
 
 def link(docs: DataFrame, percent: int = PERCENT, max_frequent: int = MAX_FREQUENT) -> DataFrame:
-    """``doc_id, print, n_shingles, component_id`` of every document; ``print`` is the hash of the text."""
+    """``doc_id, print, n_shingles, component_id, root``; ``print`` is the hash of the text, ``root`` names the component."""
     texts = _texts(docs)
     described = staged(_nodes(texts, _order(texts, percent, max_frequent), percent), "nodes")
     real = described.where("n > 0")
@@ -340,14 +340,14 @@ def link(docs: DataFrame, percent: int = PERCENT, max_frequent: int = MAX_FREQUE
     roots = components(links).select("node", "root")
     rooted = nodes.select("node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    by_node = staged(rooted.join(named, "root").select("node", "component_id"), "named")
+    by_node = staged(rooted.join(named, "root").select("node", "root", "component_id"), "named")
     full = lookup_join(described.drop("prefix", "gid"), by_node, "node")
     return full.select(
         "doc_id",
         "print",
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
-        "node",
+        "root",
     )
 
 
@@ -361,9 +361,7 @@ def first_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     linked = staged(link(docs, percent), "linked")
     lowest = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "print")).alias("first")
     with_words = linked.where("n_shingles > 0")
-    # components are told apart by the lowest id, or by the set where no id is known
-    name = F.when(F.col("component_id").isNull(), F.col("node"))
-    kept = with_words.groupBy("component_id", name.alias("of")).agg(lowest).select("first.doc_id", "first.print")
+    kept = with_words.groupBy("root").agg(lowest).select("first.doc_id", "first.print")
     kept = kept.withColumn("every", F.lit(False)).unionByName(
         linked.where("n_shingles = 0").select("doc_id", "print", F.lit(True).alias("every")).distinct()
     ).alias("k")
