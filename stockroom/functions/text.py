@@ -57,9 +57,12 @@ def piece_code(serial: Column, prefix: str = "INV") -> Column:
     return F.concat(F.lit(f"{prefix}-"), digits, F.lit("-"), F.substring(serial, 1, 8))
 
 
+_EMAIL_FORM = M.EMAIL_FORM.replace("{space}", _FORM_SPACE)
+
+
 def email_ok(value: Column, form: bool = False) -> Column:
     """The server's rule, or the looser one of the entry form."""
-    return F.coalesce(value.rlike(M.EMAIL_FORM if form else M.EMAIL_SERVER), F.lit(False))
+    return F.coalesce(value.rlike(_EMAIL_FORM if form else M.EMAIL_SERVER), F.lit(False))
 
 
 def state_note(before: Column, after: Column, remark: Column) -> Column:

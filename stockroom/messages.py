@@ -84,5 +84,6 @@ EXPORT_WIDTH_PAD = 2
 EXPORT_WIDTH_MAX = 40
 
 # Patterns.
-EMAIL_SERVER = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
-EMAIL_FORM = r"^[^\s@]+@[^\s@]+\.[^\s@]+$"
+# The server's may end in one line feed, the form's ends with the text; {space} is what the form counts as space.
+EMAIL_SERVER = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}\n?\z"
+EMAIL_FORM = r"^[^{space}@]+@[^{space}@]+\.[^{space}@]+\z"

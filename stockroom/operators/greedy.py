@@ -13,103 +13,121 @@ for it. Every round decides at least the earliest undecided request, and
 requests in random order need few rounds (polylogarithmic; Blelloch, Fineman
 and Shun, SPAA 2012).
 
-Only a long chain, each link waiting for the one before, needs many rounds.
-When at most ``TAIL_ROWS`` requests are left after ``TAIL_ROUNDS`` rounds they
-are decided one by one in a single task; while more are left, the rounds go on.
+Long chains, each link waiting for the one before, would need a round per link.
+So from ``CONTRACT_FROM`` rounds on, chains are settled in one go: a request
+that has exactly one earlier undecided competitor is accepted if and only if
+that one is not. Pointer doubling finds the end of each such chain, and the
+number of steps to it, in logarithmically many joins.
 """
 
 from __future__ import annotations
 
 import logging
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stockroom.operators.joins import lookup_join
-from stockroom.session import ensure_checkpoint_dir
+from stockroom.staging import staged
 
 log = logging.getLogger(__name__)
 
-TAIL_ROUNDS = 2
-TAIL_ROWS = 100_000
-_UNION_EVERY = 16
+#: Rounds before chains are looked for; requests in random order are mostly decided by then.
+CONTRACT_FROM = 2
 
 
-def first_come(
-    claims: DataFrame,
-    keys: Sequence[str],
-    tail_rounds: int = TAIL_ROUNDS,
-    tail_rows: int = TAIL_ROWS,
-) -> DataFrame:
+def first_come(claims: DataFrame, keys: Sequence[str], contract_from: int = CONTRACT_FROM) -> DataFrame:
     """The ``seq`` of each accepted row of ``claims(seq, owner, *keys)``.
 
     ``seq`` is unique; a NULL key claims nothing.
     """
-    ensure_checkpoint_dir(claims.sparkSession)
-    open_rows = claims.select("seq", "owner", *keys).checkpoint()
-    accepted: DataFrame | None = None
-    rounds = 0
+    open_rows = staged(claims.select("seq", "owner", *keys), "claims")
+    accepted = []
     while True:
-        decided = _round(open_rows, keys).checkpoint()
-        rounds += 1
-        won = decided.where("won").select("seq")
-        accepted = won if accepted is None else accepted.unionByName(won)
-        if rounds % _UNION_EVERY == 0:
-            accepted = accepted.checkpoint()
+        winners = staged(_unopposed(open_rows, keys), "unopposed")
+        if len(accepted) >= contract_from:
+            winners = staged(winners.unionByName(_chained(open_rows, winners, keys)).distinct(), "winners")
+        decided = staged(_settled(open_rows, winners, keys), "decided")
+        accepted.append(decided.where("won").select("seq"))
         open_rows = decided.where("not won").drop("won")
         left = open_rows.count()
-        log.info("round %d: %d requests undecided", rounds, left)
+        log.info("round %d: %d requests undecided", len(accepted), left)
         if left == 0:
-            return accepted
-        if rounds >= tail_rounds and left <= tail_rows:
-            return accepted.unionByName(_one_by_one(open_rows, keys))
+            return reduce(DataFrame.unionByName, accepted)
 
 
-def _round(open_rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Decide what can be decided now; rejected rows are left out."""
+def _unopposed(open_rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows that are the earliest under every key they claim."""
     columns = ["seq", "owner", *keys]
-    earliest = None
-    for key in keys:
-        best = (
+    earliest = reduce(
+        DataFrame.unionByName,
+        (
             open_rows.where(F.col(key).isNotNull())
             .groupBy(key)
             .agg(F.min(F.struct(*columns)).alias("_row"))
             .select("_row.*")
-        )
-        earliest = best if earliest is None else earliest.unionByName(best)
+            for key in keys
+        ),
+    )
     claimed = sum((F.col(k).isNotNull().cast("int") for k in keys), F.lit(0))
-    winners = (
-        earliest.groupBy(*columns).agg(F.count(F.lit(1)).alias("_first_under")).where(F.col("_first_under") == claimed)
+    first_under = earliest.groupBy(*columns).agg(F.count(F.lit(1)).alias("_first_under"))
+    free = open_rows.where(claimed == 0)  # claims nothing that is still open
+    return first_under.where(F.col("_first_under") == claimed).select(*columns).unionByName(free)
+
+
+def _chained(open_rows: DataFrame, winners: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows that end up accepted in chains that begin with a winner.
+
+    Per key only its first two claims matter: whoever comes third has more than
+    one competitor.
+    """
+    columns = ["seq", "owner", *keys]
+    rows, third, before = open_rows, F.lit(False), []
+    for key in keys:
+        named = open_rows.where(F.col(key).isNotNull()).select("seq", "owner", key)
+        first = named.groupBy(key).agg(F.min(F.struct("seq", "owner")).alias("_first"))
+        later = lookup_join(named, first, key).where(F.col("seq") > F.col("_first.seq"))
+        second = later.groupBy(key).agg(F.min("seq").alias("_second"))
+        both = first.join(second, key, "left").select(
+            key, F.col("_first").alias(f"_first_{key}"), F.col("_second").alias(f"_second_{key}")
+        )
+        rows = lookup_join(rows, both, key)
+        is_second = F.col("seq") == F.col(f"_second_{key}")
+        third |= F.col(key).isNotNull() & (F.col("seq") > F.col(f"_second_{key}"))
+        foreign = F.col(f"_first_{key}.owner") != F.col("owner")
+        before.append(F.when(is_second & foreign, F.col(f"_first_{key}.seq")))
+    rivals = F.array_distinct(F.array_compact(F.array(*before)))
+    links = staged(
+        rows.where(~F.coalesce(third, F.lit(False)) & (F.size(rivals) == 1)).select(
+            *columns, F.element_at(rivals, 1).alias("end"), F.lit(True).alias("odd")
+        ),
+        "links",
     )
-    winners = winners.checkpoint()
+    while True:
+        onward = links.select(F.col("seq").alias("end"), F.col("end").alias("_end"), F.col("odd").alias("_odd"))
+        jumped = links.join(onward, "end", "left").select(
+            *columns,
+            F.coalesce("_end", "end").alias("end"),
+            (F.col("odd") != F.coalesce("_odd", F.lit(False))).alias("odd"),
+            F.col("_end").isNotNull().alias("moved"),
+        )
+        jumped = staged(jumped, "links")
+        links = jumped.drop("moved")
+        if jumped.where("moved").isEmpty():
+            break
+    ends = winners.select(F.col("seq").alias("end"))
+    return links.where("not odd").join(ends, "end", "left_semi").select(*columns)
+
+
+def _settled(open_rows: DataFrame, winners: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Give the winners their values; rejected rows are left out."""
     rows, foreign = open_rows, F.lit(False)
     for key in keys:
-        owned = winners.where(F.col(key).isNotNull()).select(key, F.col("owner").alias(f"_by_{key}"))
+        owned = winners.where(F.col(key).isNotNull()).select(key, F.col("owner").alias(f"_by_{key}")).distinct()
         rows = lookup_join(rows, owned, key)
         foreign |= F.coalesce(F.col(f"_by_{key}") != F.col("owner"), F.lit(False))
     free = [F.when(F.col(f"_by_{k}").isNull(), F.col(k)).alias(k) for k in keys]
-    won = F.lit(True)
-    for key in keys:
-        won &= F.col(key).isNull()
-    return rows.where(~foreign).select("seq", "owner", *free).withColumn("won", won)
-
-
-def _one_by_one(open_rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Decide the bounded rest in order of receipt."""
-    keys = list(keys)
-
-    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        holder: dict[tuple[str, object], object] = {}
-        for batch in batches:
-            kept = []
-            for row in batch.to_dict("records"):
-                values = [(k, row[k]) for k in keys if not pd.isna(row[k])]
-                if all(holder.get(v, row["owner"]) == row["owner"] for v in values):
-                    holder.update((v, row["owner"]) for v in values)
-                    kept.append(row["seq"])
-            yield pd.DataFrame({"seq": pd.Series(kept, dtype="int64")})
-
-    one_task = open_rows.repartition(1).sortWithinPartitions("seq")
-    return one_task.mapInPandas(decide, "seq bigint")
+    won = reduce(lambda a, b: a & b, (c.isNull() for c in free))
+    return rows.where(~foreign).select("seq", "owner", *free, won.alias("won"))

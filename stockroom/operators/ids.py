@@ -5,19 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockroom.operators.ordered import SPAN, dense_rank
-from stockroom.session import ensure_checkpoint_dir
+from stockroom.operators.numbering import numbered
 
 
-def assign_ids(rows: DataFrame, order: str, table: DataFrame, name: str, span: int = SPAN) -> DataFrame:
-    """Add the ids an auto-increment column would have given the rows, one insert at a time.
-
-    Numbering reads the rows twice, to count and to number them, so they are
-    computed once into a checkpoint first.
-    """
-    ensure_checkpoint_dir(rows.sparkSession)
+def assign_ids(rows: DataFrame, order: str, table: DataFrame, name: str) -> DataFrame:
+    """Add the ids an auto-increment column would have given the rows, one insert at a time."""
     highest = F.coalesce(table.agg(F.max(name)).scalar(), F.lit(0))
-    numbered = dense_rank(rows.checkpoint(), order, "_rank", span)
-    return numbered.select(
-        order, (F.col("_rank") + highest).alias(name), *(c for c in rows.columns if c != order)
+    return numbered(rows, [F.col(order)], "_at").select(
+        order, (F.col("_at") + 1 + highest).alias(name), *(c for c in rows.columns if c != order)
     )

@@ -27,13 +27,13 @@ def numbered(rows: DataFrame, order: Sequence[Column], name: str, partitions: in
     ).sortWithinPartitions(*order)
     table = staged(ranges.withColumn(slot, F.monotonically_increasing_id()), "numbered")
     part = F.shiftright(slot, _POSITION_BITS)
-    sizes = table.groupBy(part.alias("_range")).agg(F.count(F.lit(1)).alias("_size"))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    sizes = table.groupBy(part.alias("_chunk")).agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_chunk", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
     position = F.col(slot).bitwiseAND((1 << _POSITION_BITS) - 1)
     # one row per range: a few thousand at most, whatever the number of rows
     return (
-        table.join(F.broadcast(starts), part == F.col("_range"))
+        table.join(F.broadcast(starts), part == F.col("_chunk"))
         .withColumn(name, F.col("_start") + position)
-        .drop(slot, "_range", "_start")
+        .drop(slot, "_chunk", "_start")
     )

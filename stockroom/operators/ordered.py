@@ -1,10 +1,11 @@
 """Values that depend on the earlier rows of the same key.
 
-A plain window would put all rows of a key into one task. Here the order is cut
-into chunks of ``SPAN`` consecutive sequence numbers. As sequence numbers are
-unique, a key has at most ``SPAN`` rows in a chunk, so every window is bounded
-whatever the share of the key. What a chunk hands on to the next ones is one
-row per key and chunk, made by an aggregation that combines before the shuffle.
+A plain window would put all rows of a key into one task. Here the rows are
+dealt out by ranges of the order and written once, so the ranges are fixed
+before they are read twice. Windows run inside a range, or over the one row per
+key and range that a range hands on, made by an aggregation that combines before
+the shuffle: at most as many rows as there are ranges, whatever the share of the
+key and however the sequence numbers are spaced.
 """
 
 from __future__ import annotations
@@ -12,12 +13,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Sequence numbers per chunk.
-SPAN = 1 << 20
+from stockroom.staging import staged
 
 
-def _chunk(order: str, span: int) -> Column:
-    return F.expr(f"`{order}` div {span}L").alias("_chunk")
+def _chunked(rows: DataFrame, order: str, ranges: int | None) -> DataFrame:
+    """The rows with ``_chunk``, the number of their range."""
+    dealt = rows.repartitionByRange(ranges, order) if ranges else rows.repartitionByRange(order)
+    return staged(dealt.withColumn("_chunk", F.spark_partition_id()), "ordered")
 
 
 def _earlier(*keys: str, order: str):
@@ -29,10 +31,10 @@ def _earlier(*keys: str, order: str):
 
 
 def previous_value(
-    rows: DataFrame, key: str, order: str, value: Column, name: str, span: int = SPAN
+    rows: DataFrame, key: str, order: str, value: Column, name: str, ranges: int | None = None
 ) -> DataFrame:
     """Add the last non-NULL ``value`` among the earlier rows of the key."""
-    rows = rows.select("*", _chunk(order, span), value.alias("_value"))
+    rows = _chunked(rows.select("*", value.alias("_value")), order, ranges)
     inside = F.last("_value", ignorenulls=True).over(_earlier(key, "_chunk", order=order))
     at = F.when(F.col("_value").isNotNull(), F.col(order))
     ends = rows.groupBy(key, "_chunk").agg(F.max_by("_value", at).alias("_end"))
@@ -45,9 +47,9 @@ def previous_value(
     )
 
 
-def running_count(rows: DataFrame, key: str, order: str, name: str, span: int = SPAN) -> DataFrame:
+def running_count(rows: DataFrame, key: str, order: str, name: str, ranges: int | None = None) -> DataFrame:
     """Add the position (from 1) of a row among the rows of its key."""
-    rows = rows.select("*", _chunk(order, span))
+    rows = _chunked(rows, order, ranges)
     inside = F.row_number().over(Window.partitionBy(key, "_chunk").orderBy(order))
     ends = rows.groupBy(key, "_chunk").agg(F.count(F.lit(1)).alias("_end"))
     carried = _carry(ends, key, F.sum("_end"))
@@ -63,23 +65,3 @@ def _carry(ends: DataFrame, key: str, fold: Column) -> DataFrame:
     """Fold what the earlier chunks of the key hand on; ``ends`` has one row per key and chunk."""
     carried = fold.over(_earlier(key, order="_chunk"))
     return ends.select(key, "_chunk", carried.alias("_carried")).where(F.col("_carried").isNotNull())
-
-
-def dense_rank(rows: DataFrame, order: str, name: str, span: int = SPAN) -> DataFrame:
-    """Add the position (from 1) of a row among all rows, without sorting them in one task.
-
-    Positions are counted inside each chunk; the only window without a key runs
-    over one row per chunk, that is one per ``SPAN`` sequence numbers.
-    """
-    rows = rows.select("*", _chunk(order, span))
-    sizes = rows.groupBy("_chunk").agg(F.count(F.lit(1)).alias("_size"))
-    starts = sizes.select(
-        "_chunk", F.coalesce(F.sum("_size").over(_earlier(order="_chunk")), F.lit(0)).alias("_start")
-    )
-    inside = F.row_number().over(Window.partitionBy("_chunk").orderBy(order)).cast("bigint")
-    return (
-        rows.withColumn("_inside", inside)
-        .join(starts, "_chunk")
-        .withColumn(name, F.col("_start") + F.col("_inside"))
-        .drop("_chunk", "_inside", "_start")
-    )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stockroom import messages as M
 from stockroom.functions import text
 from stockroom.operators.joins import decide, lookup_join, only_asked
-from stockroom.operators.ordered import SPAN, previous_value
+from stockroom.operators.ordered import previous_value
 from stockroom.operators.snapshot import merge_changes
 from stockroom.sources.tables import Tables
 
@@ -38,7 +38,7 @@ def status_decisions(tables: Tables, requests: DataFrame) -> DataFrame:
     )
 
 
-def status_movements(tables: Tables, requests: DataFrame, span: int = SPAN) -> DataFrame:
+def status_movements(tables: Tables, requests: DataFrame, ranges: int | None = None) -> DataFrame:
     """Journal rows of the accepted changes, each with the state it replaced.
 
     That is the state set by the previous accepted change of the piece, or the
@@ -46,7 +46,7 @@ def status_movements(tables: Tables, requests: DataFrame, span: int = SPAN) -> D
     joined, so a piece with very many changes stays split.
     """
     changes = requests.where(_settable())
-    changes = previous_value(changes, "id_pieza", "seq", F.col("nuevo_estado"), "_previous", span)
+    changes = previous_value(changes, "id_pieza", "seq", F.col("nuevo_estado"), "_previous", ranges)
     before = F.coalesce("_previous", "_estado")
     return (
         _current(tables, changes, requests)

@@ -12,7 +12,7 @@ from stockroom.functions import text
 from stockroom.operators.greedy import first_come
 from stockroom.operators.ids import assign_ids
 from stockroom.operators.joins import decide, first_match, lookup_join, with_existence
-from stockroom.operators.ordered import SPAN, running_count
+from stockroom.operators.ordered import running_count
 from stockroom.operators.snapshot import merge_changes
 from stockroom.schemas import TABLES
 from stockroom.session import ensure_checkpoint_dir
@@ -237,9 +237,9 @@ def _starts_active():
     return F.coalesce("activo", F.lit(False))
 
 
-def toggle_users(tables: Tables, requests: DataFrame, span: int = SPAN) -> DataFrame:
+def toggle_users(tables: Tables, requests: DataFrame, ranges: int | None = None) -> DataFrame:
     """Each request flips its user; ``activo`` is what the user is after the request."""
-    counted = running_count(requests.select("seq", "id_usuario"), "id_usuario", "seq", "_nth", span)
+    counted = running_count(requests.select("seq", "id_usuario"), "id_usuario", "seq", "_nth", ranges)
     users = tables.usuario.select("id_usuario", "activo", F.lit(True).alias("_found"))
     after = F.when(F.col("_found"), _starts_active() != (F.col("_nth") % 2 == 1))
     return (

@@ -46,6 +46,14 @@ def _strip(value: str, space: str = _SPACE) -> str:
     return f"regexp_replace({value}, '^{space}|{space}$', '', 'g')"
 
 
+
+# The two e-mail rules, written for the SQL engine's own patterns.
+_EMAIL = r"^[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+[.][A-Za-z][A-Za-z]+(\x0a)?$"
+_NOT_SPACE = (
+    r"[^@\t-\r\x20\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+)
+_FORM_EMAIL = f"^{_NOT_SPACE}+@{_NOT_SPACE}+[.]{_NOT_SPACE}+$"
+
 _BLANK = "coalesce({0} = '', true)"
 
 # --- shared steps -----------------------------------------------------------
@@ -164,7 +172,7 @@ _STEPS: dict[str, str] = {
     "pretendientes": f"""
         select min(seq) as seq, nombre_usuario as a, email as b, nombre_completo as c
         from create_user_requests
-        where regexp_matches(email, '{M.EMAIL_SERVER}')
+        where regexp_matches(email, '{_EMAIL}')
           and nombre_usuario not in (select nombre_usuario from usuario)
           and email not in (select email from usuario)
           and nombre_completo not in (select nombre_completo from usuario)
@@ -400,7 +408,7 @@ _FINAL: dict[str, str] = {
         where choca_nombre_usuario or choca_email or choca_nombre_completo""",
     "create_users_decisions": f"""
         select seq, {_verdict(
-            (f"not regexp_matches(email, '{M.EMAIL_SERVER}')", 400, M.BAD_EMAIL),
+            (f"not regexp_matches(email, '{_EMAIL}')", 400, M.BAD_EMAIL),
             (f"seq not in {_NEW_USERS_SEQ}", 400, M.USER_CLASH))}
         from create_user_requests""",
     "create_users_new": f"""
@@ -418,7 +426,7 @@ _FINAL: dict[str, str] = {
                    (_BLANK.format("nombre_completo"), 400, M.FORM_NAME_REQUIRED),
                    (_BLANK.format("nombre_usuario"), 400, M.FORM_USER_REQUIRED),
                    (_BLANK.format("email"), 400, M.FORM_EMAIL_REQUIRED),
-                   (f"not regexp_matches(email, '{M.EMAIL_FORM}')", 400, M.FORM_BAD_EMAIL),
+                   (f"not regexp_matches(email, '{_FORM_EMAIL}')", 400, M.FORM_BAD_EMAIL),
                    (f"id_usuario = {ACTOR} and {_changed('rol')}", 400, M.FORM_OWN_ROLE),
                    ("not (" + " or ".join(_changed(c) for c in _EDIT_FORM_FIELDS) + ")", 400, M.FORM_UNCHANGED))}
         from (select r.seq, r.id_usuario, r.rol, u.id_usuario is not null as conocido,
@@ -477,8 +485,8 @@ _FINAL: dict[str, str] = {
                coalesce(cast(case when seq % 7 <> 0 then id_usuario end as varchar), '') as f9_texto,
                cast(id_pieza as varchar) as f10_texto,
                regexp_matches(concat(nuevo_estado, '@example.', substr(nuevo_estado, 1, 2)),
-                              '{M.EMAIL_SERVER}') as f11_correo,
-               regexp_matches(concat(nuevo_estado, observaciones, '@x.y'), '{M.EMAIL_FORM}') as f12_correo,
+                              '{_EMAIL}') as f11_correo,
+               regexp_matches(concat(nuevo_estado, observaciones, '@x.y'), '{_FORM_EMAIL}') as f12_correo,
                {_strip("concat('Cambio de ''', coalesce(case when seq % 2 = 0 then nuevo_estado end, 'None'),"
                        " ''' a ''', nuevo_estado, '''. ', observaciones)")} as f13_nota,
                try_cast(nullif({_strip("substr(observaciones, 6, 20)")}, '') as bigint) as f15_numero

@@ -4,8 +4,9 @@ import compare
 import pytest
 
 import __spark_entry__ as entry
+from stockroom.plans import catalog, oracle
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = catalog.queries(), oracle.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -15,6 +16,7 @@ def db(small):
 
 def test_every_query_has_a_counterpart():
     assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(entry.queries()) and SQL.items() <= entry.oracle_sql().items()
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

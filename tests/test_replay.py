@@ -4,9 +4,10 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 from replay import Store, code
 
-from stockroom.operators import checkout, greedy, lookup, ordered, products, register, state, users
+from stockroom.operators import checkout, greedy, lookup, numbering, ordered, products, register, state, users
 from stockroom.schemas import REQUESTS, TABLES
 from stockroom.sources.tables import Tables
 
@@ -131,9 +132,9 @@ def test_register(spark, seed):
     )
 
 
-@pytest.mark.parametrize("span", [7, ordered.SPAN])
+@pytest.mark.parametrize("ranges", [7, None])
 @pytest.mark.parametrize("seed", SEEDS)
-def test_status(spark, seed, span):
+def test_status(spark, seed, ranges):
     rnd, store = world(seed)
     requests = [
         {
@@ -150,7 +151,7 @@ def test_status(spark, seed, span):
     expected = {r["seq"]: store.status(r) for r in requests}
     assert statuses(state.status_decisions(tables, batch)) == expected
     got = rows_of(
-        state.status_movements(tables, batch, span),
+        state.status_movements(tables, batch, ranges),
         "seq", "id_pieza", "estado_anterior", "estado_nuevo", "observaciones",
     )
     assert got == sorted(store.movimiento)
@@ -189,13 +190,10 @@ def user_requests(rnd, n, keys):
     ]
 
 
-@pytest.mark.parametrize("tail", [(1000, 0), (1, 10**6)])
+@pytest.mark.parametrize("contract_from", [0, 1000])
 @pytest.mark.parametrize("seed", SEEDS)
-def test_create_users(spark, monkeypatch, seed, tail):
-    rounds, rows = tail
-    monkeypatch.setattr(
-        users, "first_come", lambda c, k: greedy.first_come(c, k, tail_rounds=rounds, tail_rows=rows)
-    )
+def test_create_users(spark, monkeypatch, seed, contract_from):
+    monkeypatch.setattr(users, "first_come", lambda c, k: greedy.first_come(c, k, contract_from))
     rnd, store = world(seed)
     requests = user_requests(rnd, 200, 60)
     tables, batch = as_tables(spark, store), frame(spark, requests, REQUESTS["create_user"])
@@ -219,15 +217,49 @@ def test_a_rejected_request_blocks_nobody(spark):
     assert statuses(users.create_users_decisions(tables, batch)) == {1: 200, 2: 400, 3: 200}
 
 
-@pytest.mark.parametrize("tail", [(1000, 0), (2, 10**6)])
-def test_a_long_chain(spark, tail):
+@pytest.mark.parametrize("contract_from", [0, 1000])
+def test_a_chain(spark, contract_from):
     """Each row shares a key with the next, so every second one is accepted."""
     rows = [(i, i, (i + 1) // 2, 1000 + i // 2) for i in range(12)]
     claims = spark.createDataFrame(rows, "seq bigint, owner bigint, a int, b int")
-    won = greedy.first_come(claims, ["a", "b"], tail_rounds=tail[0], tail_rows=tail[1])
+    won = greedy.first_come(claims, ["a", "b"], contract_from)
     assert sorted(r.seq for r in won.collect()) == list(range(0, 12, 2))
 
 
+def test_a_very_long_chain_takes_few_rounds(spark, caplog):
+    i = F.col("id")
+    claims = spark.range(200_000).select(
+        i.alias("seq"), i.alias("owner"), F.floor((i + 1) / 2).alias("a"), F.floor(i / 2).alias("b")
+    )
+    with caplog.at_level("INFO", logger=greedy.__name__):
+        won = greedy.first_come(claims, ["a", "b"])
+    assert won.agg(F.count("*"), F.max(F.col("seq") % 2)).first()[:] == (100_000, 0)
+    assert len(caplog.records) <= 4
+
+
+def test_claims_of_one_owner_do_not_compete(spark):
+    """Owner 1 claims x twice; owner 2 comes between and loses; 3 gets y, as 2 did not."""
+    rows = [(1, 1, "x", None), (2, 2, "x", "y"), (3, 1, "x", "z"), (4, 3, None, "y"), (5, 4, "q", "z"), (6, 5, "q", None)]
+    claims = spark.createDataFrame(rows, "seq bigint, owner bigint, a string, b string")
+    for contract_from in (0, 1000):
+        won = greedy.first_come(claims, ["a", "b"], contract_from)
+        assert sorted(r.seq for r in won.collect()) == [1, 3, 4, 6]
+
+
+def test_sparse_sequence_numbers_and_a_hot_key(spark):
+    """Numbers far apart: ranges, not spans of numbers, bound the windows."""
+    rows = spark.range(3000).select(
+        (F.col("id") * (1 << 30)).alias("seq"), F.when(F.col("id") % 3 > 0, 0).otherwise(F.col("id")).alias("k")
+    )
+    counted = ordered.running_count(rows, "k", "seq", "nth", ranges=8)
+    assert counted.where("k = 0").agg(F.count("nth"), F.countDistinct("nth"), F.max("nth")).first()[:] == (2001, 2001, 2001)
+    before = ordered.previous_value(rows, "k", "seq", F.col("seq"), "before", ranges=8).where("k = 0")
+    assert before.where("before is null").count() == 1
+    assert before.agg(F.sum(F.col("seq") - F.col("before"))).first()[0] == 2999 * (1 << 30)
+    at = numbering.numbered(rows, [F.col("seq")], "at", 8)
+    assert at.where(F.col("at") * (1 << 30) != F.col("seq")).count() == 0
+
+
 @pytest.mark.parametrize("form", [False, True])
 @pytest.mark.parametrize("seed", SEEDS)
 def test_create_products(spark, seed, form):
@@ -266,8 +298,8 @@ def test_toggle(spark, seed):
         status = store.toggle(r)
         user = next((u for u in store.usuario if u["id_usuario"] == r["id_usuario"]), {"activo": None})
         expected.append((r["seq"], status, user["activo"]))
-    for span in (7, ordered.SPAN):
-        assert rows_of(users.toggle_users(tables, batch, span), "seq", "status", "activo") == expected
+    for ranges in (7, None):
+        assert rows_of(users.toggle_users(tables, batch, ranges), "seq", "status", "activo") == expected
     snapshot = users.toggle_snapshot(tables, batch)
     assert {r.id_usuario: r.activo for r in snapshot.collect()} == {
         u["id_usuario"]: u["activo"] for u in store.usuario
