@@ -23,8 +23,10 @@ folder; extra columns are not written.
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -91,73 +93,104 @@ def token_at(codes: Mapping[str, bytes], i: int) -> int:
     return value
 
 
+#: Texts of small letters of Latin-1, digits, ASCII signs but the apostrophe, and ASCII white space: the
+#: tokenizer's normalizer leaves them as they are, and its model gets exactly these runs. In Latin-1.
+_LETTERS = rb"a-z\xdf-\xf6\xf8-\xff"
+_SIGNS = rb"!-&(-/:-@\[-`{-~"
+_RUN = re.compile(rb"[" + _LETTERS + rb"]+|[0-9]|[" + _SIGNS + rb"]+")
+_PLAIN = bytes(b for b in range(256) if re.match(rb"[" + _LETTERS + _SIGNS + rb"0-9\x09-\x0d\x20]", bytes([b])))
+
+
+def _byte_letters() -> dict[int, int]:
+    """The character that byte-level vocabularies use for each byte: itself if it prints, else one from 256 on."""
+    prints = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    others = [b for b in range(256) if b not in prints]
+    return {b: b for b in prints} | {b: 256 + k for k, b in enumerate(others)}
+
+
+def _plain(text: str) -> bytes | None:
+    """A text in lower case and Latin-1 if it is plain."""
+    if "<|" in text:
+        return None
+    try:
+        raw = text.lower().encode("latin-1")
+    except UnicodeEncodeError:
+        return None
+    return None if raw.translate(None, _PLAIN) else raw
+
+
+class _Memory(dict):
+    """Ids by word; a word that is not known yet is encoded and kept."""
+
+    def __init__(self, encode: Callable[[bytes], bytes], older: dict[bytes, bytes]) -> None:
+        super().__init__()
+        self.encode, self.older = encode, older
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.encode(word)
+        self[word] = ids
+        return ids
+
+
 class WordEncoder:
-    """A tokenizer whose tokens never cross white space, with a memory of the words it has seen.
+    """A tokenizer whose tokens never cross white space, with a memory of what it has seen.
 
-    Texts are cut at ASCII white space and each different word is encoded once.
-    The memory has two generations of ``GENERATION`` words each: when the
-    younger is full it becomes the older, so words in use stay.
+    A plain text is cut into runs of letters, digits or signs, and the model is
+    asked once for each different run. Any other text is cut at ASCII white
+    space, and each different word is encoded once. A memory has two
+    generations of about ``GENERATION`` entries: when the younger is full it
+    becomes the older, so what is in use stays.
     """
 
-    GENERATION = 250_000
-    _SEPARATOR = "\x00"
+    GENERATION = 500_000
+    _CHARACTERS = _byte_letters()
 
     def __init__(self, name: str) -> None:
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
+        self.model = self.tokenizer.model
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        separator = self.tokenizer.encode(self._SEPARATOR, add_special_tokens=False).ids
-        self.separator = separator[0] if len(separator) == 1 else None
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.letter = "H" if self.kind.itemsize == 2 else "I"
+        self.words = _Memory(self._word, {})
+        self.runs = _Memory(self._run, {})
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of every text."""
-        rows, found, missing = [], [], {}
-        for text in texts:
-            raw = text.encode()
-            # Lower case is what the tokenizer makes of A-Z anyway, except in
-            # special tokens and before combining marks (UTF-8 CC 80 to CD AF).
-            if b"<|" not in raw and b"\xcc" not in raw:
-                raw = raw.lower()
-            words = raw.split()
-            ids = list(map(self.young.get, words))
-            if None in ids:
-                missing.update((w, None) for w, i in zip(words, ids, strict=True) if i is None)
-            rows.append(words)
-            found.append(ids)
-        fresh = {w: self.old[w] for w in missing if w in self.old}
-        fresh |= self._encode_words([w for w in missing if w not in fresh])
         out = []
-        for words, ids in zip(rows, found, strict=True):
-            if None in ids:
-                ids = [fresh[w] if i is None else i for w, i in zip(words, ids, strict=True)]
-            out.append(np.frombuffer(b"".join(ids), dtype=self.kind))
-        if len(self.young) + len(fresh) > self.GENERATION:
-            self.old, self.young = self.young, {}
-        for k, (w, i) in enumerate(fresh.items()):
-            if k >= self.GENERATION:
-                break
-            self.young[w] = i
+        for text in texts:
+            plain = _plain(text)
+            if plain is not None:
+                ids = b"".join(map(self.runs.__getitem__, _RUN.findall(plain)))
+            elif "<|" in text:  # a special token may cross what looks like a word
+                ids = self._whole(text)
+            else:
+                ids = b"".join(map(self.words.__getitem__, text.encode().split()))
+            out.append(np.frombuffer(ids, dtype=self.kind))
+            self.words = self._kept(self.words)
+            self.runs = self._kept(self.runs)
         return out
 
-    def _encode_words(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """Encode many words as one text with a separator that is a token of its own."""
-        out = {}
-        together = [w for w in words if self.separator is not None and b"\x00" not in w]
-        for k in range(0, len(together), 1000):
-            some = together[k : k + 1000]
-            text = f" {self._SEPARATOR} ".join(w.decode() for w in some)
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-            cuts = np.flatnonzero(ids == self.separator)
-            pieces = np.split(ids, cuts)
-            for j, (w, piece) in enumerate(zip(some, pieces, strict=True)):
-                out[w] = (piece if j == 0 else piece[1:]).astype(self.kind).tobytes()
-        for w in words:
-            if w not in out:
-                out[w] = np.array(
-                    self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, dtype=self.kind
-                ).tobytes()
-        return out
+    def _kept(self, memory: _Memory) -> _Memory:
+        return _Memory(memory.encode, dict(memory)) if len(memory) > self.GENERATION else memory
+
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode()
+        plain = _plain(text)
+        if plain is None:
+            return self._whole(text)
+        return b"".join([self.runs[r] for r in _RUN.findall(plain)])
+
+    def _run(self, run: bytes) -> bytes:
+        """The ids of a run that the tokenizer would hand to its model as it is."""
+        mapped = run.decode("latin-1").encode().decode("latin-1").translate(self._CHARACTERS)
+        return self._packed([t.id for t in self.model.tokenize(mapped)])
+
+    def _whole(self, text: str) -> bytes:
+        return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _packed(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.letter}", *ids)
 
 
 _encoders: dict[str, WordEncoder] = {}
