@@ -47,13 +47,14 @@ def contains_ignoring_case(value: Column, part: str) -> Column:
     return F.lower(value).contains(F.lower(F.lit(part)))
 
 
-def piece_code(serial: Column, prefix: str = "INV") -> Column:
+def piece_code(serial: Column, prefix: str = "INV", attempt: int = 0) -> Column:
     """``PREFIX-<8 hex digits>-<first 8 of the serial>``.
 
     The hex digits are a hash of the serial, so a task that runs twice gives
-    the same code twice.
+    the same code twice; a further ``attempt`` gives another code.
     """
-    digits = F.upper(F.substring(F.md5(serial), 1, 8))
+    hashed = F.md5(F.concat(serial, F.lit(f"#{attempt}"))) if attempt else F.md5(serial)
+    digits = F.upper(F.substring(hashed, 1, 8))
     return F.concat(F.lit(f"{prefix}-"), digits, F.lit("-"), F.substring(serial, 1, 8))
 
 

@@ -61,7 +61,7 @@ def first_match(table: DataFrame, key: str, order: str, columns: Sequence[str])
 
 def with_existence(rows: DataFrame, key: str, table: DataFrame, table_key: str, flag: str) -> DataFrame:
     """Add a boolean: does ``table`` hold the key?"""
-    held = table.select(F.col(table_key).alias(key)).distinct().withColumn("_held", F.lit(True))
+    held = only_asked(table.select(F.col(table_key).alias(key)), rows, key).distinct().withColumn("_held", F.lit(True))
     return lookup_join(rows, held, key).withColumn(flag, F.col("_held").isNotNull()).drop("_held")
 
 

@@ -81,11 +81,6 @@ def scan_lookup(tables: Tables, scans: DataFrame) -> DataFrame:
     return resolve(scans, lookup_table(tables, scans))
 
 
-def resolve_stream(scans: DataFrame, table: DataFrame) -> DataFrame:
-    """The same for a stream of scans and a static lookup table, joined anew with every batch."""
-    return _shape(scans.select("seq", "codigo").join(table, "codigo", "left"))
-
-
 def scan_display(found: DataFrame) -> DataFrame:
     """What the scan form shows, and the form it opens next."""
     piece, product = F.col("tipo") == M.KIND_PIECE, F.col("tipo") == M.KIND_PRODUCT

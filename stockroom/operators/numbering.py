@@ -27,7 +27,7 @@ def numbered(rows: DataFrame, order: Sequence[Column], name: str, partitions: in
     ).sortWithinPartitions(*order)
     table = staged(ranges.withColumn(slot, F.monotonically_increasing_id()), "numbered")
     part = F.shiftright(slot, _POSITION_BITS)
-    sizes = table.groupBy(part.alias("_chunk")).agg(F.count(F.lit(1)).alias("_size"))
+    sizes = table.select(part.alias("_chunk")).groupBy("_chunk").agg(F.count(F.lit(1)).alias("_size"))
     before = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_chunk", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
     position = F.col(slot).bitwiseAND((1 << _POSITION_BITS) - 1)

@@ -15,15 +15,19 @@ which are aggregations that combine before the shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stockroom import messages as M
 from stockroom.functions import text
 from stockroom.operators.ids import assign_ids
-from stockroom.operators.joins import decide, lookup_join, unseen
+from stockroom.operators.joins import decide, lookup_join, only_asked, unseen
 from stockroom.schemas import TABLES
+from stockroom.sources.requests import complete_requests, incomplete_decisions
 from stockroom.sources.tables import Tables
+from stockroom.staging import staged
 
 
 def register_form(requests: DataFrame) -> DataFrame:
@@ -49,7 +53,7 @@ def _supplier_codes(tables: Tables, requests: DataFrame) -> DataFrame:
     """Per supplier code of the batch: the product that has it, or the request that creates it."""
     named = text.given(F.col("nombre_producto"))
     asked = requests.groupBy("codigo_original").agg(F.min(F.when(named, F.col("seq"))).alias("_named"))
-    known = tables.producto.groupBy("codigo_original").agg(F.min("id_producto").alias("_known"))
+    known = only_asked(tables.producto, requests, "codigo_original").groupBy("codigo_original").agg(F.min("id_producto").alias("_known"))
     creator = F.when(F.col("_known").isNull(), F.col("_named"))
     return asked.join(known, "codigo_original", "left").select(
         "codigo_original", "_known", creator.alias("_creator")
@@ -87,6 +91,13 @@ def register_decisions(tables: Tables, requests: DataFrame) -> DataFrame:
     )
 
 
+def register_validated(tables: Tables, requests: DataFrame) -> DataFrame:
+    """Decisions on raw requests: 422 for those that leave out a field, the others as usual."""
+    told = register_decisions(tables, complete_requests(requests, "register"))
+    refused = incomplete_decisions(requests, "register")
+    return told.unionByName(refused, allowMissingColumns=True)
+
+
 def register_new_products(tables: Tables, requests: DataFrame) -> DataFrame:
     """Products the batch creates, with the request that created each."""
     creators = _supplier_codes(tables, requests).where(F.col("_creator").isNotNull())
@@ -101,19 +112,47 @@ def register_new_products(tables: Tables, requests: DataFrame) -> DataFrame:
     return assign_ids(created, "seq", tables.producto, "id_producto")
 
 
+def unique_codes(
+    rows: DataFrame, held: DataFrame, prefix: str = "INV", code: Callable[[Column, str, int], Column] = text.piece_code
+) -> DataFrame:
+    """``seq, codigo_barras`` for ``rows(seq, numero_serie)``: no code twice, none that ``held(codigo_barras)`` has.
+
+    A code goes to the first row that wants it; the others hash their serial
+    again. Two serials seldom want the same code, so one round is the rule.
+    """
+    settled: DataFrame | None = None
+    open_rows, attempt = rows.select("seq", "numero_serie"), 0
+    while True:
+        coded = staged(open_rows.withColumn("codigo_barras", code(F.col("numero_serie"), prefix, attempt)), "codes")
+        first = coded.groupBy("codigo_barras").agg(F.min("seq").alias("seq"))
+        free = unseen(first, "codigo_barras", held, "codigo_barras")
+        if settled is not None:
+            free = free.join(settled.select("codigo_barras"), "codigo_barras", "left_anti")
+        free = staged(free.select("seq", "codigo_barras"), "codes")
+        settled = free if settled is None else settled.unionByName(free)
+        open_rows, attempt = coded.drop("codigo_barras").join(free.select("seq"), "seq", "left_anti"), attempt + 1
+        if open_rows.isEmpty():
+            return settled
+
+
 def register_new_pieces(tables: Tables, requests: DataFrame, prefix: str = "INV") -> DataFrame:
-    """Pieces the batch inserts, with the request that inserted each."""
-    accepted = requests.join(_inserting(tables, requests), "seq", "left_semi")
+    """Pieces the batch inserts, with the request that inserted each.
+
+    The batch is screened once: what it inserts, and its codes, are written
+    before they are used again.
+    """
+    accepted = staged(requests.join(_inserting(tables, requests), "seq", "left_semi"), "accepted")
     created = register_new_products(tables, requests).select("codigo_original", F.col("id_producto").alias("_new"))
     codes = _supplier_codes(tables, requests).select("codigo_original", "_known")
+    barcodes = unique_codes(accepted, tables.pieza.select("codigo_barras"), prefix)
     products = codes.join(created, "codigo_original", "left").select(
         "codigo_original", F.coalesce("_known", "_new").alias("id_producto")
     )
-    pieces = lookup_join(accepted, products, "codigo_original").select(
+    pieces = lookup_join(accepted, products, "codigo_original").join(barcodes, "seq").select(
         "seq",
         "id_producto",
         "numero_serie",
-        text.piece_code(F.col("numero_serie"), prefix).alias("codigo_barras"),
+        "codigo_barras",
         F.lit(M.STATE_REGISTERED).alias("estado"),
         "id_usuario",
         "caja",

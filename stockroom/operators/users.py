@@ -11,7 +11,7 @@ from stockroom import messages as M
 from stockroom.functions import text
 from stockroom.operators.greedy import first_come
 from stockroom.operators.ids import assign_ids
-from stockroom.operators.joins import decide, first_match, lookup_join, with_existence
+from stockroom.operators.joins import decide, first_match, lookup_join, only_asked, unseen, with_existence
 from stockroom.operators.ordered import running_count
 from stockroom.operators.snapshot import merge_changes
 from stockroom.schemas import TABLES
@@ -78,6 +78,13 @@ def user_conflicts(tables: Tables, requests: DataFrame) -> DataFrame:
     )
 
 
+def create_user_form(requests: DataFrame) -> DataFrame:
+    """What the entry form does first: trim names and e-mail, and demand all three."""
+    trimmed = requests.withColumns({c: text.form_trim(F.col(c)) for c in _UNIQUE})
+    missing = reduce(lambda a, b: a | b, (text.blank(F.col(c)) for c in _UNIQUE))
+    return trimmed.select("seq", *_UNIQUE, *decide((missing, 400, M.FORM_INCOMPLETE)))
+
+
 def _accepted_users(tables: Tables, requests: DataFrame) -> DataFrame:
     """``seq`` of the requests that create a user.
 
@@ -88,7 +95,7 @@ def _accepted_users(tables: Tables, requests: DataFrame) -> DataFrame:
         requests.where(text.email_ok(F.col("email"))).groupBy(*_UNIQUE).agg(F.min("seq").alias("seq"))
     )
     for key in _UNIQUE:
-        contenders = contenders.join(tables.usuario.select(key), key, "left_anti")
+        contenders = unseen(contenders, key, tables.usuario, key, asked=requests)
     return first_come(contenders.withColumn("owner", F.col("seq")), _UNIQUE)
 
 
@@ -264,13 +271,14 @@ def toggle_snapshot(tables: Tables, requests: DataFrame) -> DataFrame:
 # --- logins -----------------------------------------------------------------
 
 
-def _users_by_name(tables: Tables) -> DataFrame:
-    return first_match(tables.usuario, "nombre_usuario", "id_usuario", ["id_usuario", "rol", "activo"])
+def _users_by_name(tables: Tables, attempts: DataFrame) -> DataFrame:
+    asked = only_asked(tables.usuario, attempts, "nombre_usuario")
+    return first_match(asked, "nombre_usuario", "id_usuario", ["id_usuario", "rol", "activo"])
 
 
 def login_audit(tables: Tables, attempts: DataFrame) -> DataFrame:
     """Unknown, inactive, wrong password, in this order; the first and last share a text."""
-    rows = lookup_join(attempts, _users_by_name(tables), "nombre_usuario")
+    rows = lookup_join(attempts, _users_by_name(tables, attempts), "nombre_usuario")
     return rows.select(
         "seq",
         *decide(
@@ -292,7 +300,7 @@ def last_login(tables: Tables, attempts: DataFrame) -> DataFrame:
     latest = (
         attempts.where("password_ok").groupBy("nombre_usuario").agg(F.max("ts").alias("ultimo_login"))
     )
-    users = _users_by_name(tables).where("activo").select("nombre_usuario", "id_usuario")
+    users = _users_by_name(tables, attempts).where("activo").select("nombre_usuario", "id_usuario")
     return latest.join(users, "nombre_usuario").select("id_usuario", "ultimo_login")
 
 

@@ -12,6 +12,7 @@ from stockroom.operators import (
     alerts,
     checkout,
     export,
+    joins,
     journal,
     listing,
     lookup,
@@ -21,6 +22,7 @@ from stockroom.operators import (
     users,
 )
 from stockroom.operators.listing import InventoryFilter
+from stockroom.session import split_hot_keys
 from stockroom.sources import testdata
 from stockroom.sources.tables import Tables
 from stockroom.streaming.sessions import activity_sessions
@@ -40,6 +42,7 @@ def _query(fn: Callable) -> Callable:
     """Register ``fn(tables, requests)`` under its own name; ``requests(kind)`` reads a batch."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        split_hot_keys(spark)
         return fn(testdata.tables(spark, sf_dir), lambda kind: testdata.requests(spark, sf_dir, kind))
 
     _REGISTRY[fn.__name__] = run
@@ -123,6 +126,13 @@ def scan_lookup(t: Tables, r):
     return lookup.scan_lookup(t, r("scan"))
 
 
+@_query
+def scan_batch(t: Tables, r):
+    """Scans resolved with the whole lookup table, as the stream does batch by batch."""
+    scans = r("scan")
+    return lookup.resolve(scans, joins.only_asked(lookup.lookup_table(t), scans, "codigo"))
+
+
 @_query
 def scan_display(t: Tables, r):
     return lookup.scan_display(lookup.scan_lookup(t, r("scan")))
@@ -172,6 +182,23 @@ def register_form(t: Tables, r):
     return checked.select("seq", "nombre_producto", "accepted", "status", "reason")
 
 
+@_query
+def register_validated(t: Tables, r):
+    """Every fiftieth request leaves out its serial."""
+    serial = F.when(F.col("seq") % 50 != 0, F.col("numero_serie"))
+    return register.register_validated(t, r("register").withColumn("numero_serie", serial))
+
+
+@_query
+def alert_refresh(t: Tables, r):
+    """The alerts after a batch of registrations, as the stream writes them."""
+    batch = r("register")
+    after = register.tables_after(
+        t, register.register_new_products(t, batch), register.register_new_pieces(t, batch)
+    )
+    return alerts.low_stock_alerts(after)
+
+
 @_query
 def register_decisions(t: Tables, r):
     return register.register_decisions(t, r("register"))
@@ -267,6 +294,14 @@ def user_conflicts(t: Tables, r):
     return users.user_conflicts(t, r("create_user"))
 
 
+@_query
+def create_user_form(t: Tables, r):
+    """Every seventh request has blanks around its texts, every eleventh an empty name."""
+    name = F.when(F.col("seq") % 11 == 0, "\u2003").otherwise(F.col("nombre_completo"))
+    padded = F.when(F.col("seq") % 7 == 0, F.concat(F.lit("\u00a0 "), "email", F.lit("\t"))).otherwise(F.col("email"))
+    return users.create_user_form(r("create_user").withColumns({"nombre_completo": name, "email": padded}))
+
+
 @_query
 def create_users_decisions(t: Tables, r):
     return users.create_users_decisions(t, r("create_user"))

@@ -6,6 +6,8 @@ share only the input mappings with the Spark side.
 
 from __future__ import annotations
 
+import re
+
 from stockroom import messages as M
 from stockroom.plans.catalog import ACTOR, BASE_URL, FILTER, FILTER_PRODUCT
 from stockroom.sources.testdata import REQUEST_MAPPINGS, TABLE_MAPPINGS, select_sql
@@ -250,6 +252,15 @@ _STEPS: dict[str, str] = {
         where estado = 'disponible'""",
 }
 
+# The steps of a registration over the requests that are complete.
+_CHAIN = ("por_codigo", "con_producto", "por_serie", "altas")
+for _name in _CHAIN:
+    _body = _STEPS[_name]
+    for _other in (*_CHAIN, "register_requests"):
+        _body = re.sub(rf"\b{_other}\b", f"completas_{_other}", _body)
+    _STEPS[f"completas_{_name}"] = _body
+_STEPS["completas_register_requests"] = "select * from register_requests where seq % 50 <> 0"
+
 _RECURSIVE = {"rondas", "reclamos_rondas"}
 
 _EDIT_VERDICT = _verdict(
@@ -346,6 +357,30 @@ _FINAL: dict[str, str] = {
         select seq, {_verdict(("not pasa", 400, M.NAME_REQUIRED), ("not alta", 400, M.SERIAL_KNOWN),
                              done="'Pieza registrada exitosamente'")}
         from altas""",
+    "register_validated": f"""
+        select seq, {_verdict(("not pasa", 400, M.NAME_REQUIRED), ("not alta", 400, M.SERIAL_KNOWN),
+                             done="'Pieza registrada exitosamente'")}
+        from completas_altas
+        union all select seq, false, 422, 'Field required', null from register_requests where seq % 50 = 0""",
+    "alert_refresh": """
+        select id_producto, nombre, stock_minimo, ifnull(n, 0) as stock_actual
+        from (select id_producto, nombre, stock_minimo from producto
+              union all select id_producto, nombre, stock_minimo from productos_nuevos)
+             left join (select id_producto, count(*) as n
+                        from (select id_producto from pieza where estado = 'disponible'
+                              union all select id_producto from piezas_nuevas)
+                        group by all) using (id_producto)
+        where ifnull(n, 0) < stock_minimo and stock_minimo > 0""",
+    "scan_batch": "select * from hallazgos",
+    "create_user_form": f"""
+        select *, {_verdict((" or ".join(_BLANK.format(c) for c in ("nombre_usuario", "email", "nombre_completo")),
+                             400, M.FORM_INCOMPLETE))}
+        from (select seq, {_strip("nombre_usuario", _FORM_SPACE)} as nombre_usuario,
+                     {_strip("case when seq % 7 = 0 then concat(chr(160), ' ', email, chr(9)) else email end",
+                             _FORM_SPACE)} as email,
+                     {_strip("case when seq % 11 = 0 then chr(8195) else nombre_completo end", _FORM_SPACE)}
+                         as nombre_completo
+              from create_user_requests)""",
     "register_new_products": "select * from productos_nuevos",
     "register_new_pieces": "select * from piezas_nuevas",
     "register_movements": "select * from mov_altas",

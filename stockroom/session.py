@@ -32,6 +32,20 @@ def build_session(app: str = "stockroom", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+#: What a split of a hot key relies on.
+_SPLIT = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+}
+
+
+def split_hot_keys(spark: SparkSession) -> None:
+    """Set what joins with hot keys rely on, in a session that was not built here."""
+    for key, value in _SPLIT.items():
+        spark.conf.set(key, value)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder for intermediate tables and checkpoints.
 

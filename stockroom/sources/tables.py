@@ -65,7 +65,7 @@ def collate_texts(frame: DataFrame, collation: str) -> DataFrame:
 
 
 def read_parquet_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.schema(TABLES[name]).parquet(f"{root}/{name}")
+    return spark.read.schema(TABLES[name]).parquet(f"{root}/{name}").select(*TABLES[name].fieldNames())
 
 
 def jdbc_options(
@@ -75,13 +75,17 @@ def jdbc_options(
     user: str | None = None,
     password: str | None = None,
     driver: str | None = None,
-    partition_column: str | None = None,
-    lower: int | None = None,
-    upper: int | None = None,
-    partitions: int | None = None,
+    partition_column: str,
+    lower: int,
+    upper: int,
+    partitions: int,
     fetch_size: int = 10_000,
 ) -> dict[str, str]:
-    """Reader options; only the table's own columns are asked for, never a credential column."""
+    """Reader options; only the table's own columns are asked for, never a credential column.
+
+    A table is always read in ranges of a column: a single connection would
+    bring a whole table into one task.
+    """
     columns = ", ".join(TABLES[name].fieldNames())
     options = {
         "url": url,
@@ -94,16 +98,12 @@ def jdbc_options(
         options["password"] = password
     if driver is not None:
         options["driver"] = driver
-    if partition_column is not None:
-        if None in (lower, upper, partitions):
-            raise ValueError("a partition column needs lower, upper and partitions")
-        options |= {
-            "partitionColumn": partition_column,
-            "lowerBound": str(lower),
-            "upperBound": str(upper),
-            "numPartitions": str(partitions),
-        }
-    return options
+    return options | {
+        "partitionColumn": partition_column,
+        "lowerBound": str(lower),
+        "upperBound": str(upper),
+        "numPartitions": str(partitions),
+    }
 
 
 def read_jdbc_table(spark: SparkSession, url: str, name: str, **options) -> DataFrame:
@@ -116,10 +116,10 @@ def load_tables(spark: SparkSession, root: str) -> Tables:
     return Tables(**{name: partial(read_parquet_table, spark, root, name) for name in Tables.NAMES})
 
 
-def append_rows(frame: DataFrame, root: str, name: str) -> None:
-    """Append rows to a table."""
+def append_rows(frame: DataFrame, root: str, name: str, batch: int) -> None:
+    """Append the rows of a batch to a table. Appending the same batch again replaces its rows."""
     columns = TABLES[name].fieldNames()
-    frame.select(*columns).write.mode("append").parquet(f"{root}/{name}")
+    frame.select(*columns).write.mode("overwrite").parquet(f"{root}/{name}/lote={batch}")
 
 
 # --- versions ---------------------------------------------------------------
@@ -129,7 +129,9 @@ def latest_version(spark: SparkSession, root: str, name: str) -> int | None:
     """The newest version announced, or None."""
     try:
         manifest = spark.read.schema(_MANIFEST_SCHEMA).parquet(f"{root}/{_MANIFEST}")
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
     return manifest.where(F.col("tabla") == name).agg(F.max("version")).first()[0]
 

@@ -23,7 +23,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from stockroom.operators.alerts import low_stock_alerts
 from stockroom.operators.joins import only_asked
-from stockroom.operators.lookup import lookup_table, resolve, resolve_stream
+from stockroom.operators.lookup import lookup_table, resolve
 from stockroom.operators.register import (
     register_decisions,
     register_movements,
@@ -48,7 +48,9 @@ def _earlier(
     full = StructType([*schema.fields, StructField("batch_id", LongType())])
     try:
         frame = spark.read.schema(full).parquet(f"{root}/{name}")
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], full)
     return frame.where((F.col("batch_id") >= since) & (F.col("batch_id") < batch))
 
@@ -95,6 +97,7 @@ def live_status_stream(
     def handle(batch: DataFrame, batch_id: int) -> None:
         schema = TABLES["movimiento"]
         journal = _earlier(batch.sparkSession, root, "movimiento", schema, batch_id, since)
+        journal = only_asked(journal, batch, "id_pieza")
         pieces = only_asked(tables.pieza, batch, "id_pieza")
         now = tables.with_(pieza=pieces_now(pieces, journal))
         _write(status_movements(now, batch), root, "movimiento", batch_id)
@@ -134,13 +137,8 @@ def write_lookup_table(tables: Tables, path: str) -> None:
     lookup_table(tables).write.mode("overwrite").parquet(path)
 
 
-def scan_stream(table: DataFrame, scans: DataFrame) -> DataFrame:
-    """Scans as they come, joined with a static lookup table of moderate size."""
-    return resolve_stream(scans, table)
-
-
 def scan_batch_stream(table: DataFrame, scans: DataFrame, root: str, **trigger) -> StreamingQuery:
-    """The same for a lookup table of any size.
+    """Scans as they come, resolved with a lookup table of any size.
 
     The codes of a batch are few: they are sent to the table, which is scanned
     but not shuffled.

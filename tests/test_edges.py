@@ -274,3 +274,39 @@ def test_text_functions(spark):
     ]
     note = one.select(text.state_note(F.lit(None).cast("string"), F.lit("x"), F.lit(" "))).first()[0]
     assert note == "Cambio de 'None' a 'x'."
+
+
+def test_email_rules_on_edge_texts(spark):
+    """The server's pattern allows one line feed at the end; the form's knows every white space."""
+    texts = {
+        "a@b.com": (True, True), "a@b.com\n": (True, False), "a@b.com\r": (False, False),
+        "a@b.com\n\n": (False, False), "a@b.com\u0085": (False, True), "a@b.com\u2028": (False, False),
+        "a\u00a0b@x.yy": (False, False), "a@b.c\u2003d": (False, False), "a@b.c\ufeff": (False, False),
+        "\u00e1@b.cc": (False, True), "a@b.c": (False, True), "": (False, False),
+    }
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r.t: (r.server, r.form) for r in frame.select(
+        "t", text.email_ok(F.col("t")).alias("server"), text.email_ok(F.col("t"), form=True).alias("form")
+    ).collect()}
+    assert got == texts
+    import duckdb
+
+    from stockroom.plans import oracle
+
+    for t, (server, form) in texts.items():
+        sql = f"select regexp_matches(?, '{oracle._EMAIL}'), regexp_matches(?, '{oracle._FORM_EMAIL}')"
+        assert duckdb.execute(sql, [t, t]).fetchone() == (server, form), repr(t)
+
+
+def test_no_two_pieces_share_a_code(spark):
+    """Five serials that want one code, a code that a piece has, and one that a second try would give."""
+    few = lambda serial, prefix, attempt: F.concat(
+        F.lit(prefix), (F.length(serial) * (attempt + 1) + attempt).cast("string")
+    )
+    rows = spark.createDataFrame([(k, "s" * n) for k, n in enumerate([3, 3, 3, 7, 5, 3, 3, 9])], "seq bigint, numero_serie string")
+    held = spark.createDataFrame([("INV5",)], "codigo_barras string")
+    got = {r.seq: r.codigo_barras for r in register.unique_codes(rows, held, "INV", few).collect()}
+    assert sorted(got) == list(range(8)) and len(set(got.values())) == 8
+    assert got[0] == "INV3" and got[4] != "INV5" and got[7] == "INV9" and got[3] == "INV7"
+    plain = register.unique_codes(rows.where("seq = 3"), held).first().codigo_barras
+    assert plain == spark.range(1).select(text.piece_code(F.lit("s" * 7))).first()[0]

@@ -69,7 +69,7 @@ def test_state_filter_reaches_the_scan(spark, tmp_path, small, name):
 
     made = testdata.tables(spark, small)
     for table in ("pieza", "producto", "dron", "usuario"):
-        t.append_rows(getattr(made, table), str(tmp_path), table)
+        t.append_rows(getattr(made, table), str(tmp_path), table, 0)
     stored = t.load_tables(spark, str(tmp_path))
     frame = {
         "low_stock_alerts": lambda: alerts.low_stock_alerts(stored),

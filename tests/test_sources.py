@@ -14,11 +14,12 @@ def test_tables_round_trip(spark, small, tmp_path):
     root = str(tmp_path)
     made = testdata.tables(spark, small)
     for name in ("pieza", "producto", "dron", "usuario"):
-        tables.append_rows(getattr(made, name), root, name)
+        tables.append_rows(getattr(made, name), root, name, 0)
     loaded = tables.load_tables(spark, root)
     assert loaded.pieza.schema == TABLES["pieza"]
     assert loaded.pieza.count() == made.pieza.count()
-    tables.append_rows(made.dron, root, "dron")
+    for _ in range(2):  # a batch that is run again replaces its rows
+        tables.append_rows(made.dron, root, "dron", 1)
     assert tables.load_tables(spark, root).dron.count() == 2 * made.dron.count()
 
 
@@ -55,8 +56,8 @@ def test_jdbc_options():
     )
     assert "password_hash" not in options["dbtable"] and "select id_usuario" in options["dbtable"]
     assert options["numPartitions"] == "4" and options["lowerBound"] == "1"
-    with pytest.raises(ValueError):
-        tables.jdbc_options("jdbc:x", "pieza", partition_column="id_pieza")
+    with pytest.raises(TypeError):
+        tables.jdbc_options("jdbc:x", "pieza")
 
 
 def test_requests_with_defaults(spark, tmp_path):
