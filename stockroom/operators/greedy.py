@@ -35,7 +35,7 @@ from stockroom.staging import staged
 log = logging.getLogger(__name__)
 
 #: Rounds before chains are looked for; requests in random order are mostly decided by then.
-CONTRACT_FROM = 2
+CONTRACT_FROM = 6
 
 
 def first_come(claims: DataFrame, keys: Sequence[str], contract_from: int = CONTRACT_FROM) -> DataFrame:
