@@ -11,6 +11,7 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -51,6 +52,7 @@ def main() -> None:
         spark__sql__shuffle__partitions=cpus if cpus.isdigit() else 8,
         spark__driver__memory=os.environ.get("BENCH_MEMORY", "4g"),
         spark__ui__showConsoleProgress="false",
+        spark__checkpoint__dir=os.environ.get("BENCH_CHECKPOINTS") or tempfile.mkdtemp(prefix="stockroom-bench-"),
     )
     spark.sparkContext.setLogLevel("ERROR")
     registry = queries()

@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -19,6 +20,7 @@ def spark():
         spark__sql__shuffle__partitions=2,
         spark__driver__memory="4g",
         spark__ui__showConsoleProgress="false",
+        spark__checkpoint__dir=tempfile.mkdtemp(prefix="stockroom-tests-"),
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
