@@ -37,11 +37,11 @@ from stockroom.schemas import TABLES
 from stockroom.sources.tables import Tables
 
 
-def _write(frame: DataFrame, root: str, name: str, batch: int) -> None:
+def write_batch(frame: DataFrame, root: str, name: str, batch: int) -> None:
     frame.write.mode("overwrite").parquet(f"{root}/{name}/batch_id={batch}")
 
 
-def _earlier(
+def earlier_rows(
     spark: SparkSession, root: str, name: str, schema: StructType, batch: int, since: int = 0
 ) -> DataFrame:
     """Rows of earlier batches, with ``batch_id``; other folders are not opened."""
@@ -60,7 +60,7 @@ def written(spark: SparkSession, root: str, name: str, schema: StructType) -> Da
     return spark.read.schema(schema).parquet(f"{root}/{name}").select(*schema.fieldNames())
 
 
-def _start(stream: DataFrame, root: str, name: str, handle: Callable[[DataFrame, int], None], **trigger):
+def start_batches(stream: DataFrame, root: str, name: str, handle: Callable[[DataFrame, int], None], **trigger):
     def once(batch: DataFrame, batch_id: int) -> None:
         """The steps of a batch read its requests several times; keep them for that long."""
         batch.persist(StorageLevel.MEMORY_AND_DISK)
@@ -96,13 +96,13 @@ def live_status_stream(
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         schema = TABLES["movimiento"]
-        journal = _earlier(batch.sparkSession, root, "movimiento", schema, batch_id, since)
+        journal = earlier_rows(batch.sparkSession, root, "movimiento", schema, batch_id, since)
         journal = only_asked(journal, batch, "id_pieza")
         pieces = only_asked(tables.pieza, batch, "id_pieza")
         now = tables.with_(pieza=pieces_now(pieces, journal))
-        _write(status_movements(now, batch), root, "movimiento", batch_id)
+        write_batch(status_movements(now, batch), root, "movimiento", batch_id)
 
-    return _start(changes, root, "live_status", handle, **trigger)
+    return start_batches(changes, root, "live_status", handle, **trigger)
 
 
 _NEW_PIECES = StructType([TABLES["movimiento"]["seq"], *TABLES["pieza"].fields])
@@ -118,18 +118,18 @@ def register_stream(
         spark = batch.sparkSession
         now = tables_after(
             tables,
-            _earlier(spark, root, "producto", _NEW_PRODUCTS, batch_id, since),
-            _earlier(spark, root, "pieza", _NEW_PIECES, batch_id, since),
+            earlier_rows(spark, root, "producto", _NEW_PRODUCTS, batch_id, since),
+            earlier_rows(spark, root, "pieza", _NEW_PIECES, batch_id, since),
         )
-        _write(register_decisions(now, batch), root, "decisiones", batch_id)
-        _write(register_new_products(now, batch), root, "producto", batch_id)
-        _write(register_new_pieces(now, batch, prefix), root, "pieza", batch_id)
+        write_batch(register_decisions(now, batch), root, "decisiones", batch_id)
+        write_batch(register_new_products(now, batch), root, "producto", batch_id)
+        write_batch(register_new_pieces(now, batch, prefix), root, "pieza", batch_id)
         products = spark.read.schema(_NEW_PRODUCTS).parquet(f"{root}/producto/batch_id={batch_id}")
         pieces = spark.read.schema(_NEW_PIECES).parquet(f"{root}/pieza/batch_id={batch_id}")
-        _write(register_movements(pieces), root, "movimiento", batch_id)
-        _write(low_stock_alerts(tables_after(now, products, pieces)), root, "alertas", batch_id)
+        write_batch(register_movements(pieces), root, "movimiento", batch_id)
+        write_batch(low_stock_alerts(tables_after(now, products, pieces)), root, "alertas", batch_id)
 
-    return _start(registrations, root, "register", handle, **trigger)
+    return start_batches(registrations, root, "register", handle, **trigger)
 
 
 def write_lookup_table(tables: Tables, path: str) -> None:
@@ -145,6 +145,6 @@ def scan_batch_stream(table: DataFrame, scans: DataFrame, root: str, **trigger)
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        _write(resolve(batch, only_asked(table, batch, "codigo")), root, "hallazgos", batch_id)
+        write_batch(resolve(batch, only_asked(table, batch, "codigo")), root, "hallazgos", batch_id)
 
-    return _start(scans, root, "scans", handle, **trigger)
+    return start_batches(scans, root, "scans", handle, **trigger)

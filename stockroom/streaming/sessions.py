@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType, TimestampNTZType
+
+from stockroom.operators.joins import lookup_join, only_asked
+from stockroom.streaming.live import earlier_rows, start_batches, write_batch
 
 # Fixed value: inactivity limit, in minutes (600,000 ms).
 GAP_MINUTES = 10
@@ -41,7 +46,8 @@ def stream_activity_sessions(events: DataFrame, late: str = "10 minutes") -> Dat
     """The same over a stream; a session comes out once the watermark has passed its end.
 
     ``withWatermark`` wants a timestamp with a time zone; the session time zone
-    must be UTC. Events later than ``late`` are dropped.
+    must be UTC. Events later than ``late`` are dropped; ``session_batch_stream``
+    drops none.
     """
     if events.sparkSession.conf.get("spark.sql.session.timeZone") not in ("UTC", "Etc/UTC", "GMT", "Z"):
         raise ValueError("set spark.sql.session.timeZone to UTC")
@@ -58,3 +64,40 @@ def stream_activity_sessions(events: DataFrame, late: str = "10 minutes") -> Dat
             "eventos",
         )
     )
+
+
+_EVENTS = StructType([StructField("user_id", LongType()), StructField("ts", TimestampNTZType())])
+_SESSIONS = StructType(
+    [
+        StructField("user_id", LongType()),
+        StructField("inicio", TimestampNTZType()),
+        StructField("fin", TimestampNTZType()),
+        StructField("eventos", LongType()),
+    ]
+)
+
+
+def session_batch_stream(events: DataFrame, root: str, **trigger) -> StreamingQuery:
+    """Sessions that late events correct, however late they come.
+
+    Every micro-batch keeps its events and writes the sessions of its users anew,
+    from all of their events: the users of a batch are sent to the stored
+    events, which are scanned but not shuffled as a whole. ``latest_sessions``
+    reads the result.
+    """
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        write_batch(batch.select("user_id", "ts"), root, "eventos", batch_id)
+        stored = earlier_rows(batch.sparkSession, root, "eventos", _EVENTS, batch_id + 1)
+        asked = only_asked(stored, batch, "user_id").select("user_id", "ts")
+        write_batch(activity_sessions(asked), root, "sesiones", batch_id)
+
+    return start_batches(events, root, "sessions", handle, **trigger)
+
+
+def latest_sessions(spark: SparkSession, root: str) -> DataFrame:
+    """The sessions of every user as the last batch with one of their events left them."""
+    full = StructType([*_SESSIONS.fields, StructField("batch_id", LongType())])
+    written = spark.read.schema(full).parquet(f"{root}/sesiones")
+    last = written.groupBy("user_id").agg(F.max("batch_id").alias("_last"))
+    return lookup_join(written, last, "user_id").where("batch_id = _last").select(*_SESSIONS.fieldNames())

@@ -9,7 +9,7 @@ from stockroom.operators import alerts, lookup, register, state
 from stockroom.schemas import REQUESTS, TABLES
 from stockroom.sources import testdata
 from stockroom.sources.requests import stream_requests
-from stockroom.streaming import live
+from stockroom.streaming import live, sessions
 from stockroom.streaming.sessions import activity_sessions, stream_activity_sessions
 
 
@@ -107,20 +107,37 @@ def test_a_batch_that_is_retried_changes_nothing(spark, small, tmp_path):
     requests = testdata.requests(spark, small, "status")
     root = str(tmp_path)
     for _ in range(2):
-        live._write(state.status_movements(tables, requests), root, "movimiento", 0)
-    journal = live._earlier(spark, root, "movimiento", TABLES["movimiento"], 1)
+        live.write_batch(state.status_movements(tables, requests), root, "movimiento", 0)
+    journal = live.earlier_rows(spark, root, "movimiento", TABLES["movimiento"], 1)
     assert journal.count() == state.status_movements(tables, requests).count()
-    assert live._earlier(spark, root, "movimiento", TABLES["movimiento"], 0).count() == 0
+    assert live.earlier_rows(spark, root, "movimiento", TABLES["movimiento"], 0).count() == 0
 
 
 def test_an_unreadable_journal_is_an_error(spark, tmp_path):
     root = str(tmp_path)
-    assert live._earlier(spark, root, "movimiento", TABLES["movimiento"], 5).count() == 0
+    assert live.earlier_rows(spark, root, "movimiento", TABLES["movimiento"], 5).count() == 0
     folder = tmp_path / "movimiento" / "batch_id=0"
     folder.mkdir(parents=True)
     (folder / "part-0.parquet").write_text("no parquet")
     with pytest.raises(Exception, match="(?i)parquet"):
-        live._earlier(spark, root, "movimiento", TABLES["movimiento"], 5).collect()
+        live.earlier_rows(spark, root, "movimiento", TABLES["movimiento"], 5).collect()
+
+
+def test_late_events_correct_their_sessions(spark, small, tmp_path):
+    """An event of the first day comes last, and a batch is run twice."""
+    events = spark.read.parquet(f"{small}/events.parquet").select("user_id", "ts").where("user_id < 40")
+    ordered = [r for r in events.collect()]
+    ordered.sort(key=lambda r: (r.ts, r.user_id))
+    late, root = ordered[:5], str(tmp_path / "root")
+    for k, part in enumerate((ordered[5:200], ordered[200:], late)):
+        spark.createDataFrame(part, events.schema).write.mode("append").parquet(str(tmp_path / "in"))
+        source = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
+        query = sessions.session_batch_stream(source, root)
+        query.awaitTermination()
+        assert query.exception() is None, k
+    expected = sessions.activity_sessions(events)
+    names = ("user_id", "inicio", "fin", "eventos")
+    assert rows(sessions.latest_sessions(spark, root), *names) == rows(expected, *names)
 
 
 def test_scans(spark, small, tmp_path):
