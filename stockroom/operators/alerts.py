@@ -18,15 +18,21 @@ def low_stock_alerts(tables: Tables) -> DataFrame:
     product without any available piece counts zero; a minimum of NULL or zero
     raises no alert.
     """
-    available = (
-        tables.pieza.where(F.col("estado") == M.STATE_REGISTERED)
-        .groupBy("id_producto")
-        .agg(F.count("id_pieza").alias("_available"))
-    )
-    watched = tables.producto.where(F.col("stock_minimo") > 0).select("id_producto", "nombre", "stock_minimo")
+    return alerts_from_counts(tables.producto, available_pieces(tables.pieza))
+
+
+def available_pieces(pieces: DataFrame) -> DataFrame:
+    """``id_producto, disponibles`` of every product with an available piece."""
+    available = pieces.where(F.col("estado") == M.STATE_REGISTERED)
+    return available.groupBy("id_producto").agg(F.count("id_pieza").alias("disponibles"))
+
+
+def alerts_from_counts(products: DataFrame, available: DataFrame) -> DataFrame:
+    """The alerts, given how many pieces of each product are available."""
+    watched = products.where(F.col("stock_minimo") > 0).select("id_producto", "nombre", "stock_minimo")
     return (
         watched.join(available, "id_producto", "left")
-        .withColumn("stock_actual", F.coalesce("_available", F.lit(0)))
+        .withColumn("stock_actual", F.coalesce("disponibles", F.lit(0)))
         .where(F.col("stock_actual") < F.col("stock_minimo"))
         .select("id_producto", "nombre", "stock_minimo", "stock_actual")
     )

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
-from stockroom.operators.alerts import low_stock_alerts
+from stockroom.operators.alerts import alerts_from_counts, available_pieces
 from stockroom.operators.joins import only_asked
 from stockroom.operators.lookup import lookup_table, resolve
 from stockroom.operators.register import (
@@ -109,6 +109,16 @@ _NEW_PIECES = StructType([TABLES["movimiento"]["seq"], *TABLES["pieza"].fields])
 _NEW_PRODUCTS = StructType([TABLES["movimiento"]["seq"], *TABLES["producto"].fields])
 
 
+_COUNTS = StructType([TABLES["pieza"]["id_producto"], StructField("disponibles", LongType())])
+
+
+def _counts_before(spark: SparkSession, tables: Tables, root: str, batch: int, since: int) -> DataFrame:
+    """Available pieces per product as the last batch left them; the pieces are counted for the first batch only."""
+    if batch == since:
+        return available_pieces(tables.pieza)
+    return spark.read.schema(_COUNTS).parquet(f"{root}/existencias/batch_id={batch - 1}")
+
+
 def register_stream(
     tables: Tables, registrations: DataFrame, root: str, prefix: str = "INV", since: int = 0, **trigger
 ) -> StreamingQuery:
@@ -127,7 +137,12 @@ def register_stream(
         products = spark.read.schema(_NEW_PRODUCTS).parquet(f"{root}/producto/batch_id={batch_id}")
         pieces = spark.read.schema(_NEW_PIECES).parquet(f"{root}/pieza/batch_id={batch_id}")
         write_batch(register_movements(pieces), root, "movimiento", batch_id)
-        write_batch(low_stock_alerts(tables_after(now, products, pieces)), root, "alertas", batch_id)
+        counts = available_pieces(pieces).unionByName(_counts_before(spark, tables, root, batch_id, since))
+        counts = counts.groupBy("id_producto").agg(F.sum("disponibles").alias("disponibles"))
+        write_batch(counts, root, "existencias", batch_id)
+        counts = spark.read.schema(_COUNTS).parquet(f"{root}/existencias/batch_id={batch_id}")
+        after = tables_after(now, products, pieces)
+        write_batch(alerts_from_counts(after.producto, counts), root, "alertas", batch_id)
 
     return start_batches(registrations, root, "register", handle, **trigger)
 
