@@ -80,13 +80,17 @@ def windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return cut.distinct().select("item_id", "length", F.xxhash64(_hashes(F.col("words"))).alias("hash"), "words")
 
 
+def _small(keys: DataFrame, limit: int) -> DataFrame:
+    """Narrow rows, to be broadcast if there are at most ``limit``."""
+    return F.broadcast(keys) if keys.count() <= limit else keys
+
+
 def _candidates(docs: DataFrame, tests: DataFrame, max_broadcast: int) -> DataFrame:
     """``doc_id, print, start, length, hash`` where a document's window has the hash of a test window."""
     keys = tests.select("hash", "length").distinct()
     found = keys.groupBy("length").count().collect()  # a row per length: WINDOW rows at most
     lengths = sorted(r["length"] for r in found)
-    if sum(r["count"] for r in found) <= max_broadcast:
-        keys = F.broadcast(keys)
+    keys = _small(keys, max_broadcast)
     hashed = docs.select("doc_id", "print", F.size("words").alias("n"), _hashes(F.col("words")).alias("hashes"))
     every = [_window_hashes(F.col("hashes"), F.col("n"), k) for k in lengths]
     none = F.array().cast("array<bigint>")
@@ -109,8 +113,10 @@ def _candidates(docs: DataFrame, tests: DataFrame, max_broadcast: int) -> DataFr
     )
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """``doc_id, print, positions, windows`` of every document with a test window.
+def hits(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_broadcast: int = MAX_BROADCAST
+) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, print, positions, windows`` of every document with a test window, and the test windows.
 
     ``positions`` are the hit words, from 0; ``print`` is the hash of the text.
     """
@@ -126,18 +132,18 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_broadc
         .agg(F.collect_set(F.struct("start", "length", "words")).alias("asked"))
     )
     asked = staged(asked, "candidates")
-    a, t = asked.alias("a"), texts.alias("t")
-    same = F.col("a.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("a.print") == F.col("t.print"))
-    verified = (
-        t.join(a, same)
-        .select("t.doc_id", "t.print", "a.asked", lowered(words_of(F.col("t.text"))).alias("words"))
-        .select(
-            "doc_id",
-            "print",
-            F.filter("asked", lambda c: F.slice("words", c["start"] + 1, c["length"]) == c["words"]).alias("real"),
-        )
-        .where(F.size("real") > 0)
+    keys = _small(asked.select("doc_id", "print"), max_broadcast).alias("k")
+    few = texts.alias("t").join(keys, _same("t", "k"), "left_semi").alias("t")
+    pairs = F.array(F.struct(F.col("a.asked").alias("asked"), lowered(words_of(F.col("t.text"))).alias("words")))
+    # the words are computed once for a document, not for every window that is asked for
+    real = F.transform(
+        pairs,
+        lambda p: F.filter(
+            p["asked"], lambda c: F.slice(p["words"], c["start"] + 1, c["length"]) == c["words"]
+        ),
     )
+    verified = few.join(asked.alias("a"), _same("a", "t")).select("t.doc_id", "t.print", F.flatten(real).alias("real"))
+    verified = verified.where(F.size("real") > 0)
     spans = F.transform("real", lambda c: F.sequence(c["start"], c["start"] + c["length"] - 1))
     result = verified.select(
         "doc_id",
@@ -189,11 +195,12 @@ def remove(
 ) -> DataFrame:
     """``docs`` without the contaminated documents, or with ``spans`` without their hit words."""
     found, _ = hits(docs, benchmark, window, max_broadcast)
+    gone = _small(found.select("doc_id", "print"), max_broadcast)
     mark, where = fresh(docs, "_print"), fresh(docs, "_positions")
     marked = docs.withColumn(mark, F.xxhash64(F.col("text").cast("string"))).alias("d")
     same = F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col(f"d.{mark}") == F.col("h.print"))
     if not spans:
-        return marked.join(found.alias("h"), same, "left_anti").drop(mark)
+        return marked.join(gone.alias("h"), same, "left_anti").drop(mark)
     text, gaps = F.col("text").cast("string"), F.split(F.col("text").cast("string"), _WORD, -1)
     words = F.regexp_extract_all(text, F.lit(f"({_WORD})"), 1)
     kept = F.transform(words, lambda w, k: F.when(F.array_contains(where, k), F.lit("")).otherwise(w))
