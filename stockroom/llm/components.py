@@ -20,7 +20,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     is refused, not cut short.
     """
     nodes = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node")))
-    current = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    downward = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    current = staged(downward.distinct(), "edges")
     before = None
     for _ in range(rounds):
         current = staged(_small_star(_large_star(current)), "edges")

@@ -121,7 +121,8 @@ def _features(kind: str, text: str, tokens: list[tuple[int, int]], cue: str) ->
     if kind == "ip":
         if len(groups) != 4 or set(between) != {"."}:
             return ["ip never"]
-        marks.add("parts" if all(g <= 3 and int(text[s:e]) <= MAX_PART for g, (s, e) in zip(groups, tokens, strict=True)) else "too large")
+        fits = all(e - s <= 3 and int(text[s:e]) <= MAX_PART for s, e in tokens)
+        marks.add("parts" if fits else "too large")
     elif kind == "card":
         if not CARD_DIGITS[0] <= n <= CARD_DIGITS[1] or not set(between) <= {" ", "-"}:
             return ["card never"]

@@ -144,7 +144,7 @@ class WordEncoder:
     becomes the older, so what is in use stays.
     """
 
-    GENERATION = 500_000
+    GENERATION = 350_000
     _CHARACTERS = _byte_letters()
 
     def __init__(self, name: str) -> None:
@@ -203,7 +203,8 @@ def encoder(name: str) -> WordEncoder:
     return _encoders[name]
 
 
-_BINARY = [c for k in range(len(WIDTHS)) for c in ((f"chunks_{k}", f"more_{k}", f"ranks_{k}") if k + 1 < len(WIDTHS) else (f"chunks_{k}",))]
+#: The last level needs no bitmap.
+_BINARY = [f"{part}_{k}" for k in range(len(WIDTHS)) for part in ("chunks", "more", "ranks")][:-2]
 _SEGMENT = pa.schema(
     [
         ("range_no", pa.int32()), ("segment_no", pa.int32()), ("first_token", pa.int64()), ("n_tokens", pa.int64()),
