@@ -53,7 +53,8 @@ def _supplier_codes(tables: Tables, requests: DataFrame) -> DataFrame:
     """Per supplier code of the batch: the product that has it, or the request that creates it."""
     named = text.given(F.col("nombre_producto"))
     asked = requests.groupBy("codigo_original").agg(F.min(F.when(named, F.col("seq"))).alias("_named"))
-    known = only_asked(tables.producto, requests, "codigo_original").groupBy("codigo_original").agg(F.min("id_producto").alias("_known"))
+    held = only_asked(tables.producto, requests, "codigo_original")
+    known = held.groupBy("codigo_original").agg(F.min("id_producto").alias("_known"))
     creator = F.when(F.col("_known").isNull(), F.col("_named"))
     return asked.join(known, "codigo_original", "left").select(
         "codigo_original", "_known", creator.alias("_creator")
