@@ -97,6 +97,11 @@ def _signature(tokens: np.ndarray, n: int) -> bytes:
     return mix(np.array([a + np.uint64(n), b + np.uint64(n)], dtype=np.uint64)).tobytes()
 
 
+def _group(prefix: np.ndarray, n: int) -> int:
+    """64 bits that stand for a prefix and a size."""
+    return int.from_bytes(_signature(prefix, n)[:8], "little", signed=True)
+
+
 class _Order:
     """The global order of tokens: those that are not frequent by hash, then the others by frequency."""
 
@@ -182,10 +187,7 @@ def _nodes(docs: DataFrame, order: _Order, percent: int) -> DataFrame:
                     batch.column("print"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([_signature(s, len(s)) if len(s) else None for s in sets], pa.binary()),
-                    pa.array(
-                        [int.from_bytes(_signature(p, len(s))[:8], "little", signed=True) for p, s in zip(prefixes, sets, strict=True)],
-                        pa.int64(),
-                    ),
+                    pa.array([_group(p, len(s)) for p, s in zip(prefixes, sets, strict=True)], pa.int64()),
                     pa.array([p.view(np.int64) for p in prefixes], pa.list_(pa.int64())),
                 ],
                 schema=schema,
@@ -217,11 +219,15 @@ def _candidates(groups: DataFrame, percent: int) -> DataFrame:
     )
     # a class holds sizes that may link; sizes that may link are in the same or in neighbouring classes
     size_class = F.floor(F.log(F.col("n")) / (1.0001 * math.log(100 / percent)))
-    long = lists.where(F.col("length") > LONG_LIST).withColumn("class", size_class)
-    hubs = long.groupBy("token", "class").agg(F.min("gid").alias("hub"))
-    stars = long.join(hubs, ["token", "class"]).select(F.col("gid").alias("a"), F.col("hub").alias("b"))
-    after = hubs.select("token", (F.col("class") - 1).alias("class"), F.col("hub").alias("next"))
-    steps = hubs.join(after, ["token", "class"]).select(F.col("hub").alias("a"), F.col("next").alias("b"))
+    spot = F.struct("token", size_class.alias("class"))
+    long = lists.where(F.col("length") > LONG_LIST).select("gid", spot.alias("spot"))
+    hubs = long.groupBy("spot").agg(F.min("gid").alias("hub"))
+    # a very common token fills one spot: its rows may be split among tasks
+    stars = lookup_join(long, hubs, "spot").select(F.col("gid").alias("a"), F.col("hub").alias("b"))
+    after = hubs.select(
+        F.struct("spot.token", (F.col("spot.class") - 1).alias("class")).alias("spot"), F.col("hub").alias("next")
+    )
+    steps = hubs.join(after, "spot").select(F.col("hub").alias("a"), F.col("next").alias("b"))
     return pairs.unionByName(stars).unionByName(steps).where("a <> b").distinct()
 
 
@@ -308,8 +314,8 @@ def _verified(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
         own = np.array([part[k] for k in real])
         sizes = np.array([len(sets[k]) for k in real])
         roots = _linked(sizes, [sets[k] for k in real], percent, None if same else own)
-        pairs = [(nodes[real[x]], nodes[real[r]]) for x, r in enumerate(roots) if x != r]
-        return pa.table([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], schema=schema)
+        pairs = [{"a": nodes[real[x]], "b": nodes[real[r]]} for x, r in enumerate(roots) if x != r]
+        return pa.Table.from_pylist(pairs, schema=schema)
 
     ship_package(docs.sparkSession)
     return dealt.groupBy("cluster", "i", "j").applyInArrow(verify, "a binary, b binary")
