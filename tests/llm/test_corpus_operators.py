@@ -165,6 +165,39 @@ def test_shards_keep_groups_and_split_only_the_large(spark):
     assert cut.links == 250 * 249 // 2 + 30 * 3 and cut.kept + cut.cut == cut.links
 
 
+def test_shards_keep_groups_where_every_document_has_a_copy(spark):
+    pairs = [(i, f"pair {i // 2}") for i in range(600)] + [(1000 + i, f"six {i // 6}") for i in range(102)]
+    thousands = [(i, f"hot {i // 300}") for i in range(2400)] + [(9000 + i, f"text {i}") for i in range(48)]
+    for rows, most in ((pairs, 1), (thousands, 3)):
+        got = sharding.report(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+        shards_are_lawful(got, 16)
+        texts, homes = dict(rows), defaultdict(set)
+        for r in got:
+            homes[texts[r.doc_id]].add(r.shard)
+        assert sum(len(v) > most for v in homes.values()) < 16
+
+
+def test_balance_splits_fewer_groups_than_shards():
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        sizes = Counter(rng.integers(2, rng.choice([3, 5, 90]), rng.integers(1, 200)).tolist())
+        total = sum(n * m for n, m in sizes.items()) + int(rng.choice([0, 3, 500]))
+        capacity = [total // 16 + (s < total % 16) for s in range(16)]
+        runs, room = sharding.balanced(sizes, capacity)
+        assert list(runs) == sorted(sizes, reverse=True)
+        held, first, split = Counter(), 0, 0
+        for n, m in sorted(sizes.items(), reverse=True):
+            ends = [*(at for at, _ in runs[n][1:]), first + m]
+            assert runs[n][0][0] == first
+            for (at, pieces), end in zip(runs[n], ends, strict=True):
+                assert end > at and sum(k for _, k in pieces) == n
+                split += (end - at) * (len(pieces) > 1)
+                for s, k in pieces:
+                    held[s] += k * (end - at)
+            first += m
+        assert [held[s] + room[s] for s in range(16)] == capacity and min(room) >= 0 and split < 16
+
+
 def test_sharding_takes_edge_rows(spark):
     docs = edge_docs(spark)
     got = sharding.report(docs).collect()
