@@ -18,6 +18,9 @@ from stockroom.llm import decontamination, jaccard_join, mixing, quality_rules,
 from stockroom.llm.queries import quality_labels
 from stockroom.staging import staged
 
+#: Near duplicates of the corpus: runs of five words, of which two documents share 80 %; op10 has its own measure.
+NEAR_WIDTH, NEAR_PERCENT = 5, 80
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -28,7 +31,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the lowest id, of each group of near duplicates."""
-    return jaccard_join.first_of_each(docs)
+    return jaccard_join.first_of_each(docs, NEAR_PERCENT, NEAR_WIDTH)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """Jaccard self-join of documents on word shingles, by grouped prefixes.
 
-A document is the set of its different runs of three words. Two documents link
-when the sets' intersection is at least ``PERCENT`` of their union. The join is
-exact up to collisions of 64-bit hashes of shingles:
+A document is the set of its different runs of ``width`` words, three unless
+told otherwise. Two documents link when the sets' intersection is at least
+``percent``, 90 unless told otherwise, of their union. The join is exact up to
+collisions of 64-bit hashes of shingles:
 
 1. Tokens (shingle hashes) get one global order: rare ones by hash, then the
    ``MAX_FREQUENT`` most frequent ones by frequency. The order decides the
@@ -22,8 +23,8 @@ exact up to collisions of 64-bit hashes of shingles:
 5. The components of the verified links are the result.
 
 Cases: a text without words, or NULL, has no set, size 0 and links with
-nothing; with one or two words the whole sequence is the only shingle; equal
-texts link; repeated rows are equal texts; a NULL id is never a component's id
+nothing; with fewer words than ``width`` the whole sequence is the only
+shingle; equal texts link; repeated rows are equal texts; a NULL id is never a component's id
 unless no other is there; two documents with the same id are told apart by
 their texts; an empty table gives no rows. ``first_of_each`` keeps all columns,
 whatever their names.
@@ -123,13 +124,14 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string").alias("text"))
 
 
-def _count(docs: DataFrame, order: DataFrame, percent: int, times: int) -> DataFrame:
+def _count(docs: DataFrame, order: DataFrame, percent: int, times: int, width: int) -> DataFrame:
     """``token, n``: in how many documents a token is among the first of its order, ``times`` prefixes long."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = order.value
         for batch in blocks(batches):
-            found = [ranks.prefix(s, times * _prefix_size(len(s), percent)) for s in shingle_sets(batch.column("text"))]
+            sets = shingle_sets(batch.column("text"), width)
+            found = [ranks.prefix(s, times * _prefix_size(len(s), percent)) for s in sets]
             tokens, n = np.unique(np.concatenate(found), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(n)], ["token", "n"])
 
@@ -142,7 +144,7 @@ def _most_frequent(counts: DataFrame, least: int, room: int) -> tuple[np.ndarray
     return top.column("token").to_numpy().astype(np.int64).view(np.uint64), top.column("n").to_numpy()
 
 
-def _order(docs: DataFrame, percent: int, max_frequent: int) -> _Order:
+def _order(docs: DataFrame, percent: int, max_frequent: int, width: int) -> _Order:
     """The order for a corpus; the driver holds ``max_frequent`` tokens at most.
 
     When frequent tokens leave the prefixes others move up, so the counts are
@@ -152,7 +154,7 @@ def _order(docs: DataFrame, percent: int, max_frequent: int) -> _Order:
     tokens, n = np.empty(0, np.uint64), np.empty(0, np.int64)
     for turn in range(4):
         order = spark.sparkContext.broadcast(_Order(tokens[np.lexsort((tokens, n))]))
-        counts = _count(docs, order, percent, 2 if turn == 0 else 1)
+        counts = _count(docs, order, percent, 2 if turn == 0 else 1, width)
         new, m = _most_frequent(
             counts, FREQUENT if turn == 0 else LONG_LIST + 1, max_frequent + (len(tokens) if turn else 0)
         )
@@ -166,7 +168,7 @@ def _order(docs: DataFrame, percent: int, max_frequent: int) -> _Order:
     return _Order(tokens[np.lexsort((tokens, n))])
 
 
-def _nodes(docs: DataFrame, order: _Order, percent: int) -> DataFrame:
+def _nodes(docs: DataFrame, order: _Order, percent: int, width: int) -> DataFrame:
     """``doc_id, print, n, node, gid, prefix`` of every document."""
     shared_order = docs.sparkSession.sparkContext.broadcast(order)
     schema = pa.schema(
@@ -179,7 +181,7 @@ def _nodes(docs: DataFrame, order: _Order, percent: int) -> DataFrame:
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = shared_order.value
         for batch in blocks(batches):
-            sets = shingle_sets(batch.column("text"))
+            sets = shingle_sets(batch.column("text"), width)
             prefixes = [ranks.prefix(s, _prefix_size(len(s), percent)) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -275,7 +277,7 @@ def _linked(sizes: np.ndarray, sets: list[np.ndarray], percent: int, across: np.
     return [find(x) for x in range(k)]
 
 
-def _verified(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+def _verified(docs: DataFrame, members: DataFrame, percent: int, width: int) -> DataFrame:
     """``a, b``: verified links between nodes, as stars, from ``members(doc_id, node, cluster)``."""
     sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("k"))
     parts = F.ceil(F.col("k") / BLOCK).cast("int")
@@ -304,7 +306,7 @@ def _verified(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
         table = table.combine_chunks()
         texts = table.column("text").combine_chunks().cast(pa.large_string())
         nodes, part = table.column("node").to_pylist(), table.column("part").to_numpy()
-        sets = shingle_sets(texts)
+        sets = shingle_sets(texts, width)
         # another text under the same id is not the node's
         real = [k for k, s in enumerate(sets) if len(s) and _signature(s, len(s)) == nodes[k]]
         if len(real) < 2:
@@ -321,10 +323,12 @@ def _verified(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     return dealt.groupBy("cluster", "i", "j").applyInArrow(verify, "a binary, b binary")
 
 
-def link(docs: DataFrame, percent: int = PERCENT, max_frequent: int = MAX_FREQUENT) -> DataFrame:
+def link(
+    docs: DataFrame, percent: int = PERCENT, max_frequent: int = MAX_FREQUENT, width: int = WIDTH
+) -> DataFrame:
     """``doc_id, print, n_shingles, component_id, root``; ``print`` is the hash of the text, ``root`` names the component."""
     texts = _texts(docs)
-    described = staged(_nodes(texts, _order(texts, percent, max_frequent), percent), "nodes")
+    described = staged(_nodes(texts, _order(texts, percent, max_frequent, width), percent, width), "nodes")
     real = described.where("n > 0")
     nodes = staged(
         real.groupBy("node").agg(
@@ -342,7 +346,7 @@ def link(docs: DataFrame, percent: int = PERCENT, max_frequent: int = MAX_FREQUE
     members = nodes.select("doc_id", "node", "gid").join(
         clusters.select(F.col("node").alias("gid"), F.col("root").alias("cluster")), "gid"
     )
-    links = staged(_verified(texts, members.select("doc_id", "node", "cluster"), percent), "links")
+    links = staged(_verified(texts, members.select("doc_id", "node", "cluster"), percent, width), "links")
     roots = components(links).select("node", "root")
     rooted = nodes.select("node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -362,9 +366,9 @@ def report(docs: DataFrame) -> DataFrame:
     return link(docs).select("doc_id", "n_shingles", "component_id")
 
 
-def first_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def first_of_each(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """The rows of ``docs`` without all but one, that with the lowest id, of each component; all without words stay."""
-    linked = staged(link(docs, percent), "linked")
+    linked = staged(link(docs, percent, width=width), "linked")
     lowest = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "print")).alias("first")
     with_words = linked.where("n_shingles > 0")
     kept = with_words.groupBy("root").agg(lowest).select("first.doc_id", "first.print")

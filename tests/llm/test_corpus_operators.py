@@ -395,6 +395,46 @@ def test_one_of_each_component_stays(spark):
     assert jaccard_join.first_of_each(no_docs(spark)).collect() == []
 
 
+def brute_first(rows, width, percent):
+    """The lowest id of each component, of texts with ``width`` words or more."""
+    sets = {}
+    for doc, text in rows:
+        w = WORD.findall(text.translate(LOWER))
+        sets[doc] = {tuple(w[i : i + width]) for i in range(len(w) - width + 1)}
+    root = {d: d for d in sets}
+    for a, b in itertools.combinations(sets, 2):
+        both = len(sets[a] & sets[b])
+        if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both) and root[a] != root[b]:
+            low, high = sorted((root[a], root[b]))
+            root = {d: low if r == high else r for d, r in root.items()}
+    return sorted(set(root.values()))
+
+
+@pytest.mark.parametrize("long_list", [jaccard_join.LONG_LIST, 3])
+def test_width_and_percent_are_parameters(spark, monkeypatch, long_list):
+    monkeypatch.setattr(jaccard_join, "LONG_LIST", long_list)
+    texts = edited(60, 9, 6) + edited(60, 14, 7, 200) + edited(40, 3, 8, 40) + edited(30, 2, 9, 12)
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    firsts = {}
+    for width, percent in ((5, 80), (3, 90)):
+        kept = jaccard_join.first_of_each(docs, percent, width)
+        firsts[width] = sorted(r.doc_id for r in kept.collect())
+        assert firsts[width] == brute_first(rows, width, percent)
+    assert firsts[5] != firsts[3]
+
+
+def test_the_pipeline_drops_copies_with_more_words_or_separate_edits(spark, small):
+    long = [f"w{k}" for k in range(400)]
+    short = [f"v{k}" for k in range(200)]
+    four = [f"e{k}" if k in (30, 70, 110, 150) else w for k, w in enumerate(short)]
+    other = [f"e{k}" if k % 20 == 9 else w for k, w in enumerate(short)]
+    texts = [long, [*long, *(f"x{k}" for k in range(60))], short, four, other]
+    rows = [(k, " ".join(t), "a") for k, t in enumerate(texts)]
+    kept = corpus_pipeline.keep_first_copies(spark, spark.createDataFrame(rows, "doc_id bigint, text string, source string"), small)
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 4]
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(k + 1, k) for k in range(0, 60)] + [(100, 100 + k) for k in range(1, 40)] + [(200, 200), (301, 300), (300, 301)]
     found = components(spark.createDataFrame(edges, "a bigint, b bigint"))
@@ -421,6 +461,12 @@ def test_pipeline_equals_brute_force(spark, small, tiny):
     assert all(r.text == texts[r.doc_id] for r in got)
 
 
+def test_near_stage_equals_brute_force_on_five_words(spark, small, tiny):
+    rows = [(r.doc_id, r.text) for r in tiny.collect() if len(WORD.findall(r.text or "")) >= 5]
+    kept = corpus_pipeline.keep_first_copies(spark, tiny.where(F.col("doc_id").isin([d for d, _ in rows])), small)
+    assert sorted(r.doc_id for r in kept.collect()) == brute_first(rows, 5, 80)
+
+
 def test_stages_keep_the_columns(spark, small):
     docs = edge_docs(spark)
     for name, stage in corpus_pipeline.STAGES[:-1]:
