@@ -7,26 +7,30 @@ segment as one type; tokens outside score 0. Dynamic programming over the
 cluster chooses boundaries and types together, in time linear in its tokens.
 Mail addresses, plain or spelled out, are clusters of a single candidate.
 
-The weights are fitted here by an averaged structured perceptron. Its examples
-are the base spans of at most ``max_docs`` documents, the first by a hash of
-their id among those with digits or ``@``, and variants of them that the base
-patterns miss: a phone number without its country code, a spelled-out address.
-Clusters without a base span are the negative examples.
+The weights are fitted here by an averaged structured perceptron that starts
+from ``DEFAULT``. Its examples are the base spans of at most ``max_docs``
+documents of each kind, the first by a hash of id and text among all that hold
+a base span of the kind, and variants of them that the base patterns miss: a
+phone number without its country code, a spelled-out address. Clusters without
+a base span are the negative examples, in these documents and in ``max_docs``
+without any base span. A kind without an example keeps its default weights.
 
 Base spans always stay; a decoded span is added where no base span overlaps.
 Spans are (kind, start, end) in code points, the end exclusive.
 
 Cases: a NULL or empty text has no spans; rows given twice are searched twice;
-texts are searched whole, in time proportional to their length; without any
-example ``DEFAULT`` is used; other columns are ignored.
+texts are searched whole, in time proportional to their length; a document
+with a NULL id may give examples as any other, repeated rows give them once;
+without any example ``DEFAULT`` is used; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,6 +38,7 @@ from pyspark.sql import functions as F
 
 from stockroom.llm.words import blocks
 from stockroom.shipping import map_in_arrow
+from stockroom.staging import staged
 
 # The kinds, the base patterns and their bounds.
 KINDS = ("email", "ip", "card", "phone")
@@ -65,7 +70,7 @@ _CUES = {
 Span = tuple[str, int, int]
 Weights = dict[str, float]
 
-#: For corpora without examples.
+#: Where the fitting starts; what a kind without examples keeps.
 DEFAULT: Weights = {
     "email spelled": 1.0,
     "ip bias": -1.0, "ip parts": 3.0,
@@ -248,9 +253,25 @@ def examples(text: str) -> list[tuple[str, list[Span]]]:
     return out
 
 
+def bounded(found: list[tuple[str, list[Span]]], most: int) -> list[tuple[str, list[Span]]]:
+    """At most ``most`` examples of each kind and ``most`` negative ones, the first of each; the positive ones lead."""
+    taken: Counter[str] = Counter()
+    out = []
+    for text, spans in sorted(found, key=lambda example: not example[1]):
+        kinds = {k for k, _, _ in spans} or {""}
+        if any(taken[k] < most for k in kinds):
+            taken.update(kinds)
+            out.append((text, spans))
+    return out
+
+
 def train(found: list[tuple[str, list[Span]]], rounds: int = 8) -> Weights:
-    """Averaged structured perceptron: move towards the given segments and away from the decoded ones."""
-    weights: Weights = defaultdict(float)
+    """Averaged structured perceptron: move towards the given segments and away from the decoded ones.
+
+    Only the weights of kinds that have an example move.
+    """
+    known = {kind for _, spans in found for kind, _, _ in spans}
+    weights: Weights = defaultdict(float, DEFAULT)
     total: Weights = defaultdict(float)
     steps = 0
     for _ in range(rounds):
@@ -271,36 +292,52 @@ def train(found: list[tuple[str, list[Span]]], rounds: int = 8) -> Weights:
                 if sorted(guess) != sorted(gold):
                     for sign, segments in ((1.0, gold), (-1.0, guess)):
                         for kind, i, j in segments:
+                            if kind not in known:
+                                continue
                             for f in _features(kind, text, tokens[i : j + 1], cue if i == 0 else ""):
                                 weights[f] += sign
                                 total[f] += sign * steps
     return {f: round(w - total.get(f, 0.0) / (steps + 1), 6) for f, w in weights.items()}
 
 
-def fit(docs: DataFrame, max_docs: int = 600) -> Weights:
-    """Weights from the base spans of at most ``max_docs`` documents.
+def fit(docs: DataFrame, max_docs: int = 600, per_doc: int = 20) -> Weights:
+    """Weights from at most ``max_docs`` documents of each kind of base span and ``max_docs`` without any.
 
-    The driver receives short excerpts around numbers, at most
-    ``per_doc`` = 20 of a document, not the texts.
+    The driver receives short excerpts around numbers and addresses, of a
+    document at most ``per_doc`` of each kind and ``per_doc`` without a base
+    span, not the texts.
     """
-    per_doc = 20
     rows = (
         docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-        .where(F.col("text").rlike(r"[0-9]{4}|@"))
-        .select("doc_id", F.xxhash64("doc_id", "text").alias("rank"), "text")
+        .where(F.col("text").rlike(r"[0-9]|@"))
+        .select(F.xxhash64("doc_id", "text").alias("rank"), "text")
     )
-    chosen = rows.select("doc_id", "rank").orderBy("rank", "doc_id").limit(max_docs)
+    held_schema = pa.schema([("rank", pa.int64()), ("kind", pa.string())])
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches):
+            out = []
+            for rank, text in zip(batch.column("rank").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                kinds = {k for k, _, _ in base_spans(text)}
+                if not kinds and any(True for _ in _clusters(text)):
+                    kinds = {""}
+                out += [{"rank": rank, "kind": k} for k in sorted(kinds)]
+            yield pa.RecordBatch.from_pylist(out, schema=held_schema)
+
     schema = pa.schema([("rank", pa.int64()), ("text", pa.string()), ("spans", pa.string())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
             out = []
             for rank, text in zip(batch.column("rank").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                for excerpt, spans in examples(text)[:per_doc]:
+                for excerpt, spans in bounded(examples(text), per_doc):
                     out.append({"rank": rank, "text": excerpt, "spans": ",".join(f"{k}:{s}:{e}" for k, s, e in spans)})
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    texts = rows.join(F.broadcast(chosen.distinct()), ["doc_id", "rank"])
+    kinds = staged(map_in_arrow(rows, held, "rank bigint, kind string").distinct(), "kinds")
+    firsts = [kinds.where(F.col("kind") == k).orderBy("rank").limit(max_docs).select("rank") for k in ("", *KINDS)]
+    chosen = reduce(DataFrame.unionByName, firsts).distinct()
+    texts = rows.join(F.broadcast(chosen), "rank").dropDuplicates(["rank"])
     found = map_in_arrow(texts, cut, "rank bigint, text string, spans string").collect()
     if not found:
         return DEFAULT

@@ -265,6 +265,26 @@ def test_personal_data_equals_brute_force(spark, tiny):
     assert pii_spans.fit(no_docs(spark)) == pii_spans.DEFAULT
 
 
+def test_rare_kinds_are_fitted_and_absent_ones_keep_their_defaults(spark):
+    rows = [(k, f"in the year {1000 + k} and {2000 + k}") for k in range(900)]
+    rows += [(1000 + k, f"host 10.0.{k}.7 up") for k in range(5)]
+    rows += [(2000, " ".join(f"n 12345{k:04}" for k in range(60)) + " mail a.b@c.example end")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    weights = pii_spans.fit(docs)
+    assert weights["email spelled"] == 1.0
+    for name in ("card bias", "card luhn", "phone bias", "phone plus", "phone area", "phone bracket"):
+        assert weights[name] == pii_spans.DEFAULT[name]
+    text = "call (555) 123-4567 now, joe (at) mail (dot) com"
+    assert pii_spans.added_spans(text, [], weights) == [("phone", 5, 19), ("email", 25, 48)]
+    assert pii_spans.added_spans(text, [], pii_spans.fit(docs.where("doc_id < 900"))) == [("phone", 5, 19), ("email", 25, 48)]
+
+
+def test_bounded_examples_keep_every_kind():
+    found = [("no", [])] * 50 + [("p", [("phone", 0, 1)])] * 50 + [("e", [("email", 0, 1)])] * 2
+    assert Counter(t for t, _ in pii_spans.bounded(found, 20)) == {"p": 20, "e": 2, "no": 20}
+    assert pii_spans.bounded(found, 20)[-1] == ("no", [])
+
+
 def test_decoding_finds_the_best_segmentation():
     rng = random.Random(3)
     features = ["bias", "parts", "luhn", "no checksum", "plus", "no plus", "area", "bracket", "no bracket", "plain number"]
