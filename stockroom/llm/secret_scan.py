@@ -2,9 +2,9 @@
 
 A byte-pair vocabulary covers words and names with few tokens. A long run of
 letters and digits that needs a token for less than ``MAX_RATIO`` characters
-was hardly written by a person. Runs that are known to be harmless are left
-out: digests by their length, UUIDs, dates, numbers, and names whose parts are
-plain words.
+was hardly written by a person; names and words need fewer. Runs that are known
+to be harmless are left out whatever their ratio: digests by their length,
+UUIDs, dates and numbers.
 
 Spans are (kind, start, end) in code points, the end exclusive. The base kinds
 are matched leftmost and without overlap per kind; ``random`` spans are added
@@ -32,7 +32,6 @@ from stockroom.llm.words import blocks
 from stockroom.shipping import map_in_arrow
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-MIN_RUN = 20
 MAX_RATIO = 1.75
 
 # The base patterns and their least lengths.
@@ -45,15 +44,14 @@ _HEX = re.compile(r"[0-9a-f]+")
 MIN_VALUE, MIN_ACCESS, MIN_HEX = 12, 18, 16
 
 _KEYWORDS = ("passw", "secret", "token", "api")
-#: Every access, hex and random span lies inside such a run.
+#: Every access, hex and random span lies inside such a run; a random span is a whole one.
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
 #: Digests of these lengths (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512) are identifiers.
 _DIGEST_LENGTHS = frozenset((32, 40, 56, 64, 96, 128))
 _ANY_HEX = re.compile(r"[0-9A-Fa-f]+")
 _UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
-_PART = re.compile(r"[^+/_=-]+")
-_PLAIN = re.compile(r"[A-Za-z]{2,}[0-9]{0,4}|[0-9]+T?[0-9]*")
-_LETTER, _DIGIT = re.compile(r"[A-Za-z]"), re.compile(r"[0-9]")
+#: Numbers and dates, and lines of separators.
+_NUMBER = re.compile(r"(?:[0-9]++(?:T[0-9]++)?+Z?+|[+/_=-]++)++")
 
 Span = tuple[int, str, int]  # start, kind, end
 _vocabularies: dict[str, tiktoken.Encoding] = {}
@@ -87,25 +85,20 @@ def base_spans(text: str) -> list[Span]:
     return found
 
 
-def harmless(run: str) -> bool:
-    """Is the run a digest, an identifier, a number or a name?"""
-    if not _LETTER.search(run) or not _DIGIT.search(run):
+def harmless(run: str, encoding: tiktoken.Encoding | None = None, max_ratio: float = MAX_RATIO) -> bool:
+    """Is the run a digest, an identifier, a number, or like words by its characters per token?"""
+    if _UUID.fullmatch(run) or (len(run) in _DIGEST_LENGTHS and _ANY_HEX.fullmatch(run)) or _NUMBER.fullmatch(run):
         return True
-    if _UUID.fullmatch(run) or (len(run) in _DIGEST_LENGTHS and _ANY_HEX.fullmatch(run)):
-        return True
-    return all(_PLAIN.fullmatch(part) for part in _PART.findall(run))
+    return len(run) >= max_ratio * _tokens(run, encoding or vocabulary(VOCABULARY))
 
 
 def random_spans(text: str, base: list[Span], encoding: tiktoken.Encoding, max_ratio: float) -> list[Span]:
     """Runs with few characters per token that no base span overlaps."""
     found = []
     for m in _RUN.finditer(text):
-        run = m[0]
-        if len(run) < MIN_RUN or harmless(run):
-            continue
         if any(s < m.end() and m.start() < e for s, _, e in base):
             continue
-        if len(run) < max_ratio * _tokens(run, encoding):
+        if not harmless(m[0], encoding, max_ratio):
             found.append((m.start(), "random", m.end()))
     return found
 

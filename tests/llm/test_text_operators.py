@@ -216,6 +216,16 @@ def test_harmless_runs():
     assert not secret_scan.harmless("Zq8Xv2Lm9Tr4Kw7Yp1Nc")
 
 
+def test_short_runs_and_runs_of_letters_are_tested():
+    encoding = secret_scan.vocabulary(secret_scan.VOCABULARY)
+    keys = ["Zq8Xv2Lm9Tr4Kw7Y", "ZqhXvxLmrTrgKwvY", "ZqhXvxLmrTrgKwvYqPlNcWd", "F3A09C7E51B8D264"]
+    for key in keys:
+        assert secret_scan.random_spans(f"is {key} ok", [], encoding, secret_scan.MAX_RATIO) == [(3, "random", 3 + len(key))], key
+    for run in ("Zq8Xv2Lm9Tr4Kw7", "getElementsByClassName1", "internationalization", "20240102T101112Z", "2024-01-02T101112",
+                "1234567890123456", "================", "1-" * 50_000, "d41d8cd98f00b204e9800998ecf8427e"):
+        assert secret_scan.random_spans(f"is {run} ok", [], encoding, secret_scan.MAX_RATIO) == [], run[:40]
+
+
 # personal data
 
 PERSONAL = [
