@@ -50,10 +50,17 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder for intermediate tables and checkpoints.
 
     It is the one that ``spark.checkpoint.dir`` names; a session that names
-    none keeps them below its warehouse, which driver and executors share too.
+    none keeps them below its warehouse. A warehouse on the driver's own disk
+    is refused unless the session is local: executors would write where the
+    driver does not read.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
+    if folder:
+        return folder
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if warehouse.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{warehouse}/_checkpoints"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from stockroom.session import shared_folder
 
@@ -14,12 +14,32 @@ def staged(rows: DataFrame, label: str) -> DataFrame:
 
     Unlike a checkpoint the copy is compressed and columnar: later steps read
     only the columns that they use. A task that is repeated replaces its own
-    file, as with any Spark write. The tables stay until the folder is cleared.
+    file, as with any Spark write. A table stays until ``discard`` or until the
+    folder is cleared.
     """
     spark = rows.sparkSession
-    folder = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    folder = new_folder(spark, label)
     rows.write.parquet(folder)
-    return spark.read.schema(rows.schema).parquet(folder)
+    table = spark.read.schema(rows.schema).parquet(folder)
+    table.staged_in = folder
+    return table
+
+
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``staged`` wrote; nothing may read them any more."""
+    for table in tables:
+        delete_folder(table.sparkSession, table.staged_in)
+
+
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder in whatever file system holds it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fresh(rows: DataFrame, name: str) -> str:
