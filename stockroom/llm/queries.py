@@ -9,16 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stockroom.llm import (
+    centroids,
     chat_format,
     decontamination,
     jaccard_join,
     mixing,
+    near_vectors,
     pii_spans,
     quality_classifier,
     quality_rules,
     secret_scan,
     sharding,
     token_files,
+    whitening,
 )
 from stockroom.session import shared_folder
 
@@ -153,6 +156,18 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_spans.find(docs, pii_spans.fit(docs))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.report(_read(spark, sf_dir, "embeddings"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.report(_read(spark, sf_dir, "embeddings"))
+
+
+def op13_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.link(_read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     """``name -> fn(spark, sf_dir)``."""
     every = (
@@ -166,6 +181,9 @@ def queries() -> dict[str, Query]:
         op8_secret_scan,
         op9_pii,
         op10_jaccard_join,
+        op11_whitening,
+        op12_centroid_clustering,
+        op13_near_vectors,
     )
     return {f.__name__: f for f in every}
 
