@@ -7,19 +7,18 @@ collisions of 64-bit hashes of shingles:
 
 1. Tokens (shingle hashes) get one global order: rare ones by hash, then the
    ``MAX_FREQUENT`` most frequent ones by frequency. The order decides the
-   speed, never the result. Frequencies are counted over all documents, among
-   the tokens that can come into a prefix.
+   speed, never the result; frequencies are counted over all documents, tokens
+   that are rare within a task may be missed.
 2. Documents with the same set are one *node*; nodes with the same size and
-   the same prefix are one *group*. Linked sets share at least ``_shared``
-   tokens of their prefixes, so candidates are found through the prefixes of
-   the groups only.
-3. Groups that share rare tokens become pairs, filtered by size, by the
-   positions of the shared token and by the number of shared tokens. A token
-   with more than ``LONG_LIST`` groups makes no pairs: its groups are tied to
-   one of each size class, so nothing grows with the square of a list.
+   the same prefix are one *group*. Linked sets share at least three tokens of
+   their prefixes (all, if they have fewer), so candidates are found through
+   the prefixes of the groups only.
+3. Groups that share enough tokens are candidates (``shared_tokens``), filtered
+   by size and by the positions of the shared tokens.
 4. Candidates form clusters. The members of their groups are expanded and
-   verified there, whole sets against whole sets, in blocks of ``BLOCK``
-   members. A block returns a spanning star of what it found, not its pairs.
+   verified there, whole sets against whole sets, in blocks of at most about
+   ``BLOCK`` members and ``BLOCK_TOKENS`` shingles. A block returns a spanning
+   star of what it found, not its pairs.
 5. The components of the verified links are the result.
 
 Cases: a text without words, or NULL, has no set, size 0 and links with
@@ -32,31 +31,32 @@ whatever their names.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stockroom.llm.components import components
+from stockroom.llm.shared_tokens import LONG_LIST, Measure, candidates
 from stockroom.llm.words import blocks, mix, window_hashes, word_block
 from stockroom.operators.joins import lookup_join
+from stockroom.session import split_hot_keys
 from stockroom.shipping import map_in_arrow, ship_package
-from stockroom.staging import fresh, staged
+from stockroom.staging import discard, fresh, staged
 
 PERCENT = 90
 WIDTH = 3
 #: Tokens that are put last in the order, and the count that makes a token frequent.
 MAX_FREQUENT = 1 << 17
 FREQUENT = 8
-#: Prefix tokens that linked sets share at least, but for sets with fewer than SMALL tokens.
-SHARED, SMALL = 3, 20
-#: Groups under one token above which no pairs are made.
-LONG_LIST = 64
-#: Members verified together; two blocks meet in a task at most.
-BLOCK = 512
+#: A token in more documents makes a long list without being counted again.
+HOT = 4096
+#: Tokens that a task counts before it forgets those that came once.
+COUNTED = 1 << 21
+#: Members and shingles verified together, about; two blocks meet in a task at most.
+BLOCK, BLOCK_TOKENS = 512, 1 << 20
 #: Members of clusters that are broadcast to the scan that fetches their texts: about 100 bytes each.
 MAX_BROADCAST = 300_000
 
@@ -81,16 +81,6 @@ def shingle_sets(texts: pa.LargeStringArray, width: int = WIDTH) -> list[np.ndar
     return out
 
 
-def _shared(n: int) -> int:
-    """How many prefix tokens linked sets share at least; for small sets one."""
-    return SHARED if n >= SMALL else 1
-
-
-def _prefix_size(n: int, percent: int) -> int:
-    """The prefix in which a set of ``n`` shares at least ``_shared(n)`` tokens with any set that it links with."""
-    return min(n, n - (percent * n + 99) // 100 + _shared(n)) if n else 0
-
-
 def _signature(tokens: np.ndarray, n: int) -> bytes:
     """128 bits that stand for a set of tokens and a size."""
     a = mix(tokens ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
@@ -124,53 +114,54 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string").alias("text"))
 
 
-def _count(docs: DataFrame, order: DataFrame, percent: int, times: int, width: int) -> DataFrame:
-    """``token, n``: in how many documents a token is among the first of its order, ``times`` prefixes long."""
+def _merged(tokens: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of counts by token."""
+    every, n = np.concatenate(tokens), np.concatenate(counts)
+    order = np.argsort(every, kind="stable")
+    every, n = every[order], n[order]
+    starts = np.flatnonzero(np.diff(every, prepend=every[:1] ^ np.uint64(1)))
+    return every[starts], np.add.reduceat(n, starts) if len(starts) else n
+
+
+def _counted(docs: DataFrame, room: int, width: int) -> DataFrame:
+    """``token, n``: in how many documents a token is, for tokens that a task meets again and again.
+
+    A task holds ``COUNTED`` tokens and some more; when they are counted, those that came once are forgotten.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = order.value
+        held = np.empty(0, np.uint64), np.empty(0, np.int64)
+        waiting: list[np.ndarray] = []
         for batch in blocks(batches):
-            sets = shingle_sets(batch.column("text"), width)
-            found = [ranks.prefix(s, times * _prefix_size(len(s), percent)) for s in sets]
-            tokens, n = np.unique(np.concatenate(found), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(n)], ["token", "n"])
-
-    return map_in_arrow(docs.select("text"), count, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+            waiting += shingle_sets(batch.column("text"), width)
+            if sum(map(len, waiting)) >= COUNTED:
+                held, waiting = _repeated(held, waiting), []
+        tokens, n = _repeated(held, waiting)
+        top = np.argsort(-n, kind="stable")[:room]
+        yield pa.RecordBatch.from_arrays([pa.array(tokens[top].view(np.int64)), pa.array(n[top])], ["token", "n"])
 
+    rows = map_in_arrow(docs.select("text"), count, "token bigint, n bigint")
+    return rows.groupBy("token").agg(F.sum("n").alias("n"))
 
-def _most_frequent(counts: DataFrame, least: int, room: int) -> tuple[np.ndarray, np.ndarray]:
-    """At most ``room`` tokens with the highest counts, and the counts."""
-    top = counts.where(F.col("n") >= least).orderBy(F.col("n").desc(), "token").limit(room).toArrow()
-    return top.column("token").to_numpy().astype(np.int64).view(np.uint64), top.column("n").to_numpy()
 
+def _repeated(held: tuple[np.ndarray, np.ndarray], sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    once = np.concatenate([np.empty(0, np.uint64), *sets])
+    tokens, n = _merged([held[0], once], [held[1], np.ones(len(once), np.int64)])
+    return tokens[n > 1], n[n > 1]
 
-def _order(docs: DataFrame, percent: int, max_frequent: int, width: int) -> _Order:
-    """The order for a corpus; the driver holds ``max_frequent`` tokens at most.
 
-    When frequent tokens leave the prefixes others move up, so the counts are
-    repeated until no frequent token is new.
-    """
-    spark = docs.sparkSession
-    tokens, n = np.empty(0, np.uint64), np.empty(0, np.int64)
-    for turn in range(4):
-        order = spark.sparkContext.broadcast(_Order(tokens[np.lexsort((tokens, n))]))
-        counts = _count(docs, order, percent, 2 if turn == 0 else 1, width)
-        new, m = _most_frequent(
-            counts, FREQUENT if turn == 0 else LONG_LIST + 1, max_frequent + (len(tokens) if turn else 0)
-        )
-        fresh_ones = ~np.isin(new, tokens)
-        room = max_frequent - len(tokens)
-        if not fresh_ones.any() or room <= 0:
-            break
-        tokens, n = np.concatenate([tokens, new[fresh_ones][:room]]), np.concatenate([n, m[fresh_ones][:room]])
-        if turn and fresh_ones.sum() < 50:
-            break  # what is left makes a few long lists at most
-    return _Order(tokens[np.lexsort((tokens, n))])
+def _order(docs: DataFrame, max_frequent: int, width: int) -> tuple[_Order, np.ndarray]:
+    """The order for a corpus, and its very common tokens; the driver holds ``max_frequent`` tokens at most."""
+    top = _counted(docs, max_frequent, width).where(F.col("n") >= FREQUENT)
+    top = top.orderBy(F.col("n").desc(), "token").limit(max_frequent).toArrow()
+    tokens, n = top.column("token").to_numpy().astype(np.int64).view(np.uint64), top.column("n").to_numpy()
+    return _Order(tokens[np.lexsort((tokens, n))]), np.sort(tokens[n > HOT])
 
 
 def _nodes(docs: DataFrame, order: _Order, percent: int, width: int) -> DataFrame:
     """``doc_id, print, n, node, gid, prefix`` of every document."""
     shared_order = docs.sparkSession.sparkContext.broadcast(order)
+    measure = Measure(percent)
     schema = pa.schema(
         [
             ("doc_id", pa.int64()), ("print", pa.int64()), ("n", pa.int64()), ("node", pa.binary()), ("gid", pa.int64()),
@@ -182,7 +173,7 @@ def _nodes(docs: DataFrame, order: _Order, percent: int, width: int) -> DataFram
         ranks = shared_order.value
         for batch in blocks(batches):
             sets = shingle_sets(batch.column("text"), width)
-            prefixes = [ranks.prefix(s, _prefix_size(len(s), percent)) for s in sets]
+            prefixes = [ranks.prefix(s, measure.prefix(len(s))) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
@@ -200,39 +191,6 @@ def _nodes(docs: DataFrame, order: _Order, percent: int, width: int) -> DataFram
     return map_in_arrow(rows, describe, kinds)
 
 
-def _candidates(groups: DataFrame, percent: int) -> DataFrame:
-    """``a, b``: pairs of groups ``groups(gid, n, prefix)`` whose members may link."""
-    postings = groups.select("gid", "n", F.posexplode("prefix").alias("at", "token"))
-    sizes = postings.groupBy("token").agg(F.count(F.lit(1)).alias("length")).where("length > 1")
-    lists = staged(lookup_join(postings, sizes, "token").where("length is not null"), "lists")
-    short = lists.where(F.col("length") <= LONG_LIST)
-    a, b = short.alias("a"), short.alias("b")
-    small, large = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
-    # the sets share so many tokens from this one on; it may be the third common one
-    most = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
-    needed = (F.col("a.n") + F.col("b.n")) * percent / (100 + percent) - (SHARED - 1)
-    pairs = (
-        a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.gid") < F.col("b.gid")))
-        .where((small * 100 >= large * percent) & (most >= needed - 1e-6))
-        .groupBy(F.col("a.gid").alias("a"), F.col("b.gid").alias("b"))
-        .agg(F.count(F.lit(1)).alias("shared"), F.min(F.when(small >= SMALL, SHARED).otherwise(1)).alias("needed"))
-        .where(F.col("shared") >= F.col("needed"))
-        .select("a", "b")
-    )
-    # a class holds sizes that may link; sizes that may link are in the same or in neighbouring classes
-    size_class = F.floor(F.log(F.col("n")) / (1.0001 * math.log(100 / percent)))
-    spot = F.struct("token", size_class.alias("class"))
-    long = lists.where(F.col("length") > LONG_LIST).select("gid", spot.alias("spot"))
-    hubs = long.groupBy("spot").agg(F.min("gid").alias("hub"))
-    # a very common token fills one spot: its rows may be split among tasks
-    stars = lookup_join(long, hubs, "spot").select(F.col("gid").alias("a"), F.col("hub").alias("b"))
-    after = hubs.select(
-        F.struct("spot.token", (F.col("spot.class") - 1).alias("class")).alias("spot"), F.col("hub").alias("next")
-    )
-    steps = hubs.join(after, "spot").select(F.col("hub").alias("a"), F.col("next").alias("b"))
-    return pairs.unionByName(stars).unionByName(steps).where("a <> b").distinct()
-
-
 def _linked(sizes: np.ndarray, sets: list[np.ndarray], percent: int, across: np.ndarray | None) -> list[int]:
     """For each set the first one of its component among these; ``across``: only pairs of different sides count."""
     k = len(sets)
@@ -251,8 +209,8 @@ def _linked(sizes: np.ndarray, sets: list[np.ndarray], percent: int, across: np.
         dense = np.zeros((k, min(step, width - begin)), dtype=np.float32)
         dense[owner[lo:hi], code[lo:hi] - begin] = 1
         inter += dense @ dense.T
-    union = sizes[:, None] + sizes[None, :] - inter
-    link = 100 * inter >= percent * union
+    inter = inter.astype(np.int64)  # counts below 2^24 are exact
+    link = 100 * inter >= percent * (sizes[:, None] + sizes[None, :] - inter)
     if across is not None:
         link &= across[:, None] != across[None, :]
     root = list(range(k))
@@ -277,47 +235,65 @@ def _linked(sizes: np.ndarray, sets: list[np.ndarray], percent: int, across: np.
     return [find(x) for x in range(k)]
 
 
-def _verified(docs: DataFrame, members: DataFrame, percent: int, width: int) -> DataFrame:
-    """``a, b``: verified links between nodes, as stars, from ``members(doc_id, node, cluster)``."""
-    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("k"))
-    parts = F.ceil(F.col("k") / BLOCK).cast("int")
-    placed = (
-        lookup_join(members, sizes, "cluster")
-        .withColumn("parts", parts)
-        .withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-        .select("doc_id", "node", "cluster", "part", "parts")
+def _in_cells(members: DataFrame) -> DataFrame:
+    """``members(doc_id, print, node, n, cluster)`` with the part of the cluster that each is in, and the number of parts."""
+    sizes = members.groupBy("cluster").agg(
+        F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_TOKENS)).cast("int").alias("parts")
     )
-    placed = staged(placed, "members")
+    placed = lookup_join(members, sizes, "cluster")
+    return placed.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).drop("n")
+
+
+def _verified(docs: DataFrame, members: DataFrame, percent: int, width: int) -> DataFrame:
+    """``a, b``: verified links between nodes, as stars, from ``members(doc_id, print, node, n, cluster)``."""
+    placed = staged(_in_cells(members), "members")
     few = placed.count() <= MAX_BROADCAST
-    texts = docs.alias("d").join(
-        (F.broadcast(placed) if few else placed).alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.doc_id"))
-    )
-    other = F.explode(F.sequence(F.lit(0), F.col("m.parts") - 1)).alias("other")
-    dealt = (
-        texts.select("m.node", "m.cluster", "m.part", other, "d.text")
-        .select(
-            "node", "cluster", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "text"
-        )
-        .dropDuplicates(["node", "i", "j", "text"])
+    printed = docs.select("doc_id", F.xxhash64("text").alias("print"), "text")
+    same = F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("d.print") == F.col("m.print"))
+    texts = printed.alias("d").join((F.broadcast(placed) if few else placed).alias("m"), same)
+    schema = pa.schema(
+        [("cluster", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("node", pa.binary()), ("part", pa.int32()), ("text", pa.string())]
+    )
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Send a text to every pair of parts that its part is in; repeated rows once."""
+        seen = set()
+        for batch in blocks(batches):
+            fresh_rows = []
+            for k, node in enumerate(batch.column("node").to_pylist()):
+                if node not in seen:
+                    fresh_rows.append(k)
+                    seen.add(node)
+            own = batch.take(pa.array(fresh_rows, pa.int64()))
+            part, parts = own.column("part").to_numpy(), own.column("parts").to_numpy()
+            for other in range(int(parts.max(initial=0))):
+                at = np.flatnonzero(parts > other)
+                cell = [np.minimum(part[at], other).astype(np.int32), np.maximum(part[at], other).astype(np.int32)]
+                rows = own.take(pa.array(at))
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column("cluster"), *map(pa.array, cell), rows.column("node"), rows.column("part"), rows.column("text").cast(pa.string())],
+                    schema=schema,
+                )
+
+    dealt = map_in_arrow(
+        texts.select("m.cluster", "m.node", "m.part", "m.parts", "d.text"),
+        deal,
+        "cluster bigint, i int, j int, node binary, part int, text string",
     )
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+    links = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
     def verify(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        texts = table.column("text").combine_chunks().cast(pa.large_string())
         nodes, part = table.column("node").to_pylist(), table.column("part").to_numpy()
-        sets = shingle_sets(texts, width)
-        # another text under the same id is not the node's
-        real = [k for k, s in enumerate(sets) if len(s) and _signature(s, len(s)) == nodes[k]]
-        if len(real) < 2:
-            return schema.empty_table()
-        first = table.column("i")[0].as_py()
-        same = first == table.column("j")[0].as_py()
-        own = np.array([part[k] for k in real])
-        sizes = np.array([len(sets[k]) for k in real])
-        roots = _linked(sizes, [sets[k] for k in real], percent, None if same else own)
-        pairs = [{"a": nodes[real[x]], "b": nodes[real[r]]} for x, r in enumerate(roots) if x != r]
-        return pa.Table.from_pylist(pairs, schema=schema)
+        first = sorted({node: k for k, node in enumerate(nodes)}.values())  # a row may be repeated in another task
+        if len(first) < 2:
+            return links.empty_table()
+        sets = shingle_sets(table.column("text").take(pa.array(first)).combine_chunks().cast(pa.large_string()), width)
+        same_part = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+        sizes = np.array([len(s) for s in sets])
+        roots = _linked(sizes, sets, percent, None if same_part else part[first])
+        pairs = [{"a": nodes[first[x]], "b": nodes[first[r]]} for x, r in enumerate(roots) if x != r]
+        return pa.Table.from_pylist(pairs, schema=links)
 
     ship_package(docs.sparkSession)
     return dealt.groupBy("cluster", "i", "j").applyInArrow(verify, "a binary, b binary")
@@ -327,31 +303,31 @@ def link(
     docs: DataFrame, percent: int = PERCENT, max_frequent: int = MAX_FREQUENT, width: int = WIDTH
 ) -> DataFrame:
     """``doc_id, print, n_shingles, component_id, root``; ``print`` is the hash of the text, ``root`` names the component."""
+    split_hot_keys(docs.sparkSession)
     texts = _texts(docs)
-    described = staged(_nodes(texts, _order(texts, percent, max_frequent, width), percent, width), "nodes")
+    order, hot = _order(texts, max_frequent, width)
+    wide = staged(_nodes(texts, order, percent, width), "described")
+    described = staged(wide.drop("prefix"), "nodes")
     real = described.where("n > 0")
-    nodes = staged(
-        real.groupBy("node").agg(
-            F.min("doc_id").alias("doc_id"), F.first("gid").alias("gid"), F.first("n").alias("n"),
-            F.first("prefix").alias("prefix"),
-        ),
-        "sets",
+    nodes = real.groupBy("node").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "print")).alias("first"),
+        F.first("gid").alias("gid"), F.first("n").alias("n"),
     )
-    groups = nodes.groupBy("gid").agg(
-        F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.count(F.lit(1)).alias("members")
-    )
-    groups = staged(groups, "groups")
-    alone = groups.where("members > 1").select(F.col("gid").alias("a"), F.col("gid").alias("b"))
-    clusters = components(staged(_candidates(groups, percent).unionByName(alone), "candidates"))
-    members = nodes.select("doc_id", "node", "gid").join(
-        clusters.select(F.col("node").alias("gid"), F.col("root").alias("cluster")), "gid"
-    )
-    links = staged(_verified(texts, members.select("doc_id", "node", "cluster"), percent, width), "links")
+    nodes = staged(nodes.select("node", "first.doc_id", "first.print", "gid", "n"), "sets")
+    alone = nodes.groupBy("gid").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    alone = alone.select(F.col("gid").alias("a"), F.col("gid").alias("b"))
+    found = candidates(wide.where("n > 0").select("gid", "n", "prefix"), percent, hot, LONG_LIST)
+    ties = staged(found.unionByName(alone), "candidates")
+    discard(wide)
+    clusters = components(ties).select(F.col("node").alias("gid"), F.col("root").alias("cluster"))
+    members = nodes.join(clusters, "gid").select("doc_id", "print", "node", "n", "cluster")
+    links = staged(_verified(texts, members, percent, width), "links")
     roots = components(links).select("node", "root")
     rooted = nodes.select("node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     by_node = staged(rooted.join(named, "root").select("node", "root", "component_id"), "named")
-    full = lookup_join(described.drop("prefix", "gid"), by_node, "node")
+    discard(nodes, ties, links)
+    full = lookup_join(described.drop("gid"), by_node, "node")
     return full.select(
         "doc_id",
         "print",
@@ -367,21 +343,24 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def first_of_each(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
-    """The rows of ``docs`` without all but one, that with the lowest id, of each component; all without words stay."""
+    """The rows of ``docs`` without all but one, that with the lowest id, of each component; all without words stay.
+
+    Of rows alike in id and text the one with the least hash of all columns stays.
+    """
     linked = staged(link(docs, percent, width=width), "linked")
     lowest = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "print")).alias("first")
-    with_words = linked.where("n_shingles > 0")
-    kept = with_words.groupBy("root").agg(lowest).select("first.doc_id", "first.print")
-    kept = kept.withColumn("every", F.lit(False)).unionByName(
-        linked.where("n_shingles = 0").select("doc_id", "print", F.lit(True).alias("every")).distinct()
-    ).alias("k")
-    mark, turn = fresh(docs, "_print"), fresh(docs, "_turn")
-    marked = docs.withColumn(mark, F.xxhash64(F.col("text").cast("string")))
-    alike = Window.partitionBy("doc_id", mark).orderBy(mark)
-    marked = marked.withColumn(turn, F.row_number().over(alike)).alias("d")
-    same = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col(f"d.{mark}") == F.col("k.print"))
-    return (
-        marked.join(kept, same)
-        .where(F.col("k.every") | (F.col(f"d.{turn}") == 1))
-        .select(*(F.col(f"d.{c}").alias(c) for c in docs.columns))
+    chosen = linked.where("n_shingles > 0").groupBy("root").agg(lowest).select("first.doc_id", "first.print")
+    rows = linked.groupBy("doc_id", "print").agg(
+        F.count(F.lit(1)).alias("times"), F.max("n_shingles").alias("n_shingles")
     )
+    same = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.print") == F.col(f"{b}.print"))
+    stays = rows.where("n_shingles = 0").unionByName(rows.alias("r").join(chosen.alias("c"), same("r", "c"), "left_semi"))
+    stays = staged(stays.select("doc_id", "print", ((F.col("n_shingles") > 0) & (F.col("times") > 1)).alias("repeated")), "stays")
+    mark = fresh(docs, "_print")
+    marked = docs.withColumn(mark, F.xxhash64(F.col("text").cast("string")))
+    meets = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col(f"d.{mark}") == F.col("k.print"))
+    single = marked.alias("d").join(stays.where("not repeated").alias("k"), meets, "left_semi").drop(mark)
+    several = marked.alias("d").join(stays.where("repeated").alias("k"), meets, "left_semi")
+    whole = F.struct(*(F.col(c) for c in docs.columns))
+    one = several.groupBy("doc_id", mark).agg(F.min_by(whole, F.xxhash64(*docs.columns)).alias("_row"))
+    return single.unionByName(one.select(*(F.col("_row")[c].alias(c) for c in docs.columns)))

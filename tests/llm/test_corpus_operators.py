@@ -15,7 +15,9 @@ from edge_rows import PROSE, ROWS, SCHEMA, edge_docs, no_docs, rows_of
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from stockroom.llm import chat_format, decontamination, jaccard_join, mixing, quality_rules, queries, sharding, token_files
+from stockroom.llm import (
+    chat_format, decontamination, jaccard_join, mixing, quality_rules, queries, shared_tokens, sharding, token_files,
+)
 from stockroom.llm.components import components
 from stockroom.session import shared_folder
 
@@ -326,12 +328,12 @@ def test_chat_parts_become_numbered_placeholders(spark):
 # near duplicates
 
 
-def brute_components(rows):
+def brute_components(rows, width=3, percent=90):
     def shingles(text):
         w = WORD.findall((text or "").translate(LOWER))
-        if len(w) < 3:
+        if len(w) < width:
             return frozenset([tuple(w)]) if w else frozenset()
-        return frozenset(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+        return frozenset(tuple(w[i : i + width]) for i in range(len(w) - width + 1))
 
     sets = [shingles(t) for _, t in rows]
     root = list(range(len(rows)))
@@ -342,9 +344,9 @@ def brute_components(rows):
         return x
 
     for a, b in itertools.combinations(range(len(rows)), 2):
-        if sets[a] and sets[b] and 10 * min(len(sets[a]), len(sets[b])) >= 9 * max(len(sets[a]), len(sets[b])):
+        if sets[a] and sets[b] and 100 * min(len(sets[a]), len(sets[b])) >= percent * max(len(sets[a]), len(sets[b])):
             both = len(sets[a] & sets[b])
-            if 100 * both >= 90 * (len(sets[a]) + len(sets[b]) - both):
+            if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
                 root[find(a)] = find(b)
     ids = defaultdict(list)
     for k, (doc, _) in enumerate(rows):
@@ -375,16 +377,57 @@ def test_joins_equal_brute_force(spark, tiny):
         assert rows_of(jaccard_join.report(frame)) == sorted(want, key=repr)
 
 
-def test_joins_with_small_limits_lose_nothing(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [jaccard_join.HOT, 6])
+def test_joins_with_small_limits_lose_nothing(spark, monkeypatch, hot):
     monkeypatch.setattr(jaccard_join, "LONG_LIST", 3)
+    monkeypatch.setattr(jaccard_join, "HOT", hot)
+    monkeypatch.setattr(jaccard_join, "COUNTED", 500)
     monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    monkeypatch.setattr(jaccard_join, "BLOCK_TOKENS", 2000)
     monkeypatch.setattr(jaccard_join, "MAX_BROADCAST", 0)
+    monkeypatch.setattr(shared_tokens, "GATHERED", 1000)
     rows = list(enumerate(edited(120, 9, 4) + edited(20, 2, 5, 30)))
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     linked = jaccard_join.link(docs, max_frequent=5).select("doc_id", "n_shingles", "component_id")
     assert rows_of(linked) == sorted(brute_components(rows), key=repr)
 
 
+@pytest.mark.parametrize(("width", "percent"), [(3, 90), (5, 80), (1, 50)])
+def test_a_common_phrase_is_refined(spark, monkeypatch, width, percent):
+    """Most texts share a phrase and nothing else, so its lists are long and say nothing; some are near copies."""
+    monkeypatch.setattr(jaccard_join, "LONG_LIST", 6)
+    monkeypatch.setattr(jaccard_join, "MAX_FREQUENT", 2)
+    monkeypatch.setattr(shared_tokens, "BUCKET", 1 << 10)
+    rng = np.random.default_rng(11)
+    phrase = [f"p{k}" for k in range(9)]
+    texts = []
+    for k in range(700):
+        own = [f"w{k}x{m}" for m in range(rng.integers(4, 30))]
+        at = int(rng.integers(0, len(own)))
+        texts.append(own[:at] + phrase + own[at:])
+        if k % 5 == 0:
+            near = list(texts[-1])
+            near[int(rng.integers(0, len(near)))] = "changed"
+            texts.append(near)
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)] + list(enumerate(edited(40, 3, 12, 60), start=5000))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    depths = []
+    spots = shared_tokens._spots
+    monkeypatch.setattr(shared_tokens, "_spots", lambda long, m, depth: depths.append(depth) or spots(long, m, depth))
+    linked = jaccard_join.link(docs, percent, 2, width).select("doc_id", "n_shingles", "component_id")
+    assert rows_of(linked) == sorted(brute_components(rows, width, percent), key=repr)
+    assert max(depths) > 1
+
+
+def test_very_large_intersections_are_exact():
+    both = np.arange(800_001, dtype=np.uint64)
+    sets = [both, np.concatenate([both, np.arange(10**7, 10**7 + 88_890, dtype=np.uint64)])]
+    sizes = np.array([len(x) for x in sets])
+    assert 100 * len(both) == 90 * (sizes[1] - 1)
+    assert jaccard_join._linked(sizes, sets, 90, None) == [0, 1]
+    assert jaccard_join._linked(sizes - [0, 1], [both, sets[1][:-1]], 90, None) == [0, 0]
+
+
 def test_one_of_each_component_stays(spark):
     kept = jaccard_join.first_of_each(edge_docs(spark))
     assert kept.columns == edge_docs(spark).columns
@@ -449,7 +492,8 @@ def test_pipeline_equals_brute_force(spark, small, tiny):
     model = quality_rules.fit(tiny, queries.quality_labels(spark, small))
     good = {r.doc_id for r in quality_rules.judge(tiny, model).where("kept").collect()}
     rows = sorted((r.doc_id, r.text, r.source) for r in tiny.collect() if r.doc_id in good)
-    first = {d for d, _, c in brute_components([r[:2] for r in rows]) if d == c}
+    width, percent = corpus_pipeline.NEAR_WIDTH, corpus_pipeline.NEAR_PERCENT
+    first = {d for d, _, c in brute_components([r[:2] for r in rows], width, percent) if d == c}
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
     clean = [r for r in rows if r[0] in first and not brute_hits(r[1], items)[1]]
     kept = spark.createDataFrame(clean, "doc_id bigint, text string, source string")
@@ -483,5 +527,5 @@ def test_sql_of_the_queries(spark, small):
         con.execute(f"create view {table} as select * from '{small}/{table}.parquet'")
     for name, sql in queries.oracle_sql().items():
         got = queries.queries()[name](spark, small)
-        want = con.execute(sql).fetch_arrow_table().select(got.columns)
+        want = con.execute(sql).to_arrow_table().select(got.columns)
         assert rows_of(got) == sorted((tuple(r.values()) for r in want.to_pylist()), key=repr), name
