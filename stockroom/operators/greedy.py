@@ -13,11 +13,13 @@ for it. Every round decides at least the earliest undecided request, and
 requests in random order need few rounds (polylogarithmic; Blelloch, Fineman
 and Shun, SPAA 2012).
 
-Long chains, each link waiting for the one before, would need a round per link.
-So from ``CONTRACT_FROM`` rounds on, chains are settled in one go: a request
-that has exactly one earlier undecided competitor is accepted if and only if
-that one is not. Pointer doubling finds the end of each such chain, and the
-number of steps to it, in logarithmically many joins.
+Long dependencies would need a round per link. So what the first rounds leave
+is settled in turn: requests that share values, directly or through others,
+form a component, and the first ``BLOCK`` requests of each component are decided
+one after the other in one task, all components at once. As they are the
+earliest of their component, nothing else can stand in their way. A component of
+more than ``BLOCK`` requests takes one such step per ``BLOCK``. If no more than
+``BLOCK`` requests are left altogether, one step decides them.
 """
 
 from __future__ import annotations
@@ -26,16 +28,22 @@ import logging
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stockroom.operators.components import components
 from stockroom.operators.joins import lookup_join
+from stockroom.operators.ordered import running_count
+from stockroom.shipping import ship_package
 from stockroom.staging import staged
 
 log = logging.getLogger(__name__)
 
-#: Rounds before chains are looked for; requests in random order are mostly decided by then.
+#: Rounds before components are looked for; requests in random order are mostly decided by then.
 CONTRACT_FROM = 6
+#: Requests that one task decides in turn.
+BLOCK = 100_000
 
 
 def first_come(claims: DataFrame, keys: Sequence[str], contract_from: int = CONTRACT_FROM) -> DataFrame:
@@ -44,11 +52,12 @@ def first_come(claims: DataFrame, keys: Sequence[str], contract_from: int = CONT
     ``seq`` is unique; a NULL key claims nothing.
     """
     open_rows = staged(claims.select("seq", "owner", *keys), "claims")
-    accepted = []
+    accepted, left = [], None
     while True:
-        winners = staged(_unopposed(open_rows, keys), "unopposed")
-        if len(accepted) >= contract_from:
-            winners = staged(winners.unionByName(_chained(open_rows, winners, keys)).distinct(), "winners")
+        if left is not None and (left <= BLOCK or len(accepted) >= contract_from):
+            winners = _in_turn(open_rows, keys, left)
+        else:
+            winners = staged(_unopposed(open_rows, keys), "unopposed")
         decided = staged(_settled(open_rows, winners, keys), "decided")
         accepted.append(decided.where("won").select("seq"))
         open_rows = decided.where("not won").drop("won")
@@ -77,48 +86,57 @@ def _unopposed(open_rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return first_under.where(F.col("_first_under") == claimed).select(*columns).unionByName(free)
 
 
-def _chained(open_rows: DataFrame, winners: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The rows that end up accepted in chains that begin with a winner.
+def _in_turn(open_rows: DataFrame, keys: Sequence[str], left: int) -> DataFrame:
+    """The accepted rows among the first ``BLOCK`` of each component."""
+    coded = open_rows
+    for k, key in enumerate(keys):
+        # equal values get one number, whatever equality means for their type
+        named = open_rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("seq").alias("_low"))
+        named = named.select(key, (F.col("_low") * len(keys) + k).alias(f"_code_{key}"))
+        coded = lookup_join(coded, named, key)
+    codes = F.array_compact(F.array(*(F.col(f"_code_{key}") for key in keys)))
+    rows = staged(coded.select("seq", "owner", *keys, codes.alias("needs")), "coded")
+    won = settle_in_turn(rows.select("seq", "owner", "needs", F.col("needs").alias("takes")), left)
+    return staged(rows.join(won, "seq", "left_semi").drop("needs"), "winners")
 
-    Per key only its first two claims matter: whoever comes third has more than
-    one competitor.
+
+def settle_in_turn(rows: DataFrame, left: int) -> DataFrame:
+    """``seq`` of the accepted ones among the first rows of each component of ``rows(seq, owner, needs, takes)``.
+
+    A row is accepted if nobody else took what it needs before, and then takes
+    what nobody took before. ``left`` is the number of rows.
     """
-    columns = ["seq", "owner", *keys]
-    rows, third, before = open_rows, F.lit(False), []
-    for key in keys:
-        named = open_rows.where(F.col(key).isNotNull()).select("seq", "owner", key)
-        first = named.groupBy(key).agg(F.min(F.struct("seq", "owner")).alias("_first"))
-        later = lookup_join(named, first, key).where(F.col("seq") > F.col("_first.seq"))
-        second = later.groupBy(key).agg(F.min("seq").alias("_second"))
-        both = first.join(second, key, "left").select(
-            key, F.col("_first").alias(f"_first_{key}"), F.col("_second").alias(f"_second_{key}")
-        )
-        rows = lookup_join(rows, both, key)
-        is_second = F.col("seq") == F.col(f"_second_{key}")
-        third |= F.col(key).isNotNull() & (F.col("seq") > F.col(f"_second_{key}"))
-        foreign = F.col(f"_first_{key}.owner") != F.col("owner")
-        before.append(F.when(is_second & foreign, F.col(f"_first_{key}.seq")))
-    rivals = F.array_distinct(F.array_compact(F.array(*before)))
-    links = staged(
-        rows.where(~F.coalesce(third, F.lit(False)) & (F.size(rivals) == 1)).select(
-            *columns, F.element_at(rivals, 1).alias("end"), F.lit(True).alias("odd")
-        ),
-        "links",
-    )
-    while True:
-        onward = links.select(F.col("seq").alias("end"), F.col("end").alias("_end"), F.col("odd").alias("_odd"))
-        jumped = links.join(onward, "end", "left").select(
-            *columns,
-            F.coalesce("_end", "end").alias("end"),
-            (F.col("odd") != F.coalesce("_odd", F.lit(False))).alias("odd"),
-            F.col("_end").isNotNull().alias("moved"),
-        )
-        jumped = staged(jumped, "links")
-        links = jumped.drop("moved")
-        if jumped.where("moved").isEmpty():
-            break
-    ends = winners.select(F.col("seq").alias("end"))
-    return links.where("not odd").join(ends, "end", "left_semi").select(*columns)
+    every = F.array_union("needs", "takes")
+    if left <= BLOCK:
+        first = rows.withColumn("component", F.lit(0).cast("bigint"))
+    else:
+        first = first_in_component(rows, every, BLOCK)
+    ship_package(rows.sparkSession)
+    return first.groupBy("component").applyInArrow(_decided_in_turn, "seq bigint").select("seq")
+
+
+def first_in_component(rows: DataFrame, nodes: Column, block: int) -> DataFrame:
+    """The first ``block`` rows of each component, with ``component``; rows are linked by common ``nodes``, numbers."""
+    named = rows.withColumn("_nodes", nodes)
+    links = named.where(F.size("_nodes") > 0).select(F.col("_nodes")[0].alias("a"), F.explode("_nodes").alias("b"))
+    roots = components(links.distinct()).select(F.col("node").alias("_node"), F.col("root").alias("component"))
+    # a row without nodes stands for itself, below all numbers of nodes
+    own = F.coalesce(F.get("_nodes", F.lit(0)), -1 - F.col("seq"))
+    placed = lookup_join(named.withColumn("_node", own), roots, "_node").drop("_nodes")
+    placed = placed.withColumn("component", F.coalesce("component", "_node")).drop("_node")
+    return running_count(placed, "component", "seq", "_nth").where(F.col("_nth") <= block).drop("_nth")
+
+
+def _decided_in_turn(table: pa.Table) -> pa.Table:
+    table = table.sort_by("seq")
+    taken, won = {}, []
+    columns = (table.column(c).to_pylist() for c in ("seq", "owner", "needs", "takes"))
+    for seq, owner, needs, takes in zip(*columns, strict=True):
+        if all(taken.get(code, owner) == owner for code in needs):
+            won.append(seq)
+            for code in takes:
+                taken.setdefault(code, owner)
+    return pa.table({"seq": pa.array(won, pa.int64())})
 
 
 def _settled(open_rows: DataFrame, winners: DataFrame, keys: Sequence[str]) -> DataFrame:

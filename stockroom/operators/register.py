@@ -16,6 +16,7 @@ which are aggregations that combine before the shuffle.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,18 +62,18 @@ def _supplier_codes(tables: Tables, requests: DataFrame) -> DataFrame:
     )
 
 
-def _screened(tables: Tables, requests: DataFrame) -> DataFrame:
+def _screened(tables: Tables, requests: DataFrame, codes: DataFrame | None = None) -> DataFrame:
     """Requests with a flag: is there a product for the piece?"""
-    codes = _supplier_codes(tables, requests)
+    codes = _supplier_codes(tables, requests) if codes is None else codes
     has_product = F.col("_known").isNotNull() | (F.col("seq") >= F.col("_creator"))
     rows = lookup_join(requests.select("seq", "codigo_original", "numero_serie"), codes, "codigo_original")
     return rows.select("seq", "numero_serie", F.coalesce(has_product, F.lit(False)).alias("_has_product"))
 
 
-def _inserting(tables: Tables, requests: DataFrame) -> DataFrame:
+def _inserting(tables: Tables, requests: DataFrame, codes: DataFrame | None = None) -> DataFrame:
     """``seq`` of the requests that insert a piece: the first for a serial that nobody has."""
     first = (
-        _screened(tables, requests)
+        _screened(tables, requests, codes)
         .where("_has_product")
         .groupBy("numero_serie")
         .agg(F.min("seq").alias("seq"))
@@ -80,9 +81,10 @@ def _inserting(tables: Tables, requests: DataFrame) -> DataFrame:
     return unseen(first, "numero_serie", tables.pieza, "numero_serie", asked=requests).select("seq")
 
 
-def register_decisions(tables: Tables, requests: DataFrame) -> DataFrame:
-    inserting = _inserting(tables, requests).withColumn("_inserts", F.lit(True))
-    return _screened(tables, requests).select("seq", "_has_product").join(inserting, "seq", "left").select(
+def register_decisions(tables: Tables, requests: DataFrame, codes: DataFrame | None = None) -> DataFrame:
+    """``codes``: for each supplier code its product, or the request that creates it, if that is known already."""
+    inserting = _inserting(tables, requests, codes).withColumn("_inserts", F.lit(True))
+    return _screened(tables, requests, codes).select("seq", "_has_product").join(inserting, "seq", "left").select(
         "seq",
         *decide(
             (~F.col("_has_product"), 400, M.NAME_REQUIRED),
@@ -101,8 +103,12 @@ def register_validated(tables: Tables, requests: DataFrame) -> DataFrame:
 
 def register_new_products(tables: Tables, requests: DataFrame) -> DataFrame:
     """Products the batch creates, with the request that created each."""
-    creators = _supplier_codes(tables, requests).where(F.col("_creator").isNotNull())
-    created = requests.join(creators.select(F.col("_creator").alias("seq")), "seq", "left_semi").select(
+    return _new_products(tables, requests, _supplier_codes(tables, requests))
+
+
+def _new_products(tables: Tables, requests: DataFrame, codes: DataFrame) -> DataFrame:
+    creators = codes.where(F.col("_creator").isNotNull()).select(F.col("_creator").alias("seq"))
+    created = requests.join(creators, "seq", "left_semi").select(
         "seq",
         "codigo_original",
         F.col("nombre_producto").alias("nombre"),
@@ -121,19 +127,21 @@ def unique_codes(
     A code goes to the first row that wants it; the others hash their serial
     again. Two serials seldom want the same code, so one round is the rule.
     """
-    settled: DataFrame | None = None
+    settled: list[DataFrame] = []
     open_rows, attempt = rows.select("seq", "numero_serie"), 0
     while True:
-        coded = staged(open_rows.withColumn("codigo_barras", code(F.col("numero_serie"), prefix, attempt)), "codes")
-        first = coded.groupBy("codigo_barras").agg(F.min("seq").alias("seq"))
-        free = unseen(first, "codigo_barras", held, "codigo_barras")
-        if settled is not None:
-            free = free.join(settled.select("codigo_barras"), "codigo_barras", "left_anti")
-        free = staged(free.select("seq", "codigo_barras"), "codes")
-        settled = free if settled is None else settled.unionByName(free)
-        open_rows, attempt = coded.drop("codigo_barras").join(free.select("seq"), "seq", "left_anti"), attempt + 1
+        coded = open_rows.withColumn("codigo_barras", code(F.col("numero_serie"), prefix, attempt))
+        taken = only_asked(held.select("codigo_barras"), coded, "codigo_barras").distinct()
+        taken = reduce(DataFrame.unionByName, [taken, *(s.select("codigo_barras") for s in settled)])
+        first = coded.groupBy("codigo_barras").agg(F.min("seq").alias("_first"))
+        first = first.join(taken.withColumn("_taken", F.lit(True)), "codigo_barras", "left")
+        free = F.col("_taken").isNull() & (F.col("seq") == F.col("_first"))
+        judged = lookup_join(coded, first, "codigo_barras").select("seq", "numero_serie", "codigo_barras", free.alias("_free"))
+        judged = staged(judged, "codes")
+        settled.append(judged.where("_free").select("seq", "codigo_barras"))
+        open_rows, attempt = judged.where("not _free").select("seq", "numero_serie"), attempt + 1
         if open_rows.isEmpty():
-            return settled
+            return reduce(DataFrame.unionByName, settled)
 
 
 def register_new_pieces(tables: Tables, requests: DataFrame, prefix: str = "INV") -> DataFrame:
@@ -142,13 +150,20 @@ def register_new_pieces(tables: Tables, requests: DataFrame, prefix: str = "INV"
     The batch is screened once: what it inserts, and its codes, are written
     before they are used again.
     """
-    accepted = staged(requests.join(_inserting(tables, requests), "seq", "left_semi"), "accepted")
-    created = register_new_products(tables, requests).select("codigo_original", F.col("id_producto").alias("_new"))
-    codes = _supplier_codes(tables, requests).select("codigo_original", "_known")
-    barcodes = unique_codes(accepted, tables.pieza.select("codigo_barras"), prefix)
-    products = codes.join(created, "codigo_original", "left").select(
+    codes = staged(_supplier_codes(tables, requests), "supplier_codes")
+    created = _new_products(tables, requests, codes).select("codigo_original", F.col("id_producto").alias("_new"))
+    products = codes.select("codigo_original", "_known").join(created, "codigo_original", "left").select(
         "codigo_original", F.coalesce("_known", "_new").alias("id_producto")
     )
+    return new_pieces(tables, requests, codes, products, prefix)
+
+
+def new_pieces(
+    tables: Tables, requests: DataFrame, codes: DataFrame, products: DataFrame, prefix: str = "INV"
+) -> DataFrame:
+    """As ``register_new_pieces``, given ``products(codigo_original, id_producto)`` of the batch."""
+    accepted = staged(requests.join(_inserting(tables, requests, codes), "seq", "left_semi"), "accepted")
+    barcodes = unique_codes(accepted, tables.pieza, prefix)
     pieces = lookup_join(accepted, products, "codigo_original").join(barcodes, "seq").select(
         "seq",
         "id_producto",
