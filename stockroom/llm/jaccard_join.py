@@ -54,7 +54,7 @@ FREQUENT = 8
 #: A token in more documents makes a long list without being counted again.
 HOT = 4096
 #: Tokens that a task counts before it forgets those that came once.
-COUNTED = 1 << 21
+COUNTED = 1 << 20
 #: Members and shingles verified together, about; two blocks meet in a task at most.
 BLOCK, BLOCK_TOKENS = 512, 1 << 20
 #: Members of clusters that are broadcast to the scan that fetches their texts: about 100 bytes each.
@@ -201,7 +201,7 @@ def _linked(sizes: np.ndarray, sets: list[np.ndarray], percent: int, across: np.
     code, owner = np.unique(code[common], return_inverse=True)[1], owner[common]
     width = int(code.max()) + 1 if len(code) else 0
     inter = np.zeros((k, k), dtype=np.float32)
-    step = max(1, (1 << 24) // k)
+    step = max(1, (1 << 22) // k)
     by_code = np.argsort(code, kind="stable")
     code, owner = code[by_code], owner[by_code]
     for begin in range(0, width, step):

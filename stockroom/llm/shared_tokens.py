@@ -40,7 +40,7 @@ SHARED = 3
 #: Groups under one token above which no pairs are made.
 LONG_LIST = 64
 #: Postings that a task gathers before it sends them, and that a bucket holds about.
-GATHERED, BUCKET = 1 << 20, 1 << 18
+GATHERED, BUCKET = 1 << 17, 1 << 17
 
 POSTING = np.dtype([("key", "<u4"), ("gid", "<i8"), ("n", "<i4"), ("at", "<i4")])
 _FOUND = pa.schema(
@@ -171,7 +171,9 @@ def _dealt(groups: DataFrame, listing: Listing, hot: np.ndarray, bits: int) -> D
                     tokens, at = tokens[cold], at[cold]
                 own = np.empty(len(tokens), POSTING)
                 own["key"], own["gid"], own["n"], own["at"] = tokens & np.uint64(0xFFFFFFFF), gid, n, at
-                parts, names, size = [*parts, own], [*names, tokens], size + len(own)
+                parts.append(own)
+                names.append(tokens)
+                size += len(own)
                 if size >= GATHERED:
                     yield from sent(parts, names)
                     parts, names, size = [], [], 0
@@ -203,7 +205,7 @@ def _pairs(rows: np.ndarray, starts: np.ndarray, lengths: np.ndarray, measure: M
     for length in np.unique(lengths):
         i, j = np.triu_indices(length, 1)
         own = starts[lengths == length]
-        step = max(1, (1 << 21) // len(i))
+        step = max(1, (1 << 18) // len(i))
         for begin in range(0, len(own), step):
             first = own[begin : begin + step, None]
             a, b = rows[(first + i).ravel()], rows[(first + j).ravel()]
