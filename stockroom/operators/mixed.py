@@ -49,12 +49,33 @@ from stockroom.staging import staged
 KINDS = ("register", "status", "checkout", "create_product", "create_user", "edit_user", "toggle_user", "login")
 
 
+class Changes(NamedTuple):
+    """What a batch adds to the tables, and then sets in them: one row per key, NULL leaves a value as it is."""
+
+    new_products: DataFrame
+    new_pieces: DataFrame
+    new_users: DataFrame
+    piece_patches: DataFrame
+    user_patches: DataFrame
+
+    def applied(self, tables: Tables) -> Tables:
+        """The tables after the batch."""
+        with_new = register.tables_after(tables, self.new_products, self.new_pieces)
+        people = tables.usuario.select(*TABLES["usuario"].fieldNames())
+        people = people.unionByName(self.new_users.select(*people.columns))
+        return with_new.with_(
+            usuario=merge_changes(people, self.user_patches, "id_usuario"),
+            pieza=merge_changes(with_new.pieza, self.piece_patches, "id_pieza"),
+        )
+
+
 class Outcome(NamedTuple):
     """What a batch comes to."""
 
     decisions: DataFrame  # seq, tipo, accepted, status, reason, mensaje
-    tables: Tables
+    changes: Changes
     movements: DataFrame
+    tables: Tables  # after the batch
 
 
 def as_of(
@@ -207,7 +228,7 @@ def _present(rows: DataFrame, since: DataFrame, key: str = "id_usuario") -> Data
 def _name_holders(tables: Tables, outcome: UserOutcome, logins: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Who is found under a name: ``changes(seq, nombre_usuario, value)`` and ``initial(nombre_usuario, value)``.
 
-    Only names that change hands have changes; each has one row per change. 0 stands for nobody.
+    Only names that change hands have changes; each has one row per change. A value is a struct: nobody is a value too.
     """
     renamed = outcome.patches.where(F.col("nombre_usuario").isNotNull()).select("seq", "id_usuario", "nombre_usuario")
     moves = renamed.unionByName(outcome.new_users.select("seq", "id_usuario", "nombre_usuario"))
@@ -221,20 +242,21 @@ def _name_holders(tables: Tables, outcome: UserOutcome, logins: DataFrame) -> tu
     old = tables.usuario.select("nombre_usuario", "id_usuario").join(first_move, "id_usuario", "left")
     old = old.select("nombre_usuario", "id_usuario", F.lit(-(1 << 62)).alias("begin"), "until")
     spans = staged(only_asked(old.unionByName(follows), logins, "nombre_usuario"), "spans")
-    initial = spans.where(F.col("begin") < -(1 << 61)).groupBy("nombre_usuario").agg(F.min("id_usuario").alias("value"))
+    initial = spans.where(F.col("begin") < -(1 << 61)).groupBy("nombre_usuario").agg(F.min("id_usuario").alias("id"))
+    initial = initial.select("nombre_usuario", F.struct("id").alias("value"))
     turns = spans.select("nombre_usuario", F.explode(F.array("begin", "until")).alias("seq"))
     turns = turns.where(F.col("seq") > -(1 << 61)).distinct()
     s, t = spans.alias("s"), turns.alias("t")
     covers = (F.col("s.begin") <= F.col("t.seq")) & (F.col("s.until").isNull() | (F.col("s.until") > F.col("t.seq")))
     holders = t.join(s, (F.col("s.nombre_usuario") == F.col("t.nombre_usuario"))).groupBy("t.seq", "t.nombre_usuario")
-    changes = holders.agg(F.coalesce(F.min(F.when(covers, F.col("s.id_usuario"))), F.lit(0)).alias("value"))
-    return changes, initial
+    changes = holders.agg(F.min(F.when(covers, F.col("s.id_usuario"))).alias("id"))
+    return changes.select("seq", "nombre_usuario", F.struct("id").alias("value")), initial
 
 
 def _login_decisions(tables: Tables, outcome: UserOutcome, timeline: Timeline, logins: DataFrame) -> DataFrame:
     changes, initial = _name_holders(tables, outcome, logins)
     found = as_of(logins, changes, initial, "nombre_usuario", "_holder")
-    found = staged(found.withColumn("id_usuario", F.nullif("_holder", F.lit(0))), "logins")
+    found = staged(found.withColumn("id_usuario", F.col("_holder.id")).drop("_holder"), "logins")
     told = as_of(found, timeline.switches, timeline.initial_active, "id_usuario", "_active")
     return told.select(
         "seq", "ts", "id_usuario",
@@ -368,20 +390,21 @@ def handle_batch(
         "login": logins,
     }
     told = reduce(DataFrame.unionByName, (_labelled(rows, kind) for kind, rows in decisions.items()))
-    return Outcome(told, _tables_after(tables, products, pieces, users, timeline, logins, judged.movements), movements)
+    changes = Changes(
+        products.new, pieces, users.new_users, _last(judged.movements, "id_pieza", F.col("estado_nuevo"), "estado"),
+        _user_patches(users, timeline, logins),
+    )
+    return Outcome(told, changes, movements, changes.applied(tables))
 
 
 def _last(rows: DataFrame, key: str, value: Column, name: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(value, F.col("seq")).alias(name))
 
 
-def _tables_after(
-    tables: Tables, products: Products, pieces: DataFrame, users: UserOutcome, timeline: Timeline, logins: DataFrame,
-    movements: DataFrame,
-) -> Tables:
-    with_new = register.tables_after(tables, products.new, pieces)
-    people = merge_changes(users.users, _last(timeline.switches, "id_usuario", F.col("value"), "activo"), "id_usuario")
-    successes = _last(logins.where("accepted"), "id_usuario", F.col("ts"), "ultimo_login")
-    people = merge_changes(people, successes, "id_usuario")
-    states = _last(movements, "id_pieza", F.col("estado_nuevo"), "estado")
-    return with_new.with_(usuario=people, pieza=merge_changes(with_new.pieza, states, "id_pieza"))
+def _user_patches(users: UserOutcome, timeline: Timeline, logins: DataFrame) -> DataFrame:
+    """Per user the last value of each field that edits, switches and logins set."""
+    fields = ["nombre_usuario", "nombre_completo", "email", "rol", "activo", "ultimo_login"]
+    switches = timeline.switches.select("seq", "id_usuario", F.col("value").alias("activo"))
+    successes = logins.where("accepted").select("seq", "id_usuario", F.col("ts").alias("ultimo_login"))
+    every = users.patches.unionByName(switches, allowMissingColumns=True).unionByName(successes, allowMissingColumns=True)
+    return every.groupBy("id_usuario").agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c) for c in fields))

@@ -61,6 +61,22 @@ def running_count(rows: DataFrame, key: str, order: str, name: str, ranges: int
     )
 
 
+def running_sum(
+    rows: DataFrame, key: str, order: str, value: Column, name: str, ranges: int | None = None
+) -> DataFrame:
+    """Add the sum of ``value``, a whole number, over the earlier rows of the key."""
+    rows = _chunked(rows.select("*", value.cast("bigint").alias("_value")), order, ranges)
+    inside = F.sum("_value").over(_earlier(key, "_chunk", order=order))
+    ends = rows.groupBy(key, "_chunk").agg(F.sum("_value").alias("_end"))
+    carried = _carry(ends, key, F.sum("_end"))
+    return (
+        rows.withColumn("_inside", inside)
+        .join(carried, [key, "_chunk"], "left")
+        .withColumn(name, F.coalesce("_inside", F.lit(0)) + F.coalesce("_carried", F.lit(0)))
+        .drop("_chunk", "_value", "_inside", "_carried")
+    )
+
+
 def _carry(ends: DataFrame, key: str, fold: Column) -> DataFrame:
     """Fold what the earlier chunks of the key hand on; ``ends`` has one row per key and chunk."""
     carried = fold.over(_earlier(key, order="_chunk"))

@@ -12,18 +12,23 @@ from stockroom.operators import (
     alerts,
     checkout,
     export,
+    intake,
     joins,
     journal,
     listing,
     lookup,
+    mixed,
+    ownership,
     products,
     register,
     state,
     users,
 )
 from stockroom.operators.listing import InventoryFilter
+from stockroom.schemas import REQUESTS
 from stockroom.session import split_hot_keys
 from stockroom.sources import testdata
+from stockroom.sources.requests import parsed_requests
 from stockroom.sources.tables import Tables
 from stockroom.streaming.sessions import activity_sessions
 
@@ -224,6 +229,38 @@ def label_manifest(t: Tables, r):
     return register.label_manifest(register.register_new_pieces(t, r("register")), BASE_URL)
 
 
+# --- raw requests -----------------------------------------------------------
+
+
+def _ingest(kind: str) -> None:
+    """Lines of JSON held against the types of their fields."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        parsed = parsed_requests(testdata.raw_requests(spark, sf_dir, kind), kind)
+        return parsed.withColumn("status", F.when(F.col("errors").isNull(), 200).otherwise(422)).drop("raw")
+
+    _REGISTRY[f"ingest_{kind}"] = run
+
+
+for _kind in REQUESTS:
+    _ingest(_kind)
+
+
+def _raw_decisions(kind: str) -> None:
+    """Answers to raw requests."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        split_hot_keys(spark)
+        parsed = parsed_requests(testdata.raw_requests(spark, sf_dir, kind), kind)
+        return intake.raw_decisions(testdata.tables(spark, sf_dir), parsed, kind)
+
+    _REGISTRY[f"raw_{kind}_decisions"] = run
+
+
+for _kind in ("status", "checkout", "toggle_user"):
+    _raw_decisions(_kind)
+
+
 # --- states, checkout, journal ----------------------------------------------
 
 
@@ -327,6 +364,16 @@ def edit_users_snapshot(t: Tables, r):
     return users.edit_users_snapshot(t, r("edit_user"))
 
 
+@_query
+def edit_users_exact(t: Tables, r):
+    return ownership.edit_users_exact(t.usuario, r("edit_user")).select("seq", "accepted", "status", "reason")
+
+
+@_query
+def edit_users_exact_snapshot(t: Tables, r):
+    return ownership.edit_users_exact_snapshot(t.usuario, r("edit_user"))
+
+
 @_query
 def toggle_users(t: Tables, r):
     return users.toggle_users(t, r("toggle_user"))
@@ -352,6 +399,36 @@ def last_login_snapshot(t: Tables, r):
     return users.last_login_snapshot(t, r("login"))
 
 
+# --- all kinds in one order -------------------------------------------------
+
+
+def _mixture(t: Tables, r) -> mixed.Outcome:
+    """The requests of every kind, one after the other in turn."""
+    return mixed.handle_batch(
+        t, {kind: r(kind).withColumn("seq", F.col("seq") * len(mixed.KINDS) + k) for k, kind in enumerate(mixed.KINDS)}
+    )
+
+
+@_query
+def mixed_decisions(t: Tables, r):
+    return _mixture(t, r).decisions.select("seq", "tipo", "accepted", "status", "reason")
+
+
+@_query
+def mixed_movements(t: Tables, r):
+    return _mixture(t, r).movements
+
+
+@_query
+def mixed_snapshot(t: Tables, r):
+    return _mixture(t, r).tables.pieza
+
+
+@_query
+def mixed_users(t: Tables, r):
+    return _mixture(t, r).tables.usuario
+
+
 # --- export and functions ---------------------------------------------------
 
 

@@ -9,8 +9,11 @@ from __future__ import annotations
 import re
 
 from stockroom import messages as M
+from stockroom.plans import oracle_mixed
 from stockroom.plans.catalog import ACTOR, BASE_URL, FILTER, FILTER_PRODUCT
-from stockroom.sources.testdata import REQUEST_MAPPINGS, TABLE_MAPPINGS, select_sql
+from stockroom.schemas import REQUEST_DEFAULTS, REQUESTS, REQUIRED
+from stockroom.sources.requests import FALSE_TEXTS, FIELD_REQUIRED, NO_JSON, TRUE_TEXTS, WRONG_TYPE
+from stockroom.sources.testdata import REQUEST_MAPPINGS, TABLE_MAPPINGS, raw_line, select_sql
 
 
 def _text(value: str) -> str:
@@ -538,6 +541,88 @@ _FINAL: dict[str, str] = {
 }
 
 
+# --- raw requests -----------------------------------------------------------
+
+
+def _field(name: str) -> tuple[str, str]:
+    """Type and text of a field of a line."""
+    return f"json_type(linea, '$.{name}')", f"json_extract_string(linea, '$.{name}')"
+
+
+def _field_value(kind: str, field) -> str:
+    kind_of, text = _field(field.name)
+    type_name = field.dataType.simpleString()
+    if type_name in ("bigint", "int"):
+        number = f"try_cast({text} as double)"
+        value = f"""case
+            when {kind_of} in ('BIGINT', 'UBIGINT') then try_cast({text} as {type_name})
+            when {kind_of} = 'BOOLEAN' then case {text} when 'true' then 1 else 0 end
+            when {kind_of} = 'DOUBLE' and {number} = floor({number}) then try_cast({number} as {type_name})
+            when {kind_of} = 'VARCHAR' and regexp_full_match({text}, '\\s*[+-]?[0-9]+\\s*')
+                then try_cast(replace(trim({text}), '+', '') as {type_name}) end"""
+    elif type_name == "boolean":
+        scalar = f"{kind_of} in ('BOOLEAN', 'BIGINT', 'UBIGINT', 'VARCHAR')"
+        value = (
+            f"case when {scalar} and lower({text}) in {_texts(TRUE_TEXTS)} then true "
+            f"when {scalar} and lower({text}) in {_texts(FALSE_TEXTS)} then false end"
+        )
+    else:
+        value = f"case when {kind_of} = 'VARCHAR' then {text} end"
+        if type_name == "timestamp_ntz":
+            value = f"try_cast({value} as timestamp)"
+    default = REQUEST_DEFAULTS.get(kind, {}).get(field.name)
+    if default is not None:
+        given = _text(default) if isinstance(default, str) else str(default)
+        value = f"case when {kind_of} is null then {given} else {value} end"
+    sql_type = {"string": "varchar", "timestamp_ntz": "timestamp"}.get(type_name, type_name)
+    return f"cast({value} as {sql_type})"
+
+
+def _field_error(kind: str, field) -> str:
+    kind_of, _ = _field(field.name)
+    must = field.name == "seq" or field.name in REQUIRED[kind]
+    wrong = _text(f"{field.name}: {WRONG_TYPE[type(field.dataType)]}")
+    absent = _text(f"{field.name}: {FIELD_REQUIRED}") if must else "null"
+    null_wrong = must or field.name in REQUEST_DEFAULTS.get(kind, {})
+    return (
+        f"case when {kind_of} is null then {absent} when {kind_of} = 'NULL' then {wrong if null_wrong else 'null'} "
+        f"when {_field_value(kind, field)} is null then {wrong} end"
+    )
+
+
+def _read_lines(kind: str) -> str:
+    fields = REQUESTS[kind].fields
+    values = ", ".join(f"{_field_value(kind, f)} as {f.name}" for f in fields)
+    wrong = ", ".join(_field_error(kind, f) for f in fields)
+    # what is no JSON has no fields at all
+    lines = f"select raw, case when json_valid(raw) then raw::json end as linea from (select {raw_line(kind)} as raw from {kind}_requests)"
+    return (
+        f"select {values}, case when linea is null then {_text(NO_JSON)} "
+        f"else nullif(concat_ws('; ', {wrong}), '') end as errors from ({lines})"
+    )
+
+
+def _ingest_sql(kind: str) -> str:
+    return f"select *, cast(case when errors is null then 200 else 422 end as integer) as status from ({_read_lines(kind)})"
+
+
+def _raw_decisions_sql(kind: str, decisions: str) -> tuple[dict[str, str], str]:
+    """Views in place of the requests, and the answers to all lines."""
+    lines = _read_lines(kind)
+    views = {f"{kind}_lineas": lines, f"{kind}_requests": f"select * exclude (errors) from {kind}_lineas where errors is null"}
+    sql = (
+        f"select seq, accepted, status, reason from ({_FINAL[decisions]}) union all "
+        f"select seq, false, cast(422 as integer), errors from {kind}_lineas where errors is not null"
+    )
+    return views, sql
+
+
+_FINAL |= {f"ingest_{kind}": _ingest_sql(kind) for kind in REQUESTS}
+_FINAL |= oracle_mixed.finals()
+_STEPS |= oracle_mixed.views(_text, _texts, _strip, _verdict, _EMAIL)
+_RECURSIVE |= oracle_mixed.RECURSIVE
+
+
 def _needed(sql: str, views: dict[str, str]) -> list[str]:
     """The views a query names, directly or not, in an order in which each may be defined."""
     words = set(_words(sql))
@@ -564,6 +649,13 @@ def oracle_sql() -> dict[str, str]:
         names = _needed(body, views)
         if names:
             recursive = "recursive " if _RECURSIVE & set(names) else ""
-            body = f"with {recursive}" + ", ".join(f"{n} as ({views[n]})" for n in names) + " " + body
+            defined = ((oracle_mixed.KEYED.get(n, n), views[n]) for n in names)
+            body = f"with {recursive}" + ", ".join(f"{n} as ({sql})" for n, sql in defined) + " " + body
         result[key] = body
+    for kind, decisions in (("status", "status_decisions"), ("checkout", "checkout_decisions"), ("toggle_user", "toggle_users")):
+        extra, body = _raw_decisions_sql(kind, decisions)
+        typed = {**views, f"{kind}_pedidos": views[f"{kind}_requests"]}
+        extra[f"{kind}_lineas"] = extra[f"{kind}_lineas"].replace(f"{kind}_requests", f"{kind}_pedidos")
+        names = _needed(body, typed | extra)
+        result[f"raw_{kind}_decisions"] = "with " + ", ".join(f"{n} as ({(typed | extra)[n]})" for n in names) + " " + body
     return result

@@ -1,14 +1,43 @@
-"""Reading request batches and request streams."""
+"""Reading request batches and request streams.
+
+Requests come typed (``read_requests``), or as lines of JSON that clients wrote
+(``read_raw_requests``). Of the latter each field is held against its type
+before it becomes a column: a value of another type refuses its request with
+status 422 and never turns into a default. What counts as a value of a type:
+
+* whole numbers: JSON numbers without a fraction, ``true`` and ``false``, and
+  texts of digits with a sign and blanks around them; all within the range;
+* texts: JSON strings only;
+* truth values: ``true``, ``false``, 0, 1, and a fixed list of texts;
+* times: texts in ISO form.
+
+A field that may be left out may also be ``null``, unless it has a default. A
+line that is no JSON object is refused as a whole.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, LongType, StringType, StructField, TimestampNTZType
 
 from stockroom.schemas import REQUEST_DEFAULTS, REQUESTS, REQUIRED
 
-# Fixed value: reason for a request that leaves out a field it cannot leave out.
+# Reasons for a request with fields left out or of a wrong type.
 FIELD_REQUIRED = "Field required"
+NO_JSON = "JSON decode error"
+WRONG_TYPE = {
+    LongType: "Input should be a valid integer",
+    IntegerType: "Input should be a valid integer",
+    StringType: "Input should be a valid string",
+    BooleanType: "Input should be a valid boolean",
+    TimestampNTZType: "Input should be a valid datetime",
+}
+# Texts that stand for truth values.
+TRUE_TEXTS = ["true", "1", "on", "yes", "t", "y"]
+FALSE_TEXTS = ["false", "0", "off", "no", "f", "n"]
 
 
 def with_defaults(frame: DataFrame, kind: str) -> DataFrame:
@@ -25,6 +54,7 @@ def with_defaults(frame: DataFrame, kind: str) -> DataFrame:
 
 
 def read_requests(spark: SparkSession, kind: str, path: str, fmt: str = "json") -> DataFrame:
+    """Requests whose types are known to be right; values that do not fit become NULL."""
     return with_defaults(spark.read.schema(REQUESTS[kind]).format(fmt).load(path), kind)
 
 
@@ -37,19 +67,116 @@ def stream_requests(
     files_per_batch: int | None = None,
 ) -> DataFrame:
     """Files dropped into ``path`` as a stream of requests."""
-    reader = spark.readStream.schema(REQUESTS[kind]).format(fmt)
+    return with_defaults(_stream(spark.readStream.schema(REQUESTS[kind]), path, fmt, glob, files_per_batch), kind)
+
+
+def _stream(reader, path: str, fmt: str, glob: str | None, files_per_batch: int | None) -> DataFrame:
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return with_defaults(reader.load(path), kind)
+    return reader.format(fmt).load(path)
+
+
+# --- raw requests -------------------------------------------------------------
+
+
+def read_raw_requests(spark: SparkSession, kind: str, path: str) -> DataFrame:
+    """Lines of JSON as ``parsed_requests``."""
+    return parsed_requests(spark.read.text(path), kind, "value")
+
+
+def stream_raw_requests(
+    spark: SparkSession, kind: str, path: str, glob: str | None = None, files_per_batch: int | None = None
+) -> DataFrame:
+    return parsed_requests(_stream(spark.readStream, path, "text", glob, files_per_batch), kind, "value")
+
+
+def parsed_requests(lines: DataFrame, kind: str, column: str = "raw") -> DataFrame:
+    """The columns of the kind, defaults filled in, with ``errors``, NULL where all is right, and the ``raw`` line."""
+    parsed = lines.select(F.col(column).alias("raw"), F.try_parse_json(column).alias("_json"))
+    shape = F.schema_of_variant("_json")
+    rows = parsed.withColumn("_object", F.coalesce(shape.startswith("OBJECT<"), F.lit(False)))
+    checked = [(f, *_typed(f, kind)) for f in REQUESTS[kind].fields]
+    told = F.array_compact(F.array(*(error for _, _, error in checked)))
+    errors = F.when(~F.col("_object"), F.lit(NO_JSON)).otherwise(F.nullif(F.array_join(told, "; "), F.lit("")))
+    return rows.select(*(value.alias(f.name) for f, value, _ in checked), errors.alias("errors"), "raw")
+
+
+def _typed(field: StructField, kind: str) -> tuple[Column, Column]:
+    """The value of a field, and what is wrong with it, NULL if nothing is."""
+    path = f"$.{field.name}"
+    given = F.schema_of_variant(F.try_variant_get("_json", path, "variant"))
+    value = _VALUES[type(field.dataType)](given, path, field.dataType.simpleString())
+    default = REQUEST_DEFAULTS.get(kind, {}).get(field.name)
+    must = field.name == "seq" or field.name in REQUIRED[kind]
+    wrong = F.lit(f"{field.name}: {WRONG_TYPE[type(field.dataType)]}")
+    absent = F.lit(f"{field.name}: {FIELD_REQUIRED}") if must else F.lit(None).cast("string")
+    null_is_wrong = must or default is not None
+    error = (
+        F.when(given.isNull(), absent)
+        .when(given == "VOID", wrong if null_is_wrong else F.lit(None).cast("string"))
+        .when(value.isNull(), wrong)
+    )
+    if default is not None:
+        value = F.when(given.isNull(), F.lit(default).cast(field.dataType)).otherwise(value)
+    return value, error
+
+
+def _text_of(path: str) -> Column:
+    return F.try_variant_get("_json", path, "string")
+
+
+def _whole(given: Column, path: str, kind: str) -> Column:
+    as_number = F.try_variant_get("_json", path, "double")
+    written = _text_of(path)
+    digits = written.rlike(r"^\s*[+-]?[0-9]+\s*$")
+    number = given.startswith("DECIMAL") & written.rlike(r"^-?[0-9]+(\.0*)?$")
+    double = (given == "DOUBLE") & (as_number == F.floor(as_number))
+    fits = (given == "BIGINT") | (given == "BOOLEAN") | number | double | ((given == "STRING") & digits)
+    return F.when(fits, F.try_variant_get("_json", path, kind))
+
+
+def _text(given: Column, path: str, kind: str) -> Column:
+    return F.when(given == "STRING", _text_of(path))
+
+
+def _truth(given: Column, path: str, kind: str) -> Column:
+    said = F.lower(_text_of(path))
+    readable = (given == "BOOLEAN") | (given == "BIGINT") | (given == "STRING")
+    return F.when(readable & said.isin(TRUE_TEXTS), F.lit(True)).when(readable & said.isin(FALSE_TEXTS), F.lit(False))
+
+
+def _time(given: Column, path: str, kind: str) -> Column:
+    return F.when(given == "STRING", F.expr(f"try_cast(try_variant_get(_json, '{path}', 'string') as {kind})"))
+
+
+_VALUES = {LongType: _whole, IntegerType: _whole, StringType: _text, BooleanType: _truth, TimestampNTZType: _time}
+
+
+def sound_requests(parsed: DataFrame, kind: str) -> DataFrame:
+    """The requests in which everything is right."""
+    return parsed.where(F.col("errors").isNull()).select(*REQUESTS[kind].fieldNames())
+
+
+def refused_decisions(parsed: DataFrame) -> DataFrame:
+    """Decision rows (status 422) for the others; ``seq`` is NULL where that is what is wrong."""
+    return parsed.where(F.col("errors").isNotNull()).select(
+        "seq", F.lit(False).alias("accepted"), F.lit(422).alias("status"), F.col("errors").alias("reason")
+    )
+
+
+def write_quarantine(parsed: DataFrame, root: str, kind: str, batch: int) -> None:
+    """Keep the refused lines and why, for whoever sent them. Writing a batch again replaces it."""
+    refused = parsed.where(F.col("errors").isNotNull()).select("raw", "errors")
+    refused.write.mode("overwrite").json(f"{root}/{kind}/lote={batch}")
+
+
+# --- typed requests that may lack fields ----------------------------------------
 
 
-def _complete(kind: str):
-    test = F.lit(True)
-    for name in REQUIRED[kind]:
-        test &= F.col(name).isNotNull()
-    return test
+def _complete(kind: str) -> Column:
+    return reduce(lambda a, b: a & b, (F.col(name).isNotNull() for name in REQUIRED[kind]), F.lit(True))
 
 
 def complete_requests(requests: DataFrame, kind: str) -> DataFrame:

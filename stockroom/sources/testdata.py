@@ -203,6 +203,39 @@ REQUEST_MAPPINGS: dict[str, tuple[str, dict[str, str]]] = {
 }
 
 
+def raw_line(kind: str) -> str:
+    """A request as a line of JSON: an expression over the columns of the kind, which Spark and DuckDB both read.
+
+    Some fields are left out, NULL, of another type, or written in another way.
+    """
+    odd = {
+        "bigint": ["'\"x7\"'", "concat('\" ', cast({0} as string), '\"')", "'12.5'", "'3.0'", "'true'", "'99999999999999999999'"],
+        "int": ["'\"x7\"'", "concat('\"+', cast({0} as string), ' \"')", "'12.5'", "'3.0'", "'false'", "'3000000000'"],
+        "string": ["'5'", "'{{\"a\":1}}'", "'[\"b\"]'", "'true'", "'1.5'", "'\"\"'"],
+        "boolean": ["'\"tal vez\"'", "'\"Yes\"'", "'0'", "'2'", "'[true]'", "'\"off\"'"],
+        "timestamp_ntz": ["'\"ayer\"'", "'12'", "'{{}}'", "'true'", "'\"\"'", "'1.5'"],
+    }
+    parts = [
+        "case when seq % 211 = 3 then '\"n\":1' when seq % 101 = 5 then concat('\"seq\":\"', cast(seq as string), '\"') "
+        "else concat('\"seq\":', cast(seq as string)) end"
+    ]
+    for k, field in enumerate(REQUESTS[kind].fields[1:]):
+        name, type_name = field.name, field.dataType.simpleString()
+        text = f"cast({name} as string)"
+        plain = text if type_name in ("bigint", "int", "boolean") else f"concat('\"', {text}, '\"')"
+        draw = f"(seq * 7 + {13 * k}) % 89"
+        cases = " ".join(f"when {n} then {v.format(name)}" for n, v in enumerate(["'null'", *odd[type_name]]))
+        value = f"case {draw} {cases} else {plain} end"
+        parts.append(f"case when {draw} = 7 or {name} is null then '' else concat(',\"{name}\":', {value}) end")
+    line = "concat('{', " + ", ".join(parts) + ", '}')"
+    return f"case when seq % 97 = 0 then concat('[no json ', cast(seq as string)) else {line} end"
+
+
+def raw_requests(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """Lines of JSON for the requests of a kind."""
+    return requests(spark, sf_dir, kind).selectExpr(f"{raw_line(kind)} as raw")
+
+
 def select_sql(source: str, columns: dict[str, str]) -> str:
     """A mapping as the text of a query."""
     body = ", ".join(f"{expression} as {name}" for name, expression in columns.items())

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import LongType, StructField, StructType, TimestampNTZType
+from pyspark.sql.types import DateType, LongType, StructField, StructType, TimestampNTZType
 
-from stockroom.operators.joins import lookup_join, only_asked
-from stockroom.streaming.live import earlier_rows, start_batches, write_batch
+from stockroom.sources.buckets import BucketedTable
+from stockroom.staging import discard, staged
+from stockroom.streaming.live import start_batches, write_batch
 
 # Fixed value: inactivity limit, in minutes (600,000 ms).
 GAP_MINUTES = 10
@@ -66,38 +67,73 @@ def stream_activity_sessions(events: DataFrame, late: str = "10 minutes") -> Dat
     )
 
 
-_EVENTS = StructType([StructField("user_id", LongType()), StructField("ts", TimestampNTZType())])
-_SESSIONS = StructType(
+_KEYS = StructType([StructField("user_id", LongType()), StructField("dia", DateType())])
+_PARTS = StructType(
     [
-        StructField("user_id", LongType()),
-        StructField("inicio", TimestampNTZType()),
-        StructField("fin", TimestampNTZType()),
+        *_KEYS.fields,
+        StructField("desde", TimestampNTZType()),
+        StructField("hasta", TimestampNTZType()),
         StructField("eventos", LongType()),
     ]
 )
+#: Buckets of users in each day.
+BUCKETS = 16
 
 
-def session_batch_stream(events: DataFrame, root: str, **trigger) -> StreamingQuery:
+def _parts_table(spark: SparkSession, root: str, buckets: int) -> BucketedTable:
+    by_day = lambda: F.concat_ws("-", "dia", F.pmod(F.xxhash64("user_id"), F.lit(buckets)))
+    return BucketedTable(spark, root, "partes", _PARTS, "user_id", by_day)
+
+
+def _joined(spans: DataFrame, *keys: str) -> DataFrame:
+    """Spans ``desde, hasta, eventos`` of the same keys, put together where the gap is no longer than the limit."""
+    by_time = Window.partitionBy(*keys).orderBy("desde", "hasta")
+    reach = F.max("hasta").over(by_time.rowsBetween(Window.unboundedPreceding, -1))
+    apart = F.coalesce(F.col("desde") > reach + F.expr(f"interval {GAP_MINUTES} minutes"), F.lit(True))
+    numbered = spans.withColumn("_starts", apart.cast("int")).withColumn("_session", F.sum("_starts").over(by_time))
+    return numbered.groupBy(*keys, "_session").agg(
+        F.min("desde").alias("desde"), F.max("hasta").alias("hasta"), F.sum("eventos").alias("eventos")
+    ).drop("_session")
+
+
+def _slots(events: DataFrame) -> DataFrame:
+    """Events reduced to the first and last of each ten-minute slot, so a user and day have 144 rows at most."""
+    slot = F.window("ts", f"{GAP_MINUTES} minutes").start
+    rows = events.groupBy("user_id", slot.alias("_slot")).agg(
+        F.min("ts").alias("desde"), F.max("ts").alias("hasta"), F.count(F.lit(1)).alias("eventos")
+    )
+    return rows.select("user_id", F.to_date("desde").alias("dia"), "desde", "hasta", "eventos")
+
+
+def session_batch_stream(events: DataFrame, root: str, buckets: int = BUCKETS, **trigger) -> StreamingQuery:
     """Sessions that late events correct, however late they come.
 
-    Every micro-batch keeps its events and writes the sessions of its users anew,
-    from all of their events: the users of a batch are sent to the stored
-    events, which are scanned but not shuffled as a whole. ``latest_sessions``
-    reads the result.
+    What is kept are the parts of sessions by user and day: whatever else is
+    known of an event no later event can change. They lie in buckets of days and
+    users (``sources/buckets``). A micro-batch opens and rewrites the buckets
+    that its own events fall into and no others, so what it reads does not grow
+    with the stream; events are never read again. ``latest_sessions`` puts parts
+    that meet at midnight together.
     """
+    table = _parts_table(events.sparkSession, root, buckets)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        write_batch(batch.select("user_id", "ts"), root, "eventos", batch_id)
-        stored = earlier_rows(batch.sparkSession, root, "eventos", _EVENTS, batch_id + 1)
-        asked = only_asked(stored, batch, "user_id").select("user_id", "ts")
-        write_batch(activity_sessions(asked), root, "sesiones", batch_id)
+        if batch_id == 0:
+            table.create(batch.sparkSession.createDataFrame([], _PARTS))
+        new = staged(_slots(batch), "slots")
+        keys = new.select(*_KEYS.fieldNames()).distinct()
+        known = table.read(batch_id, keys).join(keys, _KEYS.fieldNames(), "left_semi")
+        parts = _joined(known.unionByName(new), *_KEYS.fieldNames())
+        table.replace(batch_id + 1, keys, parts)
+        discard(new)
+        write_batch(batch.sparkSession.range(1).select(F.lit(batch_id + 1).alias("version")), root, "versiones", 0)
 
     return start_batches(events, root, "sessions", handle, **trigger)
 
 
-def latest_sessions(spark: SparkSession, root: str) -> DataFrame:
-    """The sessions of every user as the last batch with one of their events left them."""
-    full = StructType([*_SESSIONS.fields, StructField("batch_id", LongType())])
-    written = spark.read.schema(full).parquet(f"{root}/sesiones")
-    last = written.groupBy("user_id").agg(F.max("batch_id").alias("_last"))
-    return lookup_join(written, last, "user_id").where("batch_id = _last").select(*_SESSIONS.fieldNames())
+def latest_sessions(spark: SparkSession, root: str, buckets: int = BUCKETS) -> DataFrame:
+    """The sessions of every user as the last batch left them."""
+    version = spark.read.parquet(f"{root}/versiones").agg(F.max("version")).head()[0]
+    parts = _parts_table(spark, root, buckets).read(version).drop("dia")
+    end = (F.col("hasta") + F.expr(f"interval {GAP_MINUTES} minutes")).alias("fin")
+    return _joined(parts, "user_id").select("user_id", F.col("desde").alias("inicio"), end, "eventos")
