@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stockroom.llm.components import components
-from stockroom.llm.shared_tokens import LONG_LIST, Measure, candidates
+from stockroom.llm.shared_tokens import LONG_LIST, MAX_HOT, Measure, candidates
 from stockroom.llm.words import blocks, mix, window_hashes, word_block
 from stockroom.operators.joins import lookup_join
 from stockroom.session import split_hot_keys
@@ -155,7 +155,8 @@ def _order(docs: DataFrame, max_frequent: int, width: int) -> tuple[_Order, np.n
     top = _counted(docs, max_frequent, width).where(F.col("n") >= FREQUENT)
     top = top.orderBy(F.col("n").desc(), "token").limit(max_frequent).toArrow()
     tokens, n = top.column("token").to_numpy().astype(np.int64).view(np.uint64), top.column("n").to_numpy()
-    return _Order(tokens[np.lexsort((tokens, n))]), np.sort(tokens[n > HOT])
+    hot = np.lexsort((tokens, -n))[:MAX_HOT]
+    return _Order(tokens[np.lexsort((tokens, n))]), np.sort(tokens[hot][n[hot] > HOT])
 
 
 def _nodes(docs: DataFrame, order: _Order, percent: int, width: int) -> DataFrame:
@@ -320,7 +321,8 @@ def link(
     ties = staged(found.unionByName(alone), "candidates")
     discard(wide)
     clusters = components(ties).select(F.col("node").alias("gid"), F.col("root").alias("cluster"))
-    members = nodes.join(clusters, "gid").select("doc_id", "print", "node", "n", "cluster")
+    members = lookup_join(nodes, clusters, "gid").where("cluster is not null")
+    members = members.select("doc_id", "print", "node", "n", "cluster")
     links = staged(_verified(texts, members, percent, width), "links")
     roots = components(links).select("node", "root")
     rooted = nodes.select("node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -33,20 +33,27 @@ from pyspark.sql import functions as F
 from stockroom.llm.words import mix
 from stockroom.operators.joins import lookup_join
 from stockroom.shipping import map_in_arrow, ship_package
-from stockroom.staging import discard, staged
+from stockroom.staging import staged
 
 #: Prefix tokens that linked sets share at least, if they are that large.
 SHARED = 3
 #: Groups under one token above which no pairs are made.
 LONG_LIST = 64
+#: Tokens known to be very common, at most.
+MAX_HOT = 1 << 12
 #: Postings that a task gathers before it sends them, and that a bucket holds about.
 GATHERED, BUCKET = 1 << 17, 1 << 17
 
 POSTING = np.dtype([("key", "<u4"), ("gid", "<i8"), ("n", "<i4"), ("at", "<i4")])
+#: What a bucket gives: pairs a, b with the number of lists that they share and the size of the smaller; or groups a
+#: with the hub b, the keys of the long lists that they share in a spot of the size class, and their size.
 _FOUND = pa.schema(
-    [("a", pa.int64()), ("b", pa.int64()), ("shared", pa.int64()), ("least", pa.int32()), ("key", pa.int64()), ("n", pa.int32())]
-)
-_FOUND_KINDS = "a bigint, b bigint, shared bigint, least int, key bigint, n int"
+    [
+        ("a", pa.int64()), ("b", pa.int64()), ("shared", pa.int64()), ("n", pa.int64()), ("class", pa.int64()),
+        ("keys", pa.list_(pa.int64())),
+    ]
+)
+_FOUND_KINDS = "a bigint, b bigint, shared bigint, n bigint, class bigint, keys array<bigint>"
 
 #: ``tokens, places`` of the postings of a prefix at some depth, given the keys to refine.
 Listing = Callable[[np.ndarray, np.ndarray, int], tuple[np.ndarray, np.ndarray]]
@@ -68,17 +75,20 @@ class Measure(NamedTuple):
         """The tokens among which linked sets share at least the needed number."""
         return n - self.overlap(n) + self.needed(n)
 
+    def needed_by(self, n: np.ndarray) -> np.ndarray:
+        return np.minimum(SHARED, (self.percent * n + 99) // 100)
+
     def needed_of(self, n: Column) -> Column:
         return F.least(F.lit(SHARED), F.floor((n * self.percent + 99) / 100)).cast("int")
 
     def prefix_of(self, n: Column) -> Column:
         return n - F.floor((n * self.percent + 99) / 100) + self.needed_of(n)
 
-    def size_class(self, n: Column) -> Column:
+    def size_class(self, n: np.ndarray) -> np.ndarray:
         """Sizes that may link are in the same or in neighbouring classes."""
         if self.percent >= 100:
-            return n.cast("bigint")
-        return F.floor(F.log(n) / (1.0001 * math.log(100 / self.percent)))
+            return n.astype(np.int64)
+        return np.floor(np.log(n) / (1.0001 * math.log(100 / self.percent))).astype(np.int64)
 
 
 def _combined(*tokens: np.ndarray) -> np.ndarray:
@@ -183,20 +193,65 @@ def _dealt(groups: DataFrame, listing: Listing, hot: np.ndarray, bits: int) -> D
     return map_in_arrow(groups, run, "bucket int, postings binary")
 
 
-def _hot_lists(groups: DataFrame, hot: np.ndarray, bits: int) -> DataFrame:
-    """``key, gid, n``: the places of very common tokens."""
+def _hot_rows(groups: DataFrame, hot: np.ndarray, bits: int, measure: Measure) -> DataFrame:
+    """As the buckets, for the lists of very common tokens, which are long and meet in no task.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [
-                (int(k), gid, n)
-                for gid, n, prefix, _ in _prefixes(batch)
-                for k in keys_of(prefix[np.isin(prefix, hot)], bits).view(np.int64)
-            ]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["key", "gid", "n"])
+    The hubs of their spots are found first: ``hot`` has at most ``MAX_HOT`` tokens,
+    and a token has a spot per size class, of which there are some hundred, so
+    the table that goes to all tasks has a bound.
+    """
 
-    return map_in_arrow(groups, run, "key bigint, gid bigint, n bigint").distinct()
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray, int]]:
+        seen = set()
+        for batch in batches:
+            for gid, n, prefix, _ in _prefixes(batch):
+                if gid not in seen:
+                    seen.add(gid)
+                    yield gid, n, keys_of(prefix[np.isin(prefix, hot)], bits).view(np.int64), int(measure.size_class(np.array([n]))[0])
+
+    def lowest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hubs: dict[tuple[int, int], list[int]] = {}
+        for gid, n, keys, own in places(batches):
+            for key in keys.tolist():
+                for c in (own, own + 1):
+                    spot = hubs.setdefault((key, c), [gid, gid, SHARED])
+                    spot[0], spot[1], spot[2] = min(spot[0], gid), max(spot[1], gid), min(spot[2], measure.needed(n))
+        rows = [(*spot, *facts) for spot, facts in hubs.items()]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["key", "class", "hub", "top", "needed"])
+
+    hubs = map_in_arrow(groups, lowest, "key bigint, class bigint, hub bigint, top bigint, needed bigint").groupBy("key", "class")
+    table = hubs.agg(F.min("hub"), F.max("top"), F.min("needed")).toArrow().to_pydict()
+    known = {(k, c): (hub, top, needed) for k, c, hub, top, needed in zip(*table.values(), strict=True)}
+    shared = groups.sparkSession.sparkContext.broadcast(known)
+
+    def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spots = shared.value
+        rows: list[tuple] = []
+        for gid, n, keys, own in places(batches):
+            by_hub: dict[tuple[int, int], list[int]] = {}
+            for key in keys.tolist():
+                for c in (own, own + 1):
+                    hub, top, needed = spots[key, c]
+                    if hub == top:
+                        continue
+                    if needed <= 1:  # what shares this token is to be compared
+                        rows.append((gid, hub, SHARED, n, None, None))
+                    else:
+                        by_hub.setdefault((hub, c), []).append(key)
+            rows += [(gid, hub, None, n, c, own_keys) for (hub, c), own_keys in by_hub.items()]
+            if len(rows) >= 10_000:
+                yield _batch(rows)
+                rows = []
+        if rows:
+            yield _batch(rows)
+
+    # a group that several tasks meet gives the same rows in each
+    return map_in_arrow(groups, tie, _FOUND_KINDS).dropDuplicates(["a", "b", "class"])
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _FOUND, strict=True)], schema=_FOUND)
 
 
 def _pairs(rows: np.ndarray, starts: np.ndarray, lengths: np.ndarray, measure: Measure) -> Iterator[np.ndarray]:
@@ -217,7 +272,44 @@ def _pairs(rows: np.ndarray, starts: np.ndarray, lengths: np.ndarray, measure: M
             yield np.stack([a["gid"][may], b["gid"][may], small[may]], axis=1)
 
 
-def _looked_through(measure: Measure, bits: int, long_list: int) -> Callable[[pa.Table], pa.Table]:
+def _in_spots(rows: np.ndarray, bucket: int, measure: Measure, depth: int) -> pa.Table:
+    """Long lists by spots: what is to be compared at once, and per group and hub the keys that they share."""
+    twice = np.concatenate([rows, rows])
+    size_class = measure.size_class(rows["n"])
+    size_class = np.concatenate([size_class, size_class + 1])
+    order = np.lexsort((twice["gid"], size_class, twice["key"]))
+    twice, size_class = twice[order], size_class[order]
+    begins = np.ones(len(twice), dtype=bool)
+    begins[1:] = (twice["key"][1:] != twice["key"][:-1]) | (size_class[1:] != size_class[:-1])
+    starts = np.flatnonzero(begins)
+    sizes = np.diff(np.append(starts, len(twice)))
+    hub = np.repeat(twice["gid"][starts], sizes)
+    needed = np.repeat(np.minimum.reduceat(measure.needed_by(twice["n"].astype(np.int64)), starts), sizes)
+    several = np.repeat(sizes > 1, sizes)
+    # sharing this list is all that can be asked
+    final = several & (needed <= depth)
+    ties = np.unique(np.stack([twice["gid"], hub, twice["n"]], axis=1)[final & (twice["gid"] != hub)], axis=0)
+    m = len(ties)
+    parts = [
+        pa.table([pa.array(ties[:, 0]), pa.array(ties[:, 1]), pa.array(np.full(m, SHARED)), pa.array(ties[:, 2]), pa.nulls(m, pa.int64()), pa.nulls(m, _FOUND.field("keys").type)], schema=_FOUND)
+    ]
+    keep = several & ~final
+    rows, size_class, hub = twice[keep], size_class[keep], hub[keep]
+    order = np.lexsort((rows["key"], size_class, hub, rows["gid"]))
+    rows, size_class, hub = rows[order], size_class[order], hub[order]
+    begins = np.ones(len(rows), dtype=bool)
+    begins[1:] = (rows["gid"][1:] != rows["gid"][:-1]) | (hub[1:] != hub[:-1]) | (size_class[1:] != size_class[:-1])
+    starts = np.flatnonzero(begins)
+    keys = pa.ListArray.from_arrays(
+        pa.array(np.append(starts, len(rows)).astype(np.int32)), pa.array(bucket | rows["key"].astype(np.int64))
+    )
+    first = rows[starts]
+    return pa.concat_tables(
+        [*parts, pa.table([pa.array(first["gid"]), pa.array(hub[starts]), pa.nulls(len(first), pa.int64()), pa.array(first["n"].astype(np.int64)), pa.array(size_class[starts]), keys], schema=_FOUND)]
+    )
+
+
+def _looked_through(measure: Measure, depth: int, long_list: int) -> Callable[[pa.Table], pa.Table]:
     def look(table: pa.Table) -> pa.Table:
         rows = np.concatenate([np.frombuffer(x, POSTING) for x in table.column("postings").to_pylist()])
         rows = rows[np.lexsort((rows["gid"], rows["key"]))]
@@ -229,38 +321,33 @@ def _looked_through(measure: Measure, bits: int, long_list: int) -> Callable[[pa
         short = (lengths > 1) & (lengths <= long_list)
         pairs = np.concatenate([np.empty((0, 3), np.int64), *_pairs(rows, starts[short], lengths[short], measure)])
         pairs, shared = np.unique(pairs, axis=0, return_counts=True)
-        long = np.repeat(lengths > long_list, lengths)
-        bucket = np.int64(table.column("bucket")[0].as_py()) << 32
-        m, k = len(pairs), int(long.sum())
-        none = lambda n, kind: pa.nulls(n, kind)
-        return pa.concat_tables(
-            [
-                pa.table([*map(pa.array, (pairs[:, 0], pairs[:, 1], shared.astype(np.int64), pairs[:, 2].astype(np.int32))), none(m, pa.int64()), none(m, pa.int32())], schema=_FOUND),
-                pa.table([pa.array(rows["gid"][long]), *(none(k, f.type) for f in list(_FOUND)[1:4]), pa.array(bucket | rows["key"][long].astype(np.int64)), pa.array(rows["n"][long])], schema=_FOUND),
-            ]
-        )
+        m = len(pairs)
+        found = pa.table([*map(pa.array, (pairs[:, 0], pairs[:, 1], shared.astype(np.int64), pairs[:, 2])), pa.nulls(m, pa.int64()), pa.nulls(m, _FOUND.field("keys").type)], schema=_FOUND)
+        long = rows[np.repeat(lengths > long_list, lengths)]
+        if not len(long):
+            return found
+        return pa.concat_tables([found, _in_spots(long, table.column("bucket")[0].as_py() << 32, measure, depth)])
 
     return look
 
 
-def _spots(long: DataFrame, measure: Measure, depth: int) -> tuple[DataFrame, DataFrame]:
-    """The ties of resolved spots, ``a, b``, and the places in the others, ``key, gid``."""
-    size_class = measure.size_class(F.col("n"))
-    spread = long.select("key", "gid", "n", F.explode(F.array(size_class, size_class + 1)).alias("class"))
-    spread = spread.withColumn("spot", F.struct("key", "class"))
-    hubs = spread.groupBy("spot").agg(F.min("gid").alias("hub"))
-    placed = staged(lookup_join(spread, hubs, "spot"), "places")
-    beside = F.struct("gid", "hub", "class")
-    common = placed.groupBy(beside.alias("beside")).agg(F.count(F.lit(1)).alias("common"))
-    with_common = lookup_join(placed.withColumn("beside", beside), common, "beside")
-    needed = measure.needed_of(F.col("n"))
-    tied = (F.col("gid") == F.col("hub")) | (F.col("common") >= needed - (depth - 1))
-    judged = staged(with_common.select("spot", "gid", "hub", (needed <= depth).alias("final"), tied.alias("tied")), "ties")
-    resolved = judged.groupBy("spot").agg((F.bool_and("tied") | F.bool_or("final")).alias("resolved"))
-    told = staged(lookup_join(judged.select("spot", "gid", "hub"), resolved, "spot"), "spots")
-    discard(placed, judged)
-    ties = told.where(F.col("resolved") & (F.col("gid") != F.col("hub"))).select(F.col("gid").alias("a"), F.col("hub").alias("b"))
-    return ties.distinct(), told.where("not resolved").select(F.col("spot.key").alias("key"), "gid").distinct()
+def _judged(long: DataFrame, measure: Measure, depth: int) -> tuple[DataFrame, DataFrame]:
+    """Ties ``a, b`` of groups that share enough with their hub, and ``gid, keys`` of the places in lists where some do not.
+
+    A group and its hub share no more keys than a prefix has tokens, and a hub
+    is in all of its lists, so all arrays here are that short.
+    """
+    common = long.groupBy("a", "b", "class").agg(F.flatten(F.collect_list("keys")).alias("keys"), F.max("n").alias("n"))
+    common = staged(common, "common")
+    enough = F.size("keys") >= measure.needed_of(F.col("n")) - (depth - 1)
+    apart = F.col("a") != F.col("b")
+    ties = common.where(apart & enough).select("a", "b").distinct()
+    hub = F.struct("b", "class")
+    few = common.where(apart & ~enough).select(hub.alias("hub"), F.explode("keys").alias("key"))
+    open_keys = few.groupBy("hub").agg(F.collect_set("key").alias("open"))
+    placed = lookup_join(common.select("a", "keys", hub.alias("hub")), open_keys, "hub")
+    open_places = placed.select(F.col("a").alias("gid"), F.array_intersect("keys", "open").alias("keys"))
+    return ties, open_places.where(F.size("keys") > 0)
 
 
 def _bits(postings: int) -> int:
@@ -278,27 +365,31 @@ def candidates(groups: DataFrame, percent: int, hot: np.ndarray, long_list: int
     rows, asked, bits = groups, None, 0
     for depth, listing in enumerate((single, double, triple), start=1):
         if asked is not None:
-            keys = asked.groupBy("gid").agg(F.collect_set("key").alias("keys"))
+            keys = asked.groupBy("gid").agg(F.array_distinct(F.flatten(F.collect_list("keys"))).alias("keys"))
             once = groups.join(asked.select("gid").distinct(), "gid", "left_semi").dropDuplicates(["gid"])
             rows = staged(once.join(keys, "gid"), "refined")
         if not bits:
             bits = _bits(groups.agg(F.sum(measure.prefix_of(F.col("n")))).head()[0] or 0)
         dealt = _dealt(rows, listing, hot if depth == 1 else hot[:0], bits)
-        look = _looked_through(measure, bits, long_list)
+        look = _looked_through(measure, depth, long_list)
         lists = staged(dealt.groupBy("bucket").applyInArrow(look, _FOUND_KINDS), "lists")
-        enough = measure.needed_of(F.col("least")) if depth == 1 else F.lit(1)
-        pairs = lists.where(F.col("b").isNotNull()).groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("least").alias("least"))
-        found.append(pairs.where(F.col("shared") >= enough).select("a", "b"))
-        long = lists.where(F.col("b").isNull()).select("key", F.col("a").alias("gid"), F.col("n").cast("bigint").alias("n"))
+        enough = measure.needed_of(F.col("n")) if depth == 1 else F.lit(1)
+        pairs = lists.where(F.col("keys").isNull())
+        long = lists.where(F.col("keys").isNotNull())
         if depth == 1 and len(hot):
-            long = long.unionByName(_hot_lists(rows, hot, bits))
+            common = staged(_hot_rows(rows, hot, bits, measure), "hot")
+            pairs = pairs.unionByName(common.where(F.col("keys").isNull()))
+            long = long.unionByName(common.where(F.col("keys").isNotNull()))
+        pairs = pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("n").alias("n"))
+        found.append(pairs.where((F.col("shared") >= enough) & (F.col("a") != F.col("b"))).select("a", "b"))
         if long.isEmpty():
             break
-        ties, open_places = _spots(long, measure, depth)
+        ties, open_places = _judged(long, measure, depth)
         found.append(ties)
-        asked = open_places if asked is None else asked.unionByName(open_places)
+        open_places = staged(open_places, "open")
         if open_places.isEmpty():
             break
+        asked = open_places if asked is None else asked.unionByName(open_places)
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
