@@ -7,8 +7,9 @@ to be harmless are left out whatever their ratio: digests by their length,
 UUIDs, dates and numbers.
 
 Spans are (kind, start, end) in code points, the end exclusive. The base kinds
-are matched leftmost and without overlap per kind; ``random`` spans are added
-where no base span overlaps.
+are matched leftmost and without overlap per kind. ``random`` spans never overlap
+them: where a base span covers a part of a run, the parts that remain are
+tested, without the signs at their ends.
 
 Cases: a NULL or empty text has no spans; rows given twice are scanned twice;
 texts are scanned whole, in time proportional to their length; other columns
@@ -44,11 +45,14 @@ _HEX = re.compile(r"[0-9a-f]+")
 MIN_VALUE, MIN_ACCESS, MIN_HEX = 12, 18, 16
 
 _KEYWORDS = ("passw", "secret", "token", "api")
-#: Every access, hex and random span lies inside such a run; a random span is a whole one.
+#: Characters of a run that is tested, at least.
+MIN_RUN = 16
+#: Every access, hex and random span lies inside such a run.
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
 #: Digests of these lengths (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512) are identifiers.
 _DIGEST_LENGTHS = frozenset((32, 40, 56, 64, 96, 128))
 _ANY_HEX = re.compile(r"[0-9A-Fa-f]+")
+_SIGNS = "+/_=-"
 _UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 #: Numbers and dates, and lines of separators.
 _NUMBER = re.compile(r"(?:[0-9]++(?:T[0-9]++)?+Z?+|[+/_=-]++)++")
@@ -92,14 +96,34 @@ def harmless(run: str, encoding: tiktoken.Encoding | None = None, max_ratio: flo
     return len(run) >= max_ratio * _tokens(run, encoding or vocabulary(VOCABULARY))
 
 
+def _uncovered(runs: Iterator[re.Match], base: list[Span]) -> Iterator[tuple[int, int, bool]]:
+    """The parts of runs outside the base spans, in order, and whether a part is a whole run."""
+    covers = sorted((start, end) for start, _, end in base)
+    k, reach = 0, 0  # covers before k begin before the run; ``reach`` is the farthest end among them
+    for m in runs:
+        at, end = m.span()
+        while k < len(covers) and covers[k][0] < at:
+            reach, k = max(reach, covers[k][1]), k + 1
+        at = max(at, reach)
+        while k < len(covers) and covers[k][0] < end:
+            if covers[k][0] > at:
+                yield at, covers[k][0], False
+            reach, k = max(reach, covers[k][1]), k + 1
+            at = max(at, reach)
+        if at < end:
+            yield at, end, at == m.start()
+
+
 def random_spans(text: str, base: list[Span], encoding: tiktoken.Encoding, max_ratio: float) -> list[Span]:
-    """Runs with few characters per token that no base span overlaps."""
+    """Runs, or what base spans leave of them, with few characters per token."""
     found = []
-    for m in _RUN.finditer(text):
-        if any(s < m.end() and m.start() < e for s, _, e in base):
-            continue
-        if not harmless(m[0], encoding, max_ratio):
-            found.append((m.start(), "random", m.end()))
+    for start, end, whole in _uncovered(_RUN.finditer(text), base):
+        part = text[start:end]
+        if not whole:
+            start += len(part) - len(part.lstrip(_SIGNS))
+            part = part.strip(_SIGNS)
+        if len(part) >= MIN_RUN and not harmless(part, encoding, max_ratio):
+            found.append((start, "random", start + len(part)))
     return found
 
 

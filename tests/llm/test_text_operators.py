@@ -4,6 +4,8 @@ import hashlib
 import itertools
 import random
 import re
+import string
+import time
 import zlib
 from collections import Counter
 
@@ -323,3 +325,50 @@ def test_decoding_finds_the_best_segmentation():
 def test_spans_at_the_queries(spark, small):
     assert queries.op8_secret_scan(spark, small).count() == queries.op9_pii(spark, small).count() == 200
     assert queries.op7_quality_rules(spark, small).where(F.col("kept")).count() > 100
+
+
+def test_parts_of_runs_outside_base_spans_are_tested():
+    encoding = secret_scan.vocabulary(secret_scan.VOCABULARY)
+    text = "deadbeefdeadbeef/Zq8Xv2Lm9Tr4Kw7Yp1NcQ5sB8dGh2Jk6 and Zq8Xv2Lm9Tr4Kw7Y/deadbeefdeadbeef/short"
+    base = secret_scan.base_spans(text)
+    found = secret_scan.random_spans(text, base, encoding, secret_scan.MAX_RATIO)
+    assert [text[a:b] for a, _, b in found] == ["Zq8Xv2Lm9Tr4Kw7Yp1NcQ5sB8dGh2Jk6", "Zq8Xv2Lm9Tr4Kw7Y"]
+
+
+def test_uncovered_parts_equal_brute_force():
+    rnd = random.Random(3)
+    for _ in range(2000):
+        text = "".join(rnd.choice("ab .0-") for _ in range(rnd.randint(0, 60)))
+        base = [(a, "hex", a + rnd.randint(1, 15)) for a in (rnd.randint(0, 60) for _ in range(rnd.randint(0, 4)))]
+        runs = list(re.finditer(r"[ab0-]{3,}", text))
+        got = {i for a, b, _ in secret_scan._uncovered(iter(runs), base) for i in range(a, b)}
+        assert got == {i for m in runs for i in range(*m.span())} - {i for a, _, b in base for i in range(a, b)}
+
+
+def test_time_grows_with_the_length():
+    encoding = secret_scan.vocabulary(secret_scan.VOCABULARY)
+    text = " ".join(f"{k:016x}" for k in range(10**15, 10**15 + 300_000))
+    begin = time.perf_counter()
+    base = secret_scan.base_spans(text)
+    assert len(base) == 300_000 and secret_scan.random_spans(text, base, encoding, secret_scan.MAX_RATIO) == []
+    assert time.perf_counter() - begin < 20
+
+
+def test_planted_secrets_are_found(spark, medium):
+    """Random keys of usual alphabets and lengths, in the middle of the documents' own texts."""
+    rnd = random.Random(5)
+    alphabets = [string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/"]
+    rows, planted = [], {}
+    for r in spark.read.parquet(f"{medium}/documents.parquet").select("doc_id", "text").limit(400).collect():
+        key = "".join(rnd.choice(rnd.choice(alphabets)) for _ in range(rnd.choice([20, 24, 32, 40, 64])))
+        words = r.text.split(" ")
+        at = rnd.randint(0, len(words))
+        head = "".join(w + " " for w in words[:at])
+        planted[r.doc_id] = (len(head), len(head) + len(key))
+        rows.append((r.doc_id, head + key + "".join(" " + w for w in words[at:])))
+    found = secret_scan.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    hit = 0
+    for r in found:
+        spans = [(int(a), int(b)) for _, a, b in (x.split(":") for x in r.spans.split(",") if x)]
+        hit += any(a < planted[r.doc_id][1] and planted[r.doc_id][0] < b for a, b in spans)
+    assert hit / len(rows) >= 0.9
