@@ -3,18 +3,24 @@
 Sources in code point order, NULL last, weigh 1, 2, 3, repeating. Targets share
 all words by weight; a source that would exceed ``MAX_REPEAT`` times its size
 stops there and the others share the rest. Every document of a source is then
-wanted ``target / size`` times: the whole part as full copies, the rest as a
-fractional copy.
+wanted ``target / size`` times, its *share*, of which a part is a fraction of a
+copy.
 
-Fractional copies are rounded in pairs: a document, and the rest of its bucket
+Fractional copies are rounded in pairs: a document, and the rest of its group
 taken together. The two exchange words at random, without bias, until the
-document is taken whole or not at all, or the rest is; the words of the pair
-stay the same, and the rest shares its gain or loss evenly. Documents go from
-the largest to the smallest, so what is open in the end is a small one. Buckets
-hold about ``BUCKET`` documents of all sizes; each leaves at most one fraction,
-and the fractions are again dealt into buckets, up a tree, until one is left,
-which is rounded by itself. So the words taken from a source differ from its
-target by less than one document, as a rule one of the smallest.
+document's copies are a whole number, the next one below or above its share; the
+words of the pair stay the same, and the rest shares its gain or loss evenly,
+between no copy and ``MAX_REPEAT`` of each. Every document is taken as often as
+its share says on average. Documents go from
+the largest to the smallest. First the ``HEAD`` largest documents of a source
+are paired with all the rest of it, which only its two sums stand for, so a
+document that is large against its bucket finds a partner that can bear it.
+The others are dealt into buckets of about ``BUCKET`` of all sizes; each leaves
+at most one fraction, and the fractions are again dealt into buckets, up a tree,
+until one is left, which is rounded by itself. So the words taken from a source
+differ from its target by less than the document that is left, one of the
+smallest of the last bucket, unless a document is so large that all others
+together cannot bear its fraction.
 
 Everything is DataFrame functions; randomness is a hash of the position and the
 seed, so reruns agree. No task holds more than a bucket.
@@ -27,14 +33,19 @@ whatever their names.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockroom.operators.numbering import numbered
-from stockroom.staging import fresh, staged
+from stockroom.session import split_hot_keys
+from stockroom.staging import staged
 
 MAX_REPEAT = 3
 BUCKET = 64
+#: The largest documents of a source, which are rounded before the others.
+HEAD = 64
 WEIGHTS = 3
 
 
@@ -77,10 +88,12 @@ def _uniform(*what: Column) -> Column:
 
 #: A document in a bucket: its words, its place, the words that are still wanted of it, and its random number.
 _DOC = "struct<size: bigint, place: bigint, wanted: double, random: double>"
-_DECISIONS = "array<struct<place: bigint, extra: int>>"
+_DECISIONS = "array<struct<place: bigint, copies: int>>"
 #: What is left of a bucket: the words of the documents to come, and those wanted of them. Their share
 #: is scale * (share at first) + shift, for every one of them alike.
 _STATE = f"struct<size: bigint, wanted: double, scale: double, shift: double, open: {_DOC}, decided: {_DECISIONS}>"
+#: A share this close to a whole number is one.
+_CLOSE = 1e-9
 
 
 def _document(size: Column, place: Column, wanted: Column, random: Column) -> Column:
@@ -92,48 +105,67 @@ def _pair(state: Column, doc: Column) -> Column:
     """Let a document exchange words with the rest of its bucket."""
     size = doc["size"]
     share = state["scale"] * (doc["wanted"] / size) + state["shift"]
-    wanted = F.when(share <= 0, 0.0).when(share >= 1, size).otherwise(share * size).cast("double")
+    share = F.least(F.greatest(share, F.lit(0.0)), F.lit(float(MAX_REPEAT)))
+    below = F.floor(share + _CLOSE).cast("double")
+    settled = share - below <= _CLOSE
+    wanted = F.when(settled, below * size).otherwise(share * size)
     rest_size = state["size"] - size
-    rest = F.least(F.greatest(state["wanted"] - wanted, F.lit(0.0)), rest_size.cast("double"))
-    room = rest_size - rest
-    settled = (wanted <= 0) | (wanted >= size)
-    alone = ~settled & ((rest <= 0) | (room <= 0))  # the last one, or all the others are settled
-    give, take = F.least(wanted, room), F.least(rest, size - wanted)
+    rest = F.least(F.greatest(state["wanted"] - wanted, F.lit(0.0)), (rest_size * MAX_REPEAT).cast("double"))
+    room = rest_size * MAX_REPEAT - rest
+    more, less = (below + 1) * size - wanted, wanted - below * size
+    take, give = F.least(rest, more), F.least(room, less)
+    alone = ~settled & ((rest <= 0) | (room <= 0))  # the last one, or the others can give or take no more
     gains = ~settled & ~alone & (doc["random"] * (give + take) < give)
     loses = ~settled & ~alone & ~gains
-    whole = F.when(settled, wanted >= size).otherwise(gains & (take == size - wanted))
-    nothing = F.when(settled, wanted <= 0).otherwise(loses & (give == wanted))
+    up, down = gains & (take == more), settled | (loses & (give == less))
     after = F.when(gains, wanted + take).when(loses, wanted - give).otherwise(wanted)
     # the rest has lost the part `lost` of its words, or won the part `won` of its room
     lost = F.when(gains, F.when(take == rest, F.lit(1.0)).otherwise(take / rest)).otherwise(F.lit(0.0))
     won = F.when(loses, F.when(give == room, F.lit(1.0)).otherwise(give / room)).otherwise(F.lit(0.0))
     keep = (1 - lost) * (1 - won)
-    decision = F.array(F.struct(doc["place"].alias("place"), whole.cast("int").alias("extra"))).cast(_DECISIONS)
-    done = whole | nothing
+    whole = (below + up.cast("double")).cast("int")
+    decision = F.array(F.struct(doc["place"].alias("place"), whole.alias("copies"))).cast(_DECISIONS)
+    done = up | down
     return F.struct(
         rest_size.alias("size"),
         (rest * (1 - lost) + room * won).alias("wanted"),
         (state["scale"] * keep).alias("scale"),
-        (state["shift"] * keep + won).alias("shift"),
+        (state["shift"] * keep + won * MAX_REPEAT).alias("shift"),
         F.when(done, state["open"]).otherwise(_document(size, doc["place"], after, doc["random"])).alias("open"),
         F.when(done, F.concat(state["decided"], decision)).otherwise(state["decided"]).alias("decided"),
     ).cast(_STATE)
 
 
+def _state(size: Column, wanted: Column) -> Column:
+    return F.struct(
+        size.cast("bigint").alias("size"),
+        wanted.cast("double").alias("wanted"),
+        F.lit(1.0).alias("scale"),
+        F.lit(0.0).alias("shift"),
+        F.lit(None).cast(_DOC).alias("open"),
+        F.array().cast(_DECISIONS).alias("decided"),
+    ).cast(_STATE)
+
+
+def _head(fractions: DataFrame) -> DataFrame:
+    """Round the ``HEAD`` largest of ``fractions(first, source_size, target, doc)`` against all the rest of their source.
+
+    Returns ``first, share, open, decided``: the share of every document of the rest, the same for all.
+    """
+    docs = F.reverse(F.array_sort(F.collect_list("doc"))).alias("docs")
+    heads = fractions.groupBy("first").agg(docs, F.max("source_size").alias("size"), F.max("target").alias("target"))
+    state = heads.select("first", F.aggregate("docs", _state(F.col("size"), F.col("target")), _pair).alias("s"))
+    share = F.when(F.col("s.size") > 0, F.col("s.wanted") / F.col("s.size"))
+    return state.select("first", share.alias("share"), "s.open", "s.decided")
+
+
 def _round(fractions: DataFrame) -> DataFrame:
     """Round inside the buckets of ``fractions(first, buckets, bucket, doc)``.
 
     Returns ``first, buckets, bucket, open, decided``; a bucket holds ``BUCKET`` rows at most.
     """
     total = lambda field, zero: F.aggregate("docs", zero, lambda s, d: s + d[field])
-    start = F.struct(
-        total("size", F.lit(0).cast("bigint")).alias("size"),
-        total("wanted", F.lit(0.0)).alias("wanted"),
-        F.lit(1.0).alias("scale"),
-        F.lit(0.0).alias("shift"),
-        F.lit(None).cast(_DOC).alias("open"),
-        F.array().cast(_DECISIONS).alias("decided"),
-    ).cast(_STATE)
+    start = _state(total("size", F.lit(0).cast("bigint")), total("wanted", F.lit(0.0)))
     return (
         fractions.groupBy("first", "buckets", "bucket")
         .agg(F.reverse(F.array_sort(F.collect_list("doc"))).alias("docs"))
@@ -142,48 +174,54 @@ def _round(fractions: DataFrame) -> DataFrame:
     )
 
 
+def _itself(left: DataFrame) -> DataFrame:
+    """``place, copies`` of fractions that nothing is left to pair with."""
+    share = F.col("open.wanted") / F.col("open.size")
+    copies = F.floor(share) + (F.col("open.random") < share - F.floor(share)).cast("int")
+    return left.select("open.place", copies.cast("int").alias("copies"))
+
+
 def _buckets(rows: Column) -> Column:
     return F.ceil(rows / BUCKET).cast("bigint")
 
 
-def copies(rows: DataFrame, seed: int = 7) -> DataFrame:
-    """How often each row of ``rows(doc_id, source, size, ...)`` is taken.
+def _placed(rows: DataFrame, kept: str | None = None) -> DataFrame:
+    """``rows(doc_id, source, size, print)`` with ``_at``, their place by source and size; ``kept`` is carried along."""
+    order = [F.col("source").asc_nulls_last(), F.col("size"), F.col("doc_id"), F.col("print")]
+    return numbered(rows.select("doc_id", "source", "size", "print", *([kept] if kept else [])), order, "_at")
+
+
+def copies(placed: DataFrame, seed: int = 7) -> DataFrame:
+    """How often each row of ``placed(_at, doc_id, source, size, ...)`` is taken.
 
     Adds ``source_size, target, copies``; the rows come back with their columns.
     """
-    spark = rows.sparkSession
-    order = [F.col("source").asc_nulls_last(), F.col("size"), *(F.col(c) for c in rows.columns if c not in ("source", "size"))]
-    placed = numbered(rows, order, "_at")
     found = staged(targets(placed), "targets")
     # a row per source: broadcast by Spark where that is small
-    wanted = F.col("target") / F.col("source_size")
-    full = F.when(F.col("source_size") > 0, F.floor(wanted)).otherwise(F.lit(0)).cast("int")
-    joined = placed.join(
-        found.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))
-    ).drop("_s").select("*", full.alias("_full"), F.coalesce(wanted - full, F.lit(0.0)).alias("_part"))
+    joined = placed.join(found.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     rows_with = staged(joined, "wanted")
-    open_rows = rows_with.where((F.col("_part") > 0) & (F.col("size") > 0)).select(
+    place = F.col("_at") - F.col("first")
+    fractions = rows_with.where((F.col("target") > 0) & (F.col("size") > 0))
+    random = _uniform(F.lit(seed), F.lit(0), F.col("doc_id"), F.col("_at"))
+    largest = place >= F.col("rows") - HEAD
+    share = F.col("target") / F.col("source_size")
+    doc = _document(F.col("size"), F.col("_at"), share * F.col("size"), random)
+    heads = staged(_head(fractions.where(largest).select("first", "source_size", "target", doc.alias("doc"))), "heads")
+    parts = [heads.select(F.explode("decided").alias("d")).select("d.*"), _itself(heads.where("open is not null"))]
+    open_rows = fractions.where(~largest).join(heads.select("first", "share"), "first").select(
         "first",
         _buckets(F.col("rows")).alias("buckets"),
-        ((F.col("_at") - F.col("first")) % _buckets(F.col("rows"))).alias("bucket"),
-        _document(
-            F.col("size"),
-            F.col("_at"),
-            F.col("_part") * F.col("size"),
-            _uniform(F.lit(seed), F.lit(0), F.col("doc_id"), F.col("_at")),
-        ).alias("doc"),
+        (place % _buckets(F.col("rows"))).alias("bucket"),
+        _document(F.col("size"), F.col("_at"), F.col("share") * F.col("size"), random).alias("doc"),
     )
-    decided, level = None, 0
+    level = 0
     while True:
         level += 1
         result = staged(_round(open_rows), "rounding")
-        some = result.select(F.explode("decided").alias("d")).select("d.place", "d.extra")
-        decided = some if decided is None else decided.unionByName(some)
+        parts.append(result.select(F.explode("decided").alias("d")).select("d.*"))
         left = result.where(F.col("open").isNotNull())
         if left.agg(F.max("buckets")).collect()[0][0] in (None, 1):
-            # one fraction per source is left: it is rounded by itself
-            whole = F.col("open.random") * F.col("open.size") < F.col("open.wanted")
-            decided = decided.unionByName(left.select("open.place", whole.cast("int").alias("extra")))
+            parts.append(_itself(left))  # one fraction per source
             break
         open_rows = left.select(
             "first",
@@ -196,41 +234,28 @@ def copies(rows: DataFrame, seed: int = 7) -> DataFrame:
                 _uniform(F.lit(seed), F.lit(level), F.col("open.place")),
             ).alias("doc"),
         )
-    result = rows_with.join(decided.withColumnRenamed("place", "_place"), F.col("_at") == F.col("_place"), "left")
-    return result.withColumn("copies", (F.col("_full") + F.coalesce("extra", F.lit(0))).cast("int")).drop(
-        "_at", "_place", "extra", "_full", "_part", "first", "rows"
-    )
+    decided = reduce(DataFrame.unionByName, parts).withColumnRenamed("place", "_place")
+    result = rows_with.join(decided, F.col("_at") == F.col("_place"), "left")
+    # rows without words are rounded down
+    whole = F.coalesce("copies", F.floor(F.col("target") / F.nullif("source_size", F.lit(0))), F.lit(0)).cast("int")
+    return result.withColumn("copies", whole).drop("_place", "first", "rows")
 
 
 def report(docs: DataFrame, seed: int = 7) -> DataFrame:
     """``doc_id, size, source_size, target, taken`` of every document."""
+    split_hot_keys(docs.sparkSession)
     rows = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), F.xxhash64("text").alias("print"))
-    return copies(rows, seed).select(
+    return copies(_placed(rows), seed).select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken")
     )
 
 
 def mix(docs: DataFrame, seed: int = 7) -> DataFrame:
     """The mixed corpus: each row of ``docs`` as often as it is taken."""
-    mark, turn, times = fresh(docs, "_print"), fresh(docs, "_turn"), fresh(docs, "_copies")
-    rows = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), F.xxhash64("text").alias("print"))
-    per_row = copies(rows, seed).where(F.col("copies") > 0)
-    # rows alike in id, source and text are told apart by their turn only
-    alike = Window.partitionBy("doc_id", "source", "print")
-    per_row = per_row.select("doc_id", "source", "print", "copies").withColumn(
-        "turn", F.row_number().over(alike.orderBy(F.col("copies").desc()))
-    ).alias("m")
-    marked = docs.withColumn(mark, F.xxhash64("text"))
-    one = Window.partitionBy("doc_id", "source", mark).orderBy(mark)
-    marked = marked.withColumn(turn, F.row_number().over(one)).alias("d")
-    same = (
-        F.col("d.doc_id").eqNullSafe(F.col("m.doc_id"))
-        & F.col("d.source").eqNullSafe(F.col("m.source"))
-        & (F.col(f"d.{mark}") == F.col("m.print"))
-        & (F.col(f"d.{turn}") == F.col("m.turn"))
-    )
-    taken = marked.join(per_row, same).select(
-        *(F.col(f"d.{c}").alias(c) for c in docs.columns), F.col("m.copies").alias(times)
-    )
-    again = F.explode(F.sequence(F.lit(1), F.col(times)))
-    return taken.select(*docs.columns, again.alias(turn)).drop(turn)
+    split_hot_keys(docs.sparkSession)
+    whole = F.struct(*(F.col(c) for c in docs.columns)).alias("_row")
+    rows = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), F.xxhash64("text").alias("print"), whole)
+    placed = _placed(rows, "_row")
+    taken = copies(placed.drop("_row"), seed).where(F.col("copies") > 0).select("_at", "copies")
+    again = placed.select("_at", "_row").join(taken, "_at").select("_row", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return again.select("_row.*")
