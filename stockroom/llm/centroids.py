@@ -246,7 +246,7 @@ def starts(vectors: DataFrame, k: int) -> np.ndarray:
     """The vectors whose ids have the smallest hashes."""
     order = F.sha2(F.concat(F.lit(SEED), F.col("vec_id").cast("string")), 256)
     first = vectors.orderBy(order.asc_nulls_last(), "vector").select("vector").limit(k).collect()
-    return whole(np.array([r["vector"] for r in first], dtype=np.float64).reshape(len(first), -1))
+    return whole(np.array([r["vector"] for r in first], dtype=np.float64))
 
 
 def moved(centroids: np.ndarray, totals: list[list[int]]) -> np.ndarray:

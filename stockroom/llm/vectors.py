@@ -3,24 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stockroom.staging import fresh
 
 
-class Vectors(NamedTuple):
-    """The rows of a batch that hold vectors of one length, and where they stand in the batch."""
-
-    rows: np.ndarray
-    values: np.ndarray  # one row each
-
-
 def finite(vector: Column) -> Column:
     """Is the vector there, without NULL, NaN and infinite entries?"""
     limit = F.lit(float("inf"))
@@ -37,7 +28,7 @@ def matrix(column: pa.ListArray, width: int) -> np.ndarray:
     """A list column, whose rows all have ``width`` entries, as a matrix."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), width)
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
@@ -55,10 +46,6 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
         yield pa.concat_batches(kept)
 
 
-def floats(data: bytes, width: int, kind: str = "<f8") -> np.ndarray:
-    return np.frombuffer(data, dtype=kind).reshape(-1, width)
-
-
 def one_length(table: DataFrame) -> tuple[DataFrame, int]:
     """The rows with the commonest length of vector, the longer one if lengths tie, and that length."""
     size = fresh(table, "_size")
@@ -81,7 +68,3 @@ def part_rows(values: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values)], ["at", "value"]
     )
-
-
-def empty_like(column: pa.Array) -> bool:
-    return not len(column) or pc.all(pc.is_null(column)).as_py()

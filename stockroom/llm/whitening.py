@@ -22,8 +22,8 @@ asked for have converged; then a run from another start, orthogonal to V, looks
 for what the first could not see (equal eigenvalues). There are never more steps
 than dimensions.
 
-Cases: rows with a NULL vector, a NULL entry or one that is not finite are left
-out. Rows whose vector has another length than most are left out too (of two
+Cases: rows with a NULL or empty vector, a NULL entry or one that is not finite
+are left out. Rows whose vector has another length than most are left out too (of two
 lengths as common the longer one counts). NULL and repeated ids are kept as they
 are, repeated rows count as often as they come. Components whose eigenvalue is 0
 within rounding (equal rows, fewer rows than dimensions) are not returned, so
@@ -275,7 +275,7 @@ def fit(blocks: DataFrame, width: int, wanted: int = COMPONENTS) -> tuple[Moment
 
 def report(embeddings: DataFrame, wanted: int = COMPONENTS) -> DataFrame:
     """``vec_id, component, n, deviation, whitened, explained, identity_error`` of every row and component."""
-    usable, width = one_length(as_vectors(embeddings).where(finite(F.col("vector"))))
+    usable, width = one_length(as_vectors(embeddings).where(finite(F.col("vector")) & (F.size("vector") > 0)))
     blocks = staged(blocks_of(usable, width), "whitening")
     known, found, error = fit(blocks, width, wanted)
     n, kept = known.n, len(found.values)
