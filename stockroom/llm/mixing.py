@@ -33,6 +33,7 @@ whatever their names.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -101,39 +102,69 @@ def _document(size: Column, place: Column, wanted: Column, random: Column) -> Co
     return F.struct(*named).cast(_DOC)
 
 
+def _with(values: dict[str, Column], body: Callable[[Column], Column]) -> Column:
+    """``body`` of some values, each computed once however often ``body`` uses it."""
+    named = F.struct(*(value.alias(name) for name, value in values.items()))
+    return F.transform(F.array(named), body)[0]
+
+
 def _pair(state: Column, doc: Column) -> Column:
     """Let a document exchange words with the rest of its bucket."""
-    size = doc["size"]
+    size, rest_size = doc["size"], state["size"] - doc["size"]
     share = state["scale"] * (doc["wanted"] / size) + state["shift"]
     share = F.least(F.greatest(share, F.lit(0.0)), F.lit(float(MAX_REPEAT)))
-    below = F.floor(share + _CLOSE).cast("double")
-    settled = share - below <= _CLOSE
-    wanted = F.when(settled, below * size).otherwise(share * size)
-    rest_size = state["size"] - size
-    rest = F.least(F.greatest(state["wanted"] - wanted, F.lit(0.0)), (rest_size * MAX_REPEAT).cast("double"))
-    room = rest_size * MAX_REPEAT - rest
-    more, less = (below + 1) * size - wanted, wanted - below * size
-    take, give = F.least(rest, more), F.least(room, less)
-    alone = ~settled & ((rest <= 0) | (room <= 0))  # the last one, or the others can give or take no more
-    gains = ~settled & ~alone & (doc["random"] * (give + take) < give)
-    loses = ~settled & ~alone & ~gains
-    up, down = gains & (take == more), settled | (loses & (give == less))
-    after = F.when(gains, wanted + take).when(loses, wanted - give).otherwise(wanted)
-    # the rest has lost the part `lost` of its words, or won the part `won` of its room
-    lost = F.when(gains, F.when(take == rest, F.lit(1.0)).otherwise(take / rest)).otherwise(F.lit(0.0))
-    won = F.when(loses, F.when(give == room, F.lit(1.0)).otherwise(give / room)).otherwise(F.lit(0.0))
-    keep = (1 - lost) * (1 - won)
-    whole = (below + up.cast("double")).cast("int")
-    decision = F.array(F.struct(doc["place"].alias("place"), whole.alias("copies"))).cast(_DECISIONS)
-    done = up | down
-    return F.struct(
-        rest_size.alias("size"),
-        (rest * (1 - lost) + room * won).alias("wanted"),
-        (state["scale"] * keep).alias("scale"),
-        (state["shift"] * keep + won * MAX_REPEAT).alias("shift"),
-        F.when(done, state["open"]).otherwise(_document(size, doc["place"], after, doc["random"])).alias("open"),
-        F.when(done, F.concat(state["decided"], decision)).otherwise(state["decided"]).alias("decided"),
-    ).cast(_STATE)
+
+    def places(v: Column) -> Column:
+        below = F.floor(v["share"] + _CLOSE).cast("double")
+        return _with({"share": v["share"], "below": below, "settled": v["share"] - below <= _CLOSE}, sums)
+
+    def sums(v: Column) -> Column:
+        wanted = F.when(v["settled"], v["below"] * size).otherwise(v["share"] * size)
+        return _with({"below": v["below"], "settled": v["settled"], "wanted": wanted}, rests)
+
+    def rests(v: Column) -> Column:
+        rest = F.least(F.greatest(state["wanted"] - v["wanted"], F.lit(0.0)), (rest_size * MAX_REPEAT).cast("double"))
+        kept = {c: v[c] for c in ("below", "settled", "wanted")}
+        more, less = (v["below"] + 1) * size - v["wanted"], v["wanted"] - v["below"] * size
+        return _with({**kept, "rest": rest, "more": more, "less": less}, moves)
+
+    def moves(v: Column) -> Column:
+        room = rest_size * MAX_REPEAT - v["rest"]
+        kept = {c: v[c] for c in ("below", "settled", "wanted", "rest", "more", "less")}
+        return _with({**kept, "room": room, "take": F.least(v["rest"], v["more"]), "give": F.least(room, v["less"])}, draws)
+
+    def draws(v: Column) -> Column:
+        alone = (v["rest"] <= 0) | (v["room"] <= 0)  # the last one, or the others can give or take no more
+        free = ~v["settled"] & ~alone
+        up = doc["random"] * (v["give"] + v["take"]) < v["give"]
+        kept = {c: v[c] for c in ("below", "settled", "wanted", "rest", "more", "less", "room", "take", "give")}
+        return _with({**kept, "gains": free & up, "loses": free & ~up}, ends)
+
+    def ends(v: Column) -> Column:
+        up = v["gains"] & (v["take"] == v["more"])
+        down = v["settled"] | (v["loses"] & (v["give"] == v["less"]))
+        after = F.when(v["gains"], v["wanted"] + v["take"]).when(v["loses"], v["wanted"] - v["give"]).otherwise(v["wanted"])
+        # the rest has lost the part `lost` of its words, or won the part `won` of its room
+        lost = F.when(v["gains"], F.when(v["take"] == v["rest"], F.lit(1.0)).otherwise(v["take"] / v["rest"]))
+        won = F.when(v["loses"], F.when(v["give"] == v["room"], F.lit(1.0)).otherwise(v["give"] / v["room"]))
+        zero = F.lit(0.0)
+        facts = {"up": up, "done": up | down, "after": after, "lost": F.coalesce(lost, zero), "won": F.coalesce(won, zero)}
+        return _with({**facts, **{c: v[c] for c in ("below", "rest", "room")}}, outcome)
+
+    def outcome(v: Column) -> Column:
+        keep = (1 - v["lost"]) * (1 - v["won"])
+        whole = (v["below"] + v["up"].cast("double")).cast("int")
+        decision = F.array(F.struct(doc["place"].alias("place"), whole.alias("copies"))).cast(_DECISIONS)
+        return F.struct(
+            rest_size.alias("size"),
+            (v["rest"] * (1 - v["lost"]) + v["room"] * v["won"]).alias("wanted"),
+            (state["scale"] * keep).alias("scale"),
+            (state["shift"] * keep + v["won"] * MAX_REPEAT).alias("shift"),
+            F.when(v["done"], state["open"]).otherwise(_document(size, doc["place"], v["after"], doc["random"])).alias("open"),
+            F.when(v["done"], F.concat(state["decided"], decision)).otherwise(state["decided"]).alias("decided"),
+        ).cast(_STATE)
+
+    return _with({"share": share}, places)
 
 
 def _state(size: Column, wanted: Column) -> Column:
