@@ -17,7 +17,8 @@ directories of a segment are binary columns, little-endian:
     chunks_0, more_0, ranks_0, chunks_1, more_1, ranks_1, chunks_2
 
 Cases: a NULL or empty text has only the end token; NULL ids come first; rows
-given twice are written twice, side by side; an empty table gives an empty
+given twice are written twice, side by side; rows of one id are ordered by text
+and divided among ranges where their texts begin differently; an empty table gives an empty
 folder; extra columns are not written.
 """
 
@@ -44,6 +45,10 @@ WIDTHS = (8, 8, 16)
 RANK_BITS = 512
 SEGMENT_TOKENS = 1 << 18
 RANGE_BYTES = 32 << 20
+OPENING_CHARS = 64
+
+#: Ranges whose first positions are broadcast: 16 bytes each; beyond them the join is Spark's to choose.
+BROADCAST_RANGES = 1 << 20
 
 _DTYPES = ("u1", "u1", "<u2")
 
@@ -231,7 +236,8 @@ def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end: int = E
     """Encode every whole text and write the ids to ``path`` in ascending ``doc_id`` order."""
     rows = docs.select(F.col("doc_id").cast("bigint"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text") + 8)).collect()[0][0] or 0
-    ranges = rows.repartitionByRange(size // RANGE_BYTES + 1, "doc_id").sortWithinPartitions("doc_id", "text")
+    opening = F.substring("text", 1, OPENING_CHARS)  # rows of one id are divided by how their texts begin
+    ranges = rows.repartitionByRange(size // RANGE_BYTES + 1, "doc_id", opening).sortWithinPartitions("doc_id", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, first, segment_no, waiting = encoder(vocabulary), 0, 0, 0
@@ -258,13 +264,15 @@ def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end: int = E
 def read(spark: SparkSession, path: str) -> DataFrame:
     """The segments, with ``start``: all tokens before the segment.
 
-    Only one sum per range meets in one place.
+    Only one sum per range meets in one place; its rows are counted before they are broadcast.
     """
     segments = spark.read.schema(SCHEMA).parquet(path)
     sizes = segments.groupBy("range_no").agg(F.sum("n_tokens").alias("size"))
     before = Window.orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("range_no", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("range_start"))
-    return segments.join(F.broadcast(starts), "range_no").withColumn("start", F.col("range_start") + F.col("first_token"))
+    if sizes.count() <= BROADCAST_RANGES:
+        starts = F.broadcast(starts)
+    return segments.join(starts, "range_no").withColumn("start", F.col("range_start") + F.col("first_token"))
 
 
 def documents(segments: DataFrame) -> DataFrame:
@@ -306,26 +314,38 @@ def _decoded(segments: DataFrame, ids: bool) -> DataFrame:
 def tokens_at(segments: DataFrame, positions: DataFrame) -> DataFrame:
     """``position, token`` for the asked positions (a column ``position``), without decoding segments.
 
-    Segments and positions meet on slices of ``SEGMENT_TOKENS`` positions.
+    Positions find their segment by its bounds alone, on slices of
+    ``SEGMENT_TOKENS`` positions, and are gathered per segment, each once with
+    its count, before they meet the levels; so a segment's levels move at most
+    once. A position that is NULL or outside gives no row.
     """
     piece = lambda c: F.floor(c / SEGMENT_TOKENS)
-    asked = positions.select(F.col("position").cast("bigint")).withColumn("slice", piece(F.col("position")))
-    held = segments.withColumn(
-        "slice", F.explode(F.sequence(piece(F.col("start")), piece(F.col("start") + F.col("n_tokens") - 1)))
-    )
+    place = ["range_no", "segment_no"]
+    asked = positions.select(F.col("position").cast("bigint")).groupBy("position").agg(F.count("*").alias("times"))
+    bounds = segments.select(
+        *place, "start", "n_tokens",
+        F.explode(F.sequence(piece(F.col("start")), piece(F.col("start") + F.col("n_tokens") - 1))).alias("slice"),
+    )
     inside = (F.col("position") >= F.col("start")) & (F.col("position") < F.col("start") + F.col("n_tokens"))
-    grouped = (
-        held.join(asked, "slice")
+    gathered = (
+        asked.withColumn("slice", piece(F.col("position")))
+        .join(bounds, "slice")
         .where(inside)
-        .groupBy("start")
-        .agg(F.collect_list("position").alias("positions"), *(F.first(c).alias(c) for c in _BINARY))
+        .groupBy(*place)
+        .agg(F.collect_list("position").alias("positions"), F.collect_list("times").alias("times"))
     )
-    schema = pa.schema([("position", pa.int64()), ("token", pa.int64())])
+    grouped = segments.select(*place, "start", *_BINARY).join(gathered, place).drop(*place)
+    schema = pa.schema([("position", pa.int64()), ("token", pa.int64()), ("times", pa.int64())])
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                found = [{"position": p, "token": token_at(row, p - row["start"])} for p in row["positions"]]
-                yield pa.RecordBatch.from_pylist(found, schema=schema)
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                tokens = [token_at(row, p - row["start"]) for p in row["positions"]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(v, pa.int64()) for v in (row["positions"], tokens, row["times"])], schema=schema
+                )
 
-    return map_in_arrow(grouped, pick, "position bigint, token bigint")
+    picked = map_in_arrow(grouped, pick, "position bigint, token bigint, times bigint")
+    repeated = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times")))
+    return picked.select("position", "token", repeated.alias("_time")).drop("_time")

@@ -120,6 +120,29 @@ def test_token_files_equal_the_library(spark, tiny):
         assert found == {p: every[p] for p in asked}
 
 
+def test_repeated_positions_and_rows_of_one_id(spark, tmp_path, monkeypatch):
+    """Small ranges and segments: rows of one id spread over ranges, and positions asked more than once."""
+    monkeypatch.setattr(token_files, "RANGE_BYTES", 500)
+    monkeypatch.setattr(token_files, "SEGMENT_TOKENS", 64)
+    texts = [f"{k:03} words of text {k * k}" for k in range(120)] + ["same text"] * 5 + [None]
+    rows = [(None if k % 3 else 7, t) for k, t in enumerate(texts)]
+    path = str(tmp_path / "ids")
+    token_files.write(spark.createDataFrame(rows, "doc_id bigint, text string"), path)
+    segments = token_files.read(spark, path)
+    assert segments.select("range_no").distinct().count() > 4
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, (r[1] or "").encode()))
+    known = token_files.encoder(token_files.VOCABULARY)
+    ids = [list(e) + [1] for e in known.encode([t or "" for _, t in ordered])]
+    every = [int(t) for part in ids for t in part]
+    starts = np.cumsum([0, *map(len, ids)])[:-1].tolist()
+    got = sorted(token_files.documents(segments).collect(), key=lambda r: r.start)
+    assert [(r.doc_id, r.start, r.ids) for r in got] == [(d, s, i) for (d, _), s, i in zip(ordered, starts, ids, strict=True)]
+    asked = [0, 0, 5, len(every) - 1, len(every), -1, None, 300, 300, 300]
+    places = spark.createDataFrame([(p,) for p in asked], "position bigint")
+    found = Counter((r.position, r.token) for r in token_files.tokens_at(segments, places).collect())
+    assert found == Counter((p, every[p]) for p in asked if p is not None and 0 <= p < len(every))
+
+
 @pytest.mark.parametrize("n", [0, 1, 511, 512, 513, 5000])
 def test_codes_give_every_token(n):
     rng = np.random.default_rng(n)
