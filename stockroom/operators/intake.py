@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from stockroom.operators import checkout, lookup, ownership, products, register, state, users
 from stockroom.sources.requests import refused_decisions, sound_requests
 from stockroom.sources.tables import Tables
+from stockroom.staging import staged
 
 #: What decides the requests of each kind; a scan is always answered.
 DECIDE: dict[str, Callable[[Tables, DataFrame], DataFrame]] = {
@@ -28,7 +29,12 @@ DECIDE: dict[str, Callable[[Tables, DataFrame], DataFrame]] = {
 
 
 def raw_decisions(tables: Tables, parsed: DataFrame, kind: str) -> DataFrame:
-    """``seq, accepted, status, reason`` for every line of ``parsed_requests``."""
+    """``seq, accepted, status, reason`` for every line of ``parsed_requests``.
+
+    The lines are parsed once: a condition on what parsing gives would otherwise
+    take the parsing along to wherever it is checked.
+    """
+    parsed = staged(parsed.drop("raw"), "parsed")
     columns = ["seq", "accepted", "status", "reason"]
     decided = DECIDE[kind](tables, sound_requests(parsed, kind)).select(*columns)
     return decided.unionByName(refused_decisions(parsed))

@@ -93,62 +93,90 @@ def stream_raw_requests(
 
 
 def parsed_requests(lines: DataFrame, kind: str, column: str = "raw") -> DataFrame:
-    """The columns of the kind, defaults filled in, with ``errors``, NULL where all is right, and the ``raw`` line."""
+    """The columns of the kind, defaults filled in, with ``errors``, NULL where all is right, and the ``raw`` line.
+
+    The line is parsed, its fields are looked up and then read in selects of their own: what the next one uses more
+    than once stays a column, and is not worked out again at every use.
+    """
+    fields = REQUESTS[kind].fields
     parsed = lines.select(F.col(column).alias("raw"), F.try_parse_json(column).alias("_json"))
-    shape = F.schema_of_variant("_json")
-    rows = parsed.withColumn("_object", F.coalesce(shape.startswith("OBJECT<"), F.lit(False)))
-    checked = [(f, *_typed(f, kind)) for f in REQUESTS[kind].fields]
-    told = F.array_compact(F.array(*(error for _, _, error in checked)))
-    errors = F.when(~F.col("_object"), F.lit(NO_JSON)).otherwise(F.nullif(F.array_join(told, "; "), F.lit("")))
-    return rows.select(*(value.alias(f.name) for f, value, _ in checked), errors.alias("errors"), "raw")
-
-
-def _typed(field: StructField, kind: str) -> tuple[Column, Column]:
-    """The value of a field, and what is wrong with it, NULL if nothing is."""
-    path = f"$.{field.name}"
-    given = F.schema_of_variant(F.try_variant_get("_json", path, "variant"))
-    value = _VALUES[type(field.dataType)](given, path, field.dataType.simpleString())
-    default = REQUEST_DEFAULTS.get(kind, {}).get(field.name)
+    looked = parsed.select(
+        "raw", "_json", F.schema_of_variant("_json").alias("_shape"),
+        *(F.schema_of_variant(F.try_variant_get("_json", _path(f), "variant")).alias(_given(f)) for f in fields),
+        *(F.try_variant_get("_json", _path(f), "string").alias(_written(f)) for f in fields),
+    )
+    typed = looked.select(
+        "raw", "_shape", *(_given(f) for f in fields), *(_value(f).alias(f.name) for f in fields)
+    )
+    told = F.array_compact(F.array(*(_error(f, kind) for f in fields)))
+    is_object = F.coalesce(F.col("_shape").startswith("OBJECT<"), F.lit(False))
+    errors = F.when(~is_object, F.lit(NO_JSON)).otherwise(F.nullif(F.array_join(told, "; "), F.lit("")))
+    return typed.select(*(_filled(f, kind).alias(f.name) for f in fields), errors.alias("errors"), "raw")
+
+
+def _path(field: StructField) -> str:
+    return f"$.{field.name}"
+
+
+def _given(field: StructField) -> str:
+    """The column that says what type a field was given as, NULL if it was left out."""
+    return f"_given_{field.name}"
+
+
+def _written(field: StructField) -> str:
+    """The column that holds a field as a text."""
+    return f"_written_{field.name}"
+
+
+def _value(field: StructField) -> Column:
+    """The value of a field, NULL if it is not of its type."""
+    return _VALUES[type(field.dataType)](field, F.col(_given(field)), F.col(_written(field)))
+
+
+def _error(field: StructField, kind: str) -> Column:
+    """What is wrong with a field, NULL if nothing is."""
     must = field.name == "seq" or field.name in REQUIRED[kind]
+    null_is_wrong = must or REQUEST_DEFAULTS.get(kind, {}).get(field.name) is not None
     wrong = F.lit(f"{field.name}: {WRONG_TYPE[type(field.dataType)]}")
-    absent = F.lit(f"{field.name}: {FIELD_REQUIRED}") if must else F.lit(None).cast("string")
-    null_is_wrong = must or default is not None
-    error = (
-        F.when(given.isNull(), absent)
-        .when(given == "VOID", wrong if null_is_wrong else F.lit(None).cast("string"))
-        .when(value.isNull(), wrong)
+    fine = F.lit(None).cast("string")
+    given = F.col(_given(field))
+    return (
+        F.when(given.isNull(), F.lit(f"{field.name}: {FIELD_REQUIRED}") if must else fine)
+        .when(given == "VOID", wrong if null_is_wrong else fine)
+        .when(F.col(field.name).isNull(), wrong)
     )
-    if default is not None:
-        value = F.when(given.isNull(), F.lit(default).cast(field.dataType)).otherwise(value)
-    return value, error
 
 
-def _text_of(path: str) -> Column:
-    return F.try_variant_get("_json", path, "string")
+def _filled(field: StructField, kind: str) -> Column:
+    """The value of a field, or its default if it was left out."""
+    default = REQUEST_DEFAULTS.get(kind, {}).get(field.name)
+    if default is None:
+        return F.col(field.name)
+    left_out = F.col(_given(field)).isNull()
+    return F.when(left_out, F.lit(default).cast(field.dataType)).otherwise(F.col(field.name))
 
 
-def _whole(given: Column, path: str, kind: str) -> Column:
-    as_number = F.try_variant_get("_json", path, "double")
-    written = _text_of(path)
+def _whole(field: StructField, given: Column, written: Column) -> Column:
+    as_number = F.try_variant_get("_json", _path(field), "double")
     digits = written.rlike(r"^\s*[+-]?[0-9]+\s*$")
     number = given.startswith("DECIMAL") & written.rlike(r"^-?[0-9]+(\.0*)?$")
     double = (given == "DOUBLE") & (as_number == F.floor(as_number))
     fits = (given == "BIGINT") | (given == "BOOLEAN") | number | double | ((given == "STRING") & digits)
-    return F.when(fits, F.try_variant_get("_json", path, kind))
+    return F.when(fits, F.try_variant_get("_json", _path(field), field.dataType.simpleString()))
 
 
-def _text(given: Column, path: str, kind: str) -> Column:
-    return F.when(given == "STRING", _text_of(path))
+def _text(field: StructField, given: Column, written: Column) -> Column:
+    return F.when(given == "STRING", written)
 
 
-def _truth(given: Column, path: str, kind: str) -> Column:
-    said = F.lower(_text_of(path))
+def _truth(field: StructField, given: Column, written: Column) -> Column:
+    said = F.lower(written)
     readable = (given == "BOOLEAN") | (given == "BIGINT") | (given == "STRING")
     return F.when(readable & said.isin(TRUE_TEXTS), F.lit(True)).when(readable & said.isin(FALSE_TEXTS), F.lit(False))
 
 
-def _time(given: Column, path: str, kind: str) -> Column:
-    return F.when(given == "STRING", F.expr(f"try_cast(try_variant_get(_json, '{path}', 'string') as {kind})"))
+def _time(field: StructField, given: Column, written: Column) -> Column:
+    return F.when(given == "STRING", written.try_cast(field.dataType))
 
 
 _VALUES = {LongType: _whole, IntegerType: _whole, StringType: _text, BooleanType: _truth, TimestampNTZType: _time}

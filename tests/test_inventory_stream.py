@@ -135,6 +135,16 @@ def test_every_kind_is_decided_or_refused(spark, kind):
     assert set(got) == {1, 2, None} and got[2] == got[None] == 422 and got[1] != 422
 
 
+def test_raw_lines_are_parsed_once(spark):
+    """What decides reads parsed columns."""
+    lines = [('{"seq":1,"id_pieza":1,"nuevo_estado":"disponible","id_usuario":1}',), ("[no json",)]
+    rows = raw.parsed_requests(spark.createDataFrame(lines, "raw string"), "status")
+    _, store = world(3)
+    decided = intake.raw_decisions(as_tables(spark, store), rows, "status")
+    assert "parse_json" not in decided._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.status for r in decided.where("seq is null").collect()} == {422}
+
+
 # --- the stream ---------------------------------------------------------------
 
 
