@@ -117,6 +117,11 @@ def settle_in_turn(rows: DataFrame, left: int) -> DataFrame:
 
 def first_in_component(rows: DataFrame, nodes: Column, block: int) -> DataFrame:
     """The first ``block`` rows of each component, with ``component``; rows are linked by common ``nodes``, numbers."""
+    return placed_in_component(rows, nodes).where(F.col("_nth") <= block).drop("_nth")
+
+
+def placed_in_component(rows: DataFrame, nodes: Column) -> DataFrame:
+    """The rows with their ``component`` and ``_nth``, their place in it, from 1."""
     named = rows.withColumn("_nodes", nodes)
     links = named.where(F.size("_nodes") > 0).select(F.col("_nodes")[0].alias("a"), F.explode("_nodes").alias("b"))
     roots = components(links.distinct()).select(F.col("node").alias("_node"), F.col("root").alias("component"))
@@ -124,7 +129,7 @@ def first_in_component(rows: DataFrame, nodes: Column, block: int) -> DataFrame:
     own = F.coalesce(F.get("_nodes", F.lit(0)), -1 - F.col("seq"))
     placed = lookup_join(named.withColumn("_node", own), roots, "_node").drop("_nodes")
     placed = placed.withColumn("component", F.coalesce("component", "_node")).drop("_node")
-    return running_count(placed, "component", "seq", "_nth").where(F.col("_nth") <= block).drop("_nth")
+    return running_count(placed, "component", "seq", "_nth")
 
 
 def _decided_in_turn(table: pa.Table) -> pa.Table:

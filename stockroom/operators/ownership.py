@@ -5,9 +5,12 @@ moment, and so on whether the edit that would have given it up was accepted.
 The requests are linked through the users and values that they name. A
 component of linked requests depends on no other, so all components are decided
 at once, each in the order of receipt in one task, ``BLOCK`` requests at a time:
-a larger component takes one step per ``BLOCK``. Before a step the users and the
-holders of the values that it names are looked up in the tables as the steps
-before left them; a task holds no more than those.
+a larger component takes one step per ``BLOCK``. Components are found once, over
+all that the requests name, and every row is written to the step that decides
+it. The state of a user or value, as the tables have it, goes to the first step
+that names it, and each step hands it on to the next one that does. So a step
+reads its own requests and what they name, and all steps together read every
+request once; a task holds no more than that.
 
 Ids of new users follow the last id in the order of acceptance. Where an edit
 names an id after the last one, whom it means depends on all new users before,
@@ -17,21 +20,22 @@ so these requests form one component.
 from __future__ import annotations
 
 from collections import Counter
-from functools import reduce
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stockroom import messages as M
 from stockroom.functions import text
-from stockroom.operators.greedy import first_in_component
+from stockroom.operators.greedy import placed_in_component
 from stockroom.operators.ids import assign_ids
 from stockroom.operators.joins import _binary, decide, lookup_join, only_asked
 from stockroom.schemas import TABLES
 from stockroom.shipping import ship_package
-from stockroom.staging import discard, staged
+from stockroom.staging import new_folder, staged
 
 #: Requests of a component that one task decides in one step.
 BLOCK = 100_000
@@ -93,29 +97,51 @@ def _linked(rows: DataFrame, users: DataFrame, last: int) -> DataFrame:
     return rows.join(by_row, "seq", "left").withColumn("nodes", F.coalesce("nodes", F.array().cast("array<bigint>")))
 
 
-_TASK = pa.schema([("seq", pa.int64()), ("accepted", pa.bool_()), ("id_usuario", pa.int64())])
+#: What a task reads beside requests, and hands on: how many users hold a value, or (field -1) what a user holds.
+_STATE = (
+    "component bigint, at int, field int, value string, n bigint, later array<int>, "
+    "own array<string>, own_later array<array<int>>"
+)
+#: Requests are told of in rows of their own.
+_TOLD = "seq bigint, accepted boolean, id_usuario bigint, new boolean"
+_USER = -1
+#: Where rows go that are for no step: outcomes, new users whose next step is to be found, and those that have none.
+_OUTCOME, _UNROUTED, _NOWHERE = -1, -2, -3
+_OUT = pa.schema([
+    ("component", pa.int64()), ("at", pa.int32()), ("field", pa.int32()), ("value", pa.string()), ("n", pa.int64()),
+    ("later", pa.list_(pa.int32())), ("own", pa.list_(pa.string())), ("own_later", pa.list_(pa.list_(pa.int32()))),
+    ("seq", pa.int64()), ("accepted", pa.bool_()), ("id_usuario", pa.int64()), ("new", pa.bool_()),
+])
 
 
-def _in_turn(next_id: int):
-    """Decide the requests of a component; holders, users and requests come as rows of ``kind`` 0, 1, 2."""
+def _in_turn(step: int, next_id: int):
+    """Decide the requests of a component in one step; what they name comes in rows with a ``field``."""
+
+    def columns(table: pa.Table, *names: str):
+        return zip(*(table.column(c).to_pylist() for c in names), strict=True)
 
     def run(table: pa.Table) -> pa.Table:
-        rows = table.sort_by([("kind", "ascending"), ("seq", "ascending")]).to_pylist()
-        holders, now, out, following = Counter(), {}, [], next_id
-        for r in rows:
-            if r["kind"] == 0:
-                holders[r["field"], r["value"]] = r["n"]
-                continue
-            given = [r[c] for c in FIELDS]
-            if r["kind"] == 1:
-                now[r["id_usuario"]] = given
-                continue
-            user = r["id_usuario"]
-            if r["new"]:
+        component = table.column("component")[0].as_py()
+        is_state = pc.is_valid(table.column("field"))
+        holders, now, later, users_later = Counter(), {}, {}, {}
+        own_later: dict[tuple[int, str], list[int]] = {}
+        state = columns(table.filter(is_state), "field", "value", "n", "later", "own", "own_later")
+        for field, value, n, steps, own, theirs in state:
+            if field == _USER:
+                now[int(value)], users_later[int(value)] = own, steps
+                own_later.update(((k, v), t) for k, (v, t) in enumerate(zip(own, theirs, strict=True)) if t)
+            else:
+                holders[field, value] += n
+                later[field, value] = steps
+        out, made, following = [], [], next_id
+        requests = table.filter(pc.invert(is_state)).sort_by("seq")
+        for seq, new, user, *given in columns(requests, "seq", "new", "id_usuario", *FIELDS):
+            if new:
                 fits = not any(holders[k, v] for k, v in enumerate(given) if v is not None)
                 if fits:
                     user, following = following, following + 1
                     now[user] = [None] * len(FIELDS)
+                    made.append(user)
             else:
                 own = now.get(user)
                 fits = own is not None and not any(
@@ -127,29 +153,114 @@ def _in_turn(next_id: int):
                         holders[k, now[user][k]] -= 1
                         holders[k, value] += 1
                         now[user][k] = value
-            out.append({"seq": r["seq"], "accepted": fits, "id_usuario": user if user in now else None})
-        return pa.Table.from_pylist(out, schema=_TASK)
+            told = {"seq": seq, "accepted": fits, "id_usuario": user if user in now else None, "new": new}
+            out.append(told | {"at": _OUTCOME})
+
+        def follow(key: tuple[int, str]) -> list[int]:
+            """The later steps that name a value."""
+            return later[key] if key in later else [s for s in own_later.get(key, ()) if s > step]
+
+        for key, n in holders.items():
+            steps = follow(key)
+            if steps and (n or key in later):
+                out.append({"at": steps[0], "field": key[0], "value": key[1], "n": n, "later": steps[1:]})
+        for user in [*users_later, *(u for u in made if u not in users_later)]:
+            steps = users_later.get(user, [_UNROUTED])
+            if steps:
+                theirs = [follow((k, v)) for k, v in enumerate(now[user])]
+                out.append({
+                    "at": steps[0], "field": _USER, "value": str(user), "later": steps[1:],
+                    "own": now[user], "own_later": theirs,
+                })
+        return pa.Table.from_pylist([r | {"component": component} for r in out], schema=_OUT)
 
     return run
 
 
-def _step(block: DataFrame, users: DataFrame, next_id: int) -> DataFrame:
-    """``seq, accepted, id_usuario`` of the requests of one block."""
-    asked = _unpivoted(block, "component").distinct()
-    pairs = asked.select("field", "value").distinct()
-    holders = _unpivoted(users).join(pairs, ["field", "value"], "left_semi").groupBy("field", "value").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    touched = block.where("not new").select("component", "id_usuario").distinct()
-    current = only_asked(users, touched, "id_usuario").select("id_usuario", *FIELDS)
-    every = block.withColumn("kind", F.lit(2))
-    every = every.unionByName(
-        touched.join(current, "id_usuario").withColumn("kind", F.lit(1)), allowMissingColumns=True
+def _schedule(rows: DataFrame) -> DataFrame:
+    """``component, field, value, steps``: in which steps a user, or a value that somebody asks for, is named."""
+    given = _unpivoted(rows, "component", "step", "new")
+    asked = given.where(F.col("new") | ((F.col("field") < 2) & (F.col("value") != "")))
+    asked = asked.select("field", "value").distinct()
+    values = given.join(asked, ["field", "value"], "left_semi").select("component", "step", "field", "value")
+    named = rows.where("not new").select(
+        "component", "step", F.lit(_USER).alias("field"), F.col("id_usuario").cast("string").alias("value")
     )
-    every = every.unionByName(
-        asked.join(holders, ["field", "value"]).withColumn("kind", F.lit(0)), allowMissingColumns=True
+    by_key = values.unionByName(named).groupBy("component", "field", "value")
+    return by_key.agg(F.sort_array(F.collect_set("step")).alias("steps"))
+
+
+def _first_state(schedule: DataFrame, users: DataFrame) -> DataFrame:
+    """What the tables say of everything named, for the first step that names it."""
+    values = schedule.where(F.col("field") != _USER)
+    held = _unpivoted(users).join(values.select("field", "value").distinct(), ["field", "value"], "left_semi")
+    held = held.groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"))
+    at, later = F.col("steps")[0].alias("at"), F.slice("steps", 2, F.size("steps")).alias("later")
+    counted = values.join(held, ["field", "value"], "left").select(
+        "component", at, "field", "value", F.coalesce("n", F.lit(0)).alias("n"), later
     )
-    return every.groupBy("component").applyInArrow(_in_turn(next_id), "seq bigint, accepted boolean, id_usuario bigint")
+    named = schedule.where(F.col("field") == _USER).select("component", "value", at, later)
+    people = named.join(users.select(F.col("id_usuario").cast("string").alias("value"), *FIELDS), "value")
+    for k, field in enumerate(FIELDS):
+        steps = values.where(F.col("field") == k).select("component", F.col("value").alias(field), F.col("steps").alias(f"_{k}"))
+        people = people.join(steps, ["component", field], "left")
+    theirs = [F.coalesce(f"_{k}", F.array().cast("array<int>")) for k in range(len(FIELDS))]
+    people = people.select(
+        "component", "at", F.lit(_USER).alias("field"), "value", "later",
+        F.array(*FIELDS).alias("own"), F.array(*theirs).alias("own_later"),
+    )
+    return counted.unionByName(people, allowMissingColumns=True)
+
+
+def _read_step(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def _decided(open_rows: DataFrame, users: DataFrame, last: int) -> DataFrame:
+    """``seq, accepted, id_usuario`` of all requests that depend on others."""
+    spark = open_rows.sparkSession
+    if open_rows.count() <= BLOCK:
+        rows = open_rows.withColumns({"component": F.lit(0).cast("bigint"), "step": F.lit(0)})
+    else:
+        linked = staged(_linked(open_rows, users, last), "linked")
+        placed = placed_in_component(linked, F.col("nodes")).drop("nodes")
+        step = F.floor((F.col("_nth") - 1) / BLOCK).cast("int")
+        rows = placed.withColumn("step", step).drop("_nth")
+    rows = staged(rows, "requests")
+    n_steps = (rows.agg(F.max("step")).head()[0] or 0) + 1
+    schedule = staged(_schedule(rows), "schedule")
+    blocks, states = new_folder(spark, "blocks"), new_folder(spark, "states")
+    dealt = rows.repartition("step", "component").withColumnRenamed("step", "at")
+    dealt.write.partitionBy("at").parquet(blocks)
+    first = _first_state(schedule, users).repartition("at", "component")
+    first.write.partitionBy("at").parquet(f"{states}/from=-1")
+    late = not rows.where(F.col("id_usuario") > last).isEmpty()
+    routes = schedule.where((F.col("field") == _USER) & (F.col("value").cast("bigint") > last))
+    request = f"seq bigint, new boolean, id_usuario bigint, {', '.join(f'{c} string' for c in FIELDS)}, component bigint"
+    n_created = 0
+    for k in range(n_steps):
+        block = _read_step(spark, f"{blocks}/at={k}", request)
+        state = _read_step(spark, f"{states}/from=*/at={k}", _STATE.replace("at int, ", ""))
+        every = block.unionByName(state, allowMissingColumns=True)
+        told = every.groupBy("component").applyInArrow(_in_turn(k, last + 1 + n_created), f"{_STATE}, {_TOLD}")
+        if late:  # an id that a new user got may be named in a later step
+            told = told.join(routes, ["component", "field", "value"], "left")
+            steps = F.filter("steps", lambda s: s > k)
+            found = F.col("at") == _UNROUTED
+            told = told.withColumns({
+                "at": F.when(found, F.coalesce(F.get(steps, F.lit(0)), F.lit(_NOWHERE))).otherwise(F.col("at")),
+                "later": F.when(found & (F.size(steps) > 0), F.slice(steps, 2, F.size(steps))).otherwise(F.col("later")),
+            }).drop("steps")
+        told.write.partitionBy("at").parquet(f"{states}/from={k}")
+        if late and k + 1 < n_steps:
+            made = spark.read.schema(_TOLD).parquet(f"{states}/from={k}/at={_OUTCOME}")
+            n_created += made.where("new and accepted").count()
+    return _read_step(spark, f"{states}/from=*/at={_OUTCOME}", _TOLD).drop("new")
 
 
 def _patched(users: DataFrame, patches: DataFrame) -> DataFrame:
@@ -170,29 +281,7 @@ def handle_user_requests(users: DataFrame, creates: DataFrame, edits: DataFrame)
     users = users.select(*_COLUMNS)
     last = users.agg(F.max("id_usuario")).head()[0] or 0
     open_rows = staged(_request_rows(creates, edits, users, last), "requests")
-    now, parts, n_created = users, [], 0
-    while True:
-        left = open_rows.count()
-        if not left:
-            break
-        if left <= BLOCK:
-            block = open_rows.withColumn("component", F.lit(0).cast("bigint"))
-        else:  # who holds what has changed, and so has what links requests
-            block = first_in_component(staged(_linked(open_rows, now, last), "linked"), F.col("nodes"), BLOCK).drop("nodes")
-        block = staged(block, "block")
-        told = staged(_step(block, now, last + 1 + n_created), "told")
-        parts.append(told)
-        rest = open_rows.join(told.select("seq"), "seq", "left_anti")
-        if left == block.count():
-            break
-        # the next step needs the users as they are now
-        n_created += told.join(block.where("new").select("seq"), "seq", "left_semi").where("accepted").count()
-        decided = reduce(DataFrame.unionByName, parts)
-        now = staged(_after(users, creates, edits, decided, last)[2], "users")
-        before, open_rows = open_rows, staged(rest, "requests")
-        discard(before, block)
-    kinds = "seq bigint, accepted boolean, id_usuario bigint"
-    decided = reduce(DataFrame.unionByName, parts) if parts else users.sparkSession.createDataFrame([], kinds)
+    decided = _decided(open_rows, users, last)
     new_users, patches, after = _after(users, creates, edits, decided, last)
     accepted = decided.select("seq", "accepted", F.col("id_usuario").alias("_user"))
     created = creates.select("seq", "email").join(accepted, "seq", "left").select(

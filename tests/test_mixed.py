@@ -188,6 +188,18 @@ def test_exact_edits_equal_the_replay(spark, monkeypatch, seed, block):
     assert rows(after, columns) == plain(store, "usuario", columns)
 
 
+def test_links_of_edits_are_looked_for_once(spark, monkeypatch):
+    """However many steps a component takes, the links among its requests are not followed again."""
+    calls, found = [], greedy.components
+    monkeypatch.setattr(greedy, "components", lambda links: calls.append(1) or found(links))
+    monkeypatch.setattr(ownership, "BLOCK", 15)
+    rnd, store = world(3)
+    requests = edits(rnd, 100, "u")
+    got = ownership.edit_users_exact(as_tables(spark, store).usuario, frame(spark, requests, REQUESTS["edit_user"]))
+    assert {r.seq: r.status for r in got.collect()} == {r["seq"]: store.edit(r) for r in requests}
+    assert len(calls) == 1
+
+
 def test_a_name_given_up_is_free_at_once_and_only_then(spark):
     _, store = world(1)
     none = {"nombre_completo": None, "email": None, "rol": None}
