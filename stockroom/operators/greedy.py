@@ -57,7 +57,7 @@ def first_come(claims: DataFrame, keys: Sequence[str], contract_from: int = CONT
         if left is not None and (left <= BLOCK or len(accepted) >= contract_from):
             winners = _in_turn(open_rows, keys, left)
         else:
-            winners = staged(_unopposed(open_rows, keys), "unopposed")
+            winners = staged(unopposed(open_rows, keys), "unopposed")
         decided = staged(_settled(open_rows, winners, keys), "decided")
         accepted.append(decided.where("won").select("seq"))
         open_rows = decided.where("not won").drop("won")
@@ -67,9 +67,9 @@ def first_come(claims: DataFrame, keys: Sequence[str], contract_from: int = CONT
             return reduce(DataFrame.unionByName, accepted)
 
 
-def _unopposed(open_rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The rows that are the earliest under every key they claim."""
-    columns = ["seq", "owner", *keys]
+def unopposed(open_rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows that are the earliest under every key they claim; ``seq`` is their first column."""
+    columns = open_rows.columns
     earliest = reduce(
         DataFrame.unionByName,
         (

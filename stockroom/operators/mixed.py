@@ -100,8 +100,11 @@ def _makers(tables: Tables, made: DataFrame, registrations: DataFrame) -> DataFr
     by_name = made.select("seq", "nombre", "codigo_original", F.lit(True).alias("by_name"))
     named = registrations.where(text.given(F.col("nombre_producto")))
     by_code = named.select("seq", F.col("nombre_producto").alias("nombre"), "codigo_original", F.lit(False).alias("by_name"))
-    # of the requests alike in what they wait for and take, the first decides
-    rows = by_name.unionByName(by_code).groupBy("by_name", "nombre", "codigo_original").agg(F.min("seq").alias("seq"))
+    # of the requests that wait for the same key only the first can win: it takes the key, unless that was taken before
+    key = F.when(F.col("by_name"), F.col("nombre")).otherwise(F.col("codigo_original"))
+    apart = F.when(key.isNull(), F.coalesce("nombre", "codigo_original"))
+    rows = by_name.unionByName(by_code).groupBy("by_name", key.alias("_key"), apart.alias("_apart"))
+    rows = rows.agg(F.min(F.struct("seq", "nombre", "codigo_original")).alias("_first")).select("by_name", "_first.*")
     rows = rows.join(only_asked(tables.producto, made, "nombre").select("nombre"), "nombre", "left_anti").where(
         "by_name"
     ).unionByName(

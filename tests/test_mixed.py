@@ -162,6 +162,24 @@ def test_products_that_wait_for_each_other(spark, monkeypatch):
     assert answers[0] == answers[1]
 
 
+def test_only_the_first_that_waits_for_a_key_competes(spark, monkeypatch):
+    """Products asked for again and again under a few names are decided in one step, whatever their codes."""
+    lefts, settle = [], greedy.settle_in_turn
+    monkeypatch.setattr(mixed, "settle_in_turn", lambda rows, left: lefts.append(left) or settle(rows, left))
+    monkeypatch.setattr(greedy, "BLOCK", 9)
+    monkeypatch.setattr(mixed, "BLOCK", 9)
+    form = {"descripcion": "", "id_dron": 1, "stock_minimo": 1}
+    requests = [
+        ("create_product", form | {"seq": k, "codigo_original": f"D{k}", "nombre": None if k % 20 == 7 else f"M{k % 3}"})
+        for k in range(60)
+    ]
+    store = Store()
+    outcome = mixed.handle_batch(as_tables(spark, store), batches(spark, requests))
+    status = told(outcome)
+    assert [k for k in range(60) if status[k] == 200] == [0, 1, 2, 7, 27, 47]
+    assert lefts == [6]
+
+
 def test_an_empty_batch_changes_nothing(spark):
     _, store = world(1)
     outcome = mixed.handle_batch(as_tables(spark, store), {})
@@ -226,6 +244,33 @@ def test_new_users_and_edits_in_one_order(spark, monkeypatch, seed, late, block)
     assert rows(outcome.users, USER_COLUMNS) == plain(store, "usuario", USER_COLUMNS)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_what_the_tables_and_the_first_claims_decide_is_not_replayed(spark, monkeypatch, seed):
+    """New users that ask for a few values, and edits that ask for what others keep, take no steps of their own."""
+    steps, replay = [], ownership._in_turn
+    monkeypatch.setattr(ownership, "_in_turn", lambda *at: steps.append(at) or replay(*at))
+    monkeypatch.setattr(ownership, "BLOCK", 20)
+    rnd, store = world(seed)
+    requests = []
+    for k in range(160):
+        shaky = rnd.random() < 0.1
+        if rnd.random() < 0.6:
+            name = f"u{rnd.randint(1, 9)}" if shaky else rnd.choice(["p", "q", "r", "s"])
+            fields = {"nombre_usuario": name, "email": f"{rnd.choice('pqrstv')}@y.org", "nombre_completo": rnd.choice("PQRSTV")}
+            requests.append(("create_user", fields | {"seq": k}))
+        else:
+            fields = {"nombre_completo": rnd.choice([None, f"Z{k}", "P" if shaky else None]), "email": None, "rol": None}
+            name = rnd.choice([None, "u9", f"u{rnd.randint(1, 9)}" if shaky else None, f"z{rnd.randint(1, 3)}" if shaky else None])
+            requests.append(("edit_user", fields | {"seq": k, "id_usuario": rnd.randint(1, 4), "nombre_usuario": name}))
+    tables, parts = as_tables(spark, store), batches(spark, requests)
+    outcome = ownership.handle_user_requests(tables.usuario, parts["create_user"], parts["edit_user"])
+    expected = replayed(store, requests)
+    both = outcome.created.unionByName(outcome.edited, allowMissingColumns=True)
+    assert {r.seq: r.status for r in both.collect()} == expected
+    assert rows(outcome.users, USER_COLUMNS) == plain(store, "usuario", USER_COLUMNS)
+    assert len(steps) <= 4
+
+
 def test_exact_edits_refuse_collations(spark):
     _, store = world(1)
     tables = as_tables(spark, store).collated("UTF8_LCASE")
