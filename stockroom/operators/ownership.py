@@ -19,6 +19,7 @@ so these requests form one component.
 
 from __future__ import annotations
 
+import json
 from collections import Counter
 from functools import reduce
 from typing import NamedTuple
@@ -126,9 +127,11 @@ def _in_turn(step: int, next_id: int):
         is_state = pc.is_valid(table.column("field"))
         holders, now, later, users_later = Counter(), {}, {}, {}
         own_later: dict[tuple[int, str], list[int]] = {}
-        state = columns(table.filter(is_state), "field", "value", "n", "later", "own", "own_later")
-        for field, value, n, steps, own, theirs in state:
+        for field, value, n, lists in columns(table.filter(is_state), "field", "value", "n", "lists"):
+            lists = json.loads(lists)
+            steps = lists["later"]
             if field == _USER:
+                own, theirs = lists["own"], lists["own_later"]
                 now[int(value)], users_later[int(value)] = own, steps
                 own_later.update(((k, v), t) for k, (v, t) in enumerate(zip(own, theirs, strict=True)) if t)
             else:
@@ -335,6 +338,9 @@ def _replayed(open_rows: DataFrame, users: DataFrame, last: int) -> DataFrame:
     for k in range(n_steps):
         block = _read_step(spark, f"{blocks}/at={k}", request)
         state = _read_step(spark, f"{states}/from=*/at={k}", _STATE.replace("at int, ", ""))
+        # as text: Spark measures columns of lists anew with every row that it packs for Python, which took most of a step
+        lists = F.to_json(F.struct("later", "own", "own_later")).alias("lists")
+        state = state.select("component", "field", "value", "n", lists)
         every = block.unionByName(state, allowMissingColumns=True)
         told = every.groupBy("component").applyInArrow(_in_turn(k, last + 1 + n_created), f"{_STATE}, {_TOLD}")
         if late:  # an id that a new user got may be named in a later step
