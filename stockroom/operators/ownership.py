@@ -12,6 +12,9 @@ that names it, and each step hands it on to the next one that does. So a step
 reads its own requests and what they name, and all steps together read every
 request once; a task holds no more than that.
 
+Of more than ``BLOCK`` requests those are taken out first whose outcome shows
+without a replay (``_foreseen``).
+
 Ids of new users follow the last id in the order of acceptance. Where an edit
 names an id after the last one, whom it means depends on all new users before,
 so these requests form one component.
